@@ -131,9 +131,13 @@ def ablation(ledger: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """The documents that a policy keeps, with the columns they came with."""
-    names = docs.columns
-    return judge(docs.withColumn("__text", F.col("text")).select("__text", F.struct(*names).alias("__doc")), "__text").filter(passes(policy)).select("__doc.*")
+    """The documents that a policy keeps, with the columns they came with.
+
+    The row number keeps the optimizer from moving the filter below the measurements, which would repeat them in it.
+    """
+    packed = docs.select(F.col("text").alias("__text"), F.struct(*docs.columns).alias("__doc"))
+    ledger = judge(packed, "__text").withColumn("__row", F.monotonically_increasing_id())
+    return ledger.filter(passes(policy) & (F.col("__row") >= 0)).select("__doc.*")
 
 
 def op10_quality_rules(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
