@@ -1,15 +1,210 @@
-"""Catalogue of queries over the reference-parity operators."""
+"""Catalogue of queries over the search-engine operators, each with an independently written DuckDB form.
+
+Query names carry the operators they show. ``simple`` analysis (lower-cased runs of letters and numbers) is native on
+both sides; the full chain (Treebank tokens, compatibility forms, stemming) is compared where SQL can state it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import UTC, datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.stem import stem_sql
+from ..functions.text import DEFAULT_STOP_WORDS, analyze_word
+from ..operators import crawl, index, query, rank, report
+from ..streaming.incremental import merge
+
+TERMS = "from with das from"
+PHRASE = 'the "of the" and'
+NEVER = datetime(2000, 1, 1, tzinfo=UTC)
+_lower = str.lower
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _idx(spark: SparkSession, sf_dir: str) -> index.Index:
+    return index.simple_index(spark, _t(spark, sf_dir, "pages"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full chain: parse and index all pages, then rank them for a query."""
+    parsed = index.parse_pages(_t(spark, sf_dir, "pages"), NEVER)
+    flat = parsed.select("page_id", F.inline("postings"))
+    return rank.search(index.Index(parsed, parsed, parsed, parsed, flat), "thing erenth reation", analyze_word)
+
+
+def _doc_postings(s: SparkSession, d: str) -> DataFrame:
+    return index.simple_postings(_t(s, d, "documents").select("doc_id", "text"), "doc_id", ("text",))
+
+
+def _words(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word")).distinct()
+
+
+def _stems(s: SparkSession, d: str) -> DataFrame:
+    from ..functions.stem import stem
+
+    plain = _t(s, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]+"), F.lit(0))).alias("word")).distinct()
+    one = F.pandas_udf(lambda words: words.map(stem), "string")
+    return plain.select("word", one("word").alias("stem"))
+
+
+def _graph(s: SparkSession, d: str) -> DataFrame:
+    """Synthetic edges over page ids: page i links to places 2i+1 and 2i+2 of the id order, modulo the number of pages."""
+    pages = index.dense_ids(_t(s, d, "pages").select(F.format_string("%012d", F.col("page_id")).alias("k")), "k", "n").select((F.col("n") - 1).alias("n"))
+    n = pages.agg(F.count("*").alias("c"))
+    both = pages.crossJoin(F.broadcast(n)).select("n", "c", F.explode(F.array(F.lit(1), F.lit(2))).alias("j"))
+    return both.select(F.col("n").alias("source"), F.pmod(2 * F.col("n") + F.col("j"), F.col("c")).alias("target"), F.col("j").alias("ordinal"))
+
+
+def _bfs(s: SparkSession, d: str) -> DataFrame:
+    seeds = s.range(1).select(F.col("id").alias("node"), F.lit(0).alias("ordinal"))
+    return crawl.bfs(_graph(s, d), seeds).select("node", F.col("depth").cast("long").alias("depth"), "visit")
+
+
+def _versions(s: SparkSession, d: str) -> DataFrame:
+    """Each document in three submissions of one url: older, equal, and newer for every third document."""
+    docs = _t(s, d, "documents")
+    row = lambda k, n, t: docs.filter(F.pmod("doc_id", F.lit(k)) == 0).select(
+        (F.col("doc_id") * 10 + n).alias("page_id"), F.concat(F.lit("http://d/"), F.col("doc_id").cast("string")).alias("url"),
+        F.timestamp_seconds(F.lit(1_000_000) + t).alias("mod_time"), F.lit(n).cast("long").alias("version"),
+    )
+    return merge(row(1, 0, 0), row(1, 1, -5).unionByName(row(2, 2, 0)).unionByName(row(3, 3, 60))).select("page_id", "url", "version")
+
+
+def _inline(s: SparkSession, values: str, names: str) -> DataFrame:
+    return s.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+
+
+QUERIES = """('a b'), ('"a b" c'), ('x"y"z'), ('""'), ('"a b'), ('  '), ('q "r s" "t'), ('one')"""
+HISTORY = "('u', 2, 'c d'), ('u', 1, 'a \"b'), ('v', 1, 'x'), ('v', 2, 'y\" z')"
+DATES = "('Sun, 06 Nov 1994 08:49:37 GMT'), ('Thu, 31 Sep 2020 00:00:00 GMT'), ('Mon, 01 Jan 2024 23:59:59 GMT'), ('nonsense'), ('Sat, 29 Feb 2020 12:00:00 GMT')"
+TYPES = "('text/html; charset=UTF-8'), ('TEXT/HTML'), ('application/xml;charset=x'), ('image/png')"
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    pages = lambda s, d: _t(s, d, "pages")
+    plain = lambda s, d: index.simple_pages(pages(s, d))
+    stop = lambda s: s.createDataFrame([(w,) for w in sorted(DEFAULT_STOP_WORDS)], "word string")
+    cards = lambda s, d: (i := _idx(s, d)) and report.result_cards(i.pages, rank.search(i, TERMS, _lower), i.postings, i.links)
+    return {
+        "page_titles": lambda s, d: plain(s, d).select("page_id", "title"),
+        "page_plaintext_stats": lambda s, d: plain(s, d).select("page_id", F.length("plaintext").cast("long").alias("size"), F.length("title").cast("long").alias("title_size")),
+        "outlinks": lambda s, d: index.outlinks(pages(s, d)).select("page_id", "target"),
+        "outlinks_top10": lambda s, d: report.top_links(index.outlinks(pages(s, d)), 10),
+        "inlink_counts": lambda s, d: report.inlinks(index.outlinks(pages(s, d))),
+        "url_dictionary": lambda s, d: index.dense_ids(pages(s, d).select("url").union(index.outlinks(pages(s, d)).select("target")), "url", "url_id"),
+        "url_parts": lambda s, d: pages(s, d).select("page_id", F.lower(F.parse_url("url", F.lit("PROTOCOL"))).alias("scheme"), F.parse_url("url", F.lit("HOST")).alias("host")).filter(F.col("scheme").isin("http", "https")),
+        "postings_simple": lambda s, d: index.simple_index(s, pages(s, d)).postings.select("field", "page_id", "word", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"), "frequency", F.round("tf_normalized", 6).alias("tf_normalized")),
+        "document_postings": lambda s, d: _doc_postings(s, d).select("doc_id", "word", F.size("positions").cast("long").alias("n_positions"), F.element_at("positions", 1).cast("long").alias("first_position"), F.round("tf_normalized", 6).alias("tf_normalized")),
+        "vocabulary": _words,
+        "stop_filtered": lambda s, d: _words(s, d).join(F.broadcast(stop(s)), "word", "left_anti"),
+        "stems": _stems,
+        "doc_frequency": lambda s, d: rank.document_frequency(_doc_postings(s, d)).select("word", "df"),
+        "idf": lambda s, d: rank.inverse_frequency(rank.document_frequency(_doc_postings(s, d)), rank.count_pages(_t(s, d, "documents"))).select("word", F.round("idf", 6).alias("idf")),
+        "tf_idf": lambda s, d: rank.tf_idf(_idx(s, d).postings, pages(s, d)).select("field", "page_id", "word", F.round("tf_idf", 6).alias("tf_idf")),
+        "search_terms": lambda s, d: rank.search(_idx(s, d), TERMS, _lower),
+        "search_phrase": lambda s, d: rank.search(_idx(s, d), PHRASE, _lower),
+        "search_no_match": lambda s, d: rank.search(_idx(s, d), 'from with "zzz never there"', _lower),
+        "search_unknown_term": lambda s, d: rank.search(_idx(s, d), "zzzunknown", _lower),
+        "search_diagnostics": lambda s, d: rank.diagnostics(_idx(s, d), ["from", "with", "das"]).select("field", "page_id", "word", "frequency", "df", F.round("idf", 6).alias("idf"), F.round("tf_idf", 6).alias("tf_idf")),
+        "vector_space": lambda s, d: rank.vector_space(_idx(s, d), TERMS, _lower).withColumnsRenamed({"from": "s_from", "with": "s_with", "das": "s_das"}),
+        "top_keywords": lambda s, d: report.top_keywords(_idx(s, d).postings, 10),
+        "page_summary": lambda s, d: (i := _idx(s, d)) and report.summary(i.pages, i.postings, i.links, times=False),
+        "result_cards": cards,
+        "result_page": lambda s, d: report.result_page(rank.search(_idx(s, d), TERMS, _lower), 2, 20).select("rank", "page_id", "n_pages"),
+        "query_lexer": lambda s, d: query.lex_column(_inline(s, QUERIES, "query")).select("query", F.array_join("terms", "|").alias("terms"), F.array_join("phrases", "|").alias("phrases")),
+        "history_merge": lambda s, d: query.merge_history(_inline(s, HISTORY, "user, seq, query")),
+        "http_dates": lambda s, d: _inline(s, DATES, "header").select("header", F.unix_timestamp(F.try_to_timestamp(F.substring("header", 6, 99), F.lit("dd MMM yyyy HH:mm:ss 'GMT'"))).alias("epoch")),
+        "content_types": lambda s, d: _inline(s, TYPES, "header").select("header", F.lower(F.trim(F.split("header", ";")[0])).alias("kind")).filter(F.col("kind").isin("text/html", "application/xhtml+xml", "application/xml")),
+        "bfs_order": _bfs,
+        "upsert_latest": _versions,
+        # the full chain: tested by vectors, no SQL form
+        "full_index_postings": lambda s, d: index.build_index(index.parse_pages(pages(s, d), NEVER)).postings,
+        "full_search": flagship,
+    }
+
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+_SP = """pl AS (SELECT page_id, url, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
+  replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<title\\b.*?</title>|<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g'),
+  '<[^>]+>', chr(10), 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS plaintext FROM pages)"""
+_LK = """h AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, unnest(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1)) AS href FROM pages),
+lk AS (SELECT DISTINCT page_id, url, target FROM (SELECT page_id, url, CASE WHEN starts_with(href, '/') THEN host || href WHEN regexp_matches(lower(href), '^https?://') THEN href END AS target FROM h)
+       WHERE target IS NOT NULL AND target <> url)"""
+_PO = """f AS (SELECT page_id, 'plaintext' AS field, plaintext AS t FROM pl UNION ALL SELECT page_id, 'title', title FROM pl),
+o AS (SELECT page_id, field, w[i] AS word, i - 1 AS pos FROM (SELECT page_id, field, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT page_id, field, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') AS w FROM f))),
+g AS (SELECT field, page_id, word, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions, count(*) AS frequency FROM o GROUP BY ALL),
+po AS (SELECT *, frequency / max(frequency) OVER (PARTITION BY field, page_id) AS tf_normalized FROM g)"""
+_TI = """df AS (SELECT field, word, count(*) AS df FROM po GROUP BY ALL), n AS (SELECT count(*) AS n FROM pages),
+ti AS (SELECT po.*, df.df, log2(n.n / df.df) AS idf, tf_normalized * log2(n.n / df.df) AS tf_idf FROM po JOIN df USING (field, word), n)"""
+_IDX = f"WITH {_SP}, {_PO}, {_TI}"
 
 
-def queries():
-    return {}
+def _search_sql(words: str, phrases: str = "TRUE") -> str:
+    return f"""{_IDX}, q AS (SELECT * FROM ti WHERE word IN ({words})), k AS (SELECT count(DISTINCT word) AS k FROM q),
+s AS (SELECT page_id, coalesce(sum(tf_idf) FILTER (WHERE field = 'plaintext'), 0) AS dc, sqrt(coalesce(sum(tf_idf * tf_idf) FILTER (WHERE field = 'plaintext'), 0)) AS nc,
+        coalesce(sum(tf_idf) FILTER (WHERE field = 'title'), 0) AS dt, sqrt(coalesce(sum(tf_idf * tf_idf) FILTER (WHERE field = 'title'), 0)) AS nt FROM q GROUP BY page_id),
+c AS (SELECT page_id, round(CASE WHEN nc > 0 THEN dc / (sqrt(k) * nc) ELSE 0 END, 6) AS cos_content, round(CASE WHEN nt > 0 THEN dt / (sqrt(k) * nt) ELSE 0 END, 6) AS cos_title, round(nc, 6) AS magnitude FROM s, k),
+r AS (SELECT page_id, cos_content, cos_title, round(cos_content + 3.9 * cos_title, 7) AS weight, magnitude FROM c JOIN pl USING (page_id) WHERE {phrases})"""
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    dw = "w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents)"
+    dp = f"""WITH {dw}, o AS (SELECT doc_id, w[i] AS word, i - 1 AS pos FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+g AS (SELECT doc_id, word, count(*) AS n_positions, min(pos) AS first_position FROM o GROUP BY ALL)"""
+    kw = "kt AS (SELECT page_id, word, sum(frequency)::BIGINT AS total FROM po GROUP BY ALL), kr AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY total DESC, word) AS rn FROM kt)"
+    kl = "kl AS (SELECT page_id, string_agg(word || ' ' || total, '; ' ORDER BY rn) AS keywords FROM kr WHERE rn <= 10 GROUP BY page_id)"
+    lr = "lr AS (SELECT page_id, target, row_number() OVER (PARTITION BY page_id ORDER BY target) AS rn FROM lk)"
+    three = "'from', 'with', 'das'"
+    ranked = "rr AS (SELECT *, row_number() OVER (ORDER BY weight DESC, magnitude DESC, page_id) AS rank FROM r)"
+    stops = ", ".join(f"'{w}'" for w in sorted(DEFAULT_STOP_WORDS))
+    return {
+        "page_titles": f"WITH {_SP} SELECT page_id, title FROM pl",
+        "page_plaintext_stats": f"WITH {_SP} SELECT page_id, length(plaintext) AS size, length(title) AS title_size FROM pl",
+        "outlinks": f"WITH {_LK} SELECT page_id, target FROM lk",
+        "outlinks_top10": f"WITH {_LK}, {lr} SELECT * FROM lr WHERE rn <= 10",
+        "inlink_counts": f"WITH {_LK} SELECT target, count(DISTINCT page_id) AS n_inlinks FROM lk GROUP BY target",
+        "url_dictionary": f"WITH {_LK} SELECT row_number() OVER (ORDER BY content) AS url_id, content FROM (SELECT url AS content FROM pages UNION SELECT target FROM lk)",
+        "url_parts": "SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+):', 1)) AS scheme, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages WHERE regexp_matches(lower(url), '^https?:')",
+        "postings_simple": f"WITH {_SP}, {_PO} SELECT field, page_id, word, positions, frequency, round(tf_normalized, 6) AS tf_normalized FROM po",
+        "document_postings": f"{dp} SELECT doc_id, word, n_positions, first_position, round(n_positions / max(n_positions) OVER (PARTITION BY doc_id), 6) AS tf_normalized FROM g",
+        "vocabulary": f"WITH {dw} SELECT DISTINCT unnest(w) AS word FROM w",
+        "stop_filtered": f"WITH {dw}, v AS (SELECT DISTINCT unnest(w) AS word FROM w) SELECT word FROM v WHERE word NOT IN ({stops})",
+        "stems": stem_sql("(SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)", "word"),
+        "doc_frequency": f"{dp} SELECT word, count(*) AS df FROM g GROUP BY word",
+        "idf": f"{dp} SELECT word, round(log2((SELECT count(*) FROM documents) / count(*)), 6) AS idf FROM g GROUP BY word",
+        "tf_idf": f"{_IDX} SELECT field, page_id, word, round(tf_idf, 6) AS tf_idf FROM ti",
+        "search_terms": f"{_search_sql(three)} SELECT * FROM r",
+        "search_phrase": _search_sql("'the', 'of', 'and'", "contains(replace(lower(title), 'ß', 'ss'), 'of the') OR contains(replace(lower(plaintext), 'ß', 'ss'), 'of the')") + " SELECT * FROM r",
+        "search_no_match": _search_sql("'from', 'with', 'zzz', 'never', 'there'", "contains(lower(plaintext), 'zzz never there')") + " SELECT * FROM r",
+        "search_unknown_term": f"{_search_sql(repr('zzzunknown'))} SELECT * FROM r",
+        "search_diagnostics": f"{_IDX} SELECT field, page_id, word, frequency, df, round(idf, 6) AS idf, round(tf_idf, 6) AS tf_idf FROM ti WHERE word IN ({three})",
+        "vector_space": f"{_IDX} SELECT page_id, " + ", ".join(f"coalesce(round(sum(tf_idf) FILTER (WHERE word = '{w}'), 6), 0) AS s_{w}" for w in ("from", "with", "das")) + f" FROM ti WHERE field = 'plaintext' AND word IN ({three}) GROUP BY page_id",
+        "top_keywords": f"WITH {_SP}, {_PO}, {kw} SELECT page_id, word, total, rn FROM kr WHERE rn <= 10",
+        "page_summary": f"""WITH {_SP}, {_PO}, {_LK}, {kw}, {kl}, {lr}, ll AS (SELECT page_id, string_agg(target, chr(10) ORDER BY rn) AS links FROM lr WHERE rn <= 10 GROUP BY page_id)
+SELECT page_id, concat_ws(chr(10), CASE WHEN title = '' THEN '(no title)' ELSE title END, url, length(plaintext)::VARCHAR, coalesce(keywords, ''), links) AS block FROM pl LEFT JOIN kl USING (page_id) LEFT JOIN ll USING (page_id)""",
+        "result_cards": f"""{_search_sql(three)}, {_LK}, {kw}, {kl}, {ranked}, ol AS (SELECT page_id, count(DISTINCT target) AS n_outlinks FROM lk GROUP BY page_id)
+SELECT rank, page_id, CASE WHEN title = '' THEN '(no title)' ELSE title END AS title, url, weight, length(plaintext) AS size, keywords, coalesce(n_outlinks, 0) AS n_outlinks, substr(plaintext, 1, 339) AS snippet
+FROM rr JOIN pl USING (page_id) LEFT JOIN kl USING (page_id) LEFT JOIN ol USING (page_id)""",
+        "result_page": f"{_search_sql(three)}, {ranked} SELECT rank, page_id, ceil((SELECT count(*) FROM r) / 20)::BIGINT AS n_pages FROM rr WHERE rank BETWEEN 21 AND 40",
+        "query_lexer": f"""WITH q AS (SELECT query, string_split(query, '"') AS p FROM (VALUES {QUERIES}) t(query)),
+u AS (SELECT query, p[i] AS x, i, len(p) AS n FROM (SELECT query, p, unnest(range(1, len(p) + 1)) AS i FROM q)),
+t AS (SELECT query, i, CASE WHEN i % 2 = 1 THEN list_filter(string_split(x, ' '), lambda y: y <> '') WHEN i = n THEN list_filter([x], lambda y: y <> '') ELSE string_split(x, ' ') END AS ts, CASE WHEN i % 2 = 0 AND i < n THEN x END AS ph FROM u)
+SELECT query, array_to_string(flatten(list(ts ORDER BY i)), '|') AS terms, coalesce(string_agg(ph, '|' ORDER BY i), '') AS phrases FROM t GROUP BY query""",
+        "history_merge": f"SELECT \"user\", string_agg(query, ' ' ORDER BY seq) AS query FROM (VALUES {HISTORY}) t(\"user\", seq, query) GROUP BY 1",
+        "http_dates": f"SELECT header, epoch(try_strptime(substr(header, 6), ' %d %b %Y %H:%M:%S GMT'))::BIGINT AS epoch FROM (VALUES {DATES}) t(header)".replace("' %d", "'%d"),
+        "content_types": f"SELECT header, lower(trim(string_split(header, ';')[1])) AS kind FROM (VALUES {TYPES}) t(header) WHERE kind IN ('text/html', 'application/xhtml+xml', 'application/xml')",
+        "bfs_order": """WITH RECURSIVE n AS (SELECT count(*)::BIGINT AS c FROM pages),
+e AS (SELECT k AS source, (2 * k + j) % c AS target, j FROM n, (SELECT unnest(range(0, c)) AS k FROM n), (VALUES (1), (2)) v(j)),
+b AS (SELECT 0::BIGINT AS node, 0::BIGINT AS depth, '' AS path UNION ALL
+      SELECT e.target, depth + 1, path || e.j FROM b JOIN e ON e.source = b.node WHERE depth < 18 AND e.target > b.node),
+f AS (SELECT node, min(depth) AS depth FROM b GROUP BY node), p AS (SELECT f.node, f.depth, min(path) AS path FROM f JOIN b USING (node, depth) GROUP BY ALL)
+SELECT node, depth, row_number() OVER (ORDER BY depth, path, node) AS visit FROM p""",
+        "upsert_latest": """SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id * 10 + 3 ELSE doc_id * 10 END AS page_id, 'http://d/' || doc_id AS url,
+  CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END::BIGINT AS version FROM documents""",
+    }
