@@ -101,9 +101,12 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The ledger: ``docs`` with measurements and ``fail_bits``, every rule evaluated once."""
+    """The ledger: ``docs`` with measurements and ``fail_bits``, every rule evaluated once.
+
+    The row number in it keeps the optimizer from moving a later filter below the measurements, which would repeat them.
+    """
     bits = sum((F.when(F.expr(cond), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, cond) in enumerate(RULES)), F.lit(0))
-    return measure(docs, text).withColumn("fail_bits", bits.cast("long"))
+    return measure(docs, text).withColumn("fail_bits", F.when(F.monotonically_increasing_id() >= 0, bits.cast("long")))
 
 
 def passes(policy: Policy) -> Column:
@@ -131,13 +134,9 @@ def ablation(ledger: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """The documents that a policy keeps, with the columns they came with.
-
-    The row number keeps the optimizer from moving the filter below the measurements, which would repeat them in it.
-    """
+    """The documents that a policy keeps, with the columns they came with."""
     packed = docs.select(F.col("text").alias("__text"), F.struct(*docs.columns).alias("__doc"))
-    ledger = judge(packed, "__text").withColumn("__row", F.monotonically_increasing_id())
-    return ledger.filter(passes(policy) & (F.col("__row") >= 0)).select("__doc.*")
+    return judge(packed, "__text").filter(passes(policy)).select("__doc.*")
 
 
 def op10_quality_rules(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:

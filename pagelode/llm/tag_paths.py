@@ -52,6 +52,8 @@ _CLOSED_BY = {
 }
 _SCOPES = frozenset("html body article section main div table ul ol td th blockquote aside nav header footer form figure".split())
 _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
+#: A block of text is not a content node; what holds it is.
+_TEXT_BLOCKS = _INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote".split())
 #: Share of the mean smoothed ratio from which a path is content, and share of the content that the content node holds.
 THRESHOLD, HOLDS = 0.3, 0.9
 _WINDOW = (0.25, 0.5, 0.25)
@@ -213,6 +215,8 @@ def main_text(page: str | None) -> str:
         top = max(inner, key=lambda n: n.weight, default=top)
         return " ".join(text for node, text, _ in found if _within(node, top))
     top = max((n for n in seen.values() if n.weight >= HOLDS * total), key=lambda n: n.depth)
+    while top.parent and top.tag in _TEXT_BLOCKS:
+        top = top.parent
     return " ".join(text for node, text, linked in found if _within(node, top) and (node.path in content or linked * 2 < len(text)))
 
 
