@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import Index
+from ..operators.index import Index, build_index, parse_pages
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +31,15 @@ def read_index(spark: SparkSession, path: str) -> Index:
     return Index(**{n: spark.read.parquet(f"{path}/{n}") for n in ("urls", "pages", "links", "words", "postings")})
 
 
+def index_pages(pages: DataFrame, path: str, **options) -> Index:
+    """Parse pages once into ``path``/parsed, build the tables from there, store them and read them back."""
+    parsed = parse_pages(pages, **options)
+    parsed.write.mode("overwrite").parquet(f"{path}/parsed")
+    spark = pages.sparkSession
+    write_index(build_index(spark.read.schema(parsed.schema).parquet(f"{path}/parsed")), path)
+    return read_index(spark, path)
+
+
 def accepted(responses: DataFrame) -> DataFrame:
     """Responses that are indexed: ok, and of an accepted content type."""
     kind = F.lower(F.trim(F.split(F.col("content_type"), ";")[0]))

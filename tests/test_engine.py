@@ -51,6 +51,9 @@ def test_index_tables(built, spark, tmp_path):
     store.write_index(built, str(tmp_path / "i"))
     back = store.read_index(spark, str(tmp_path / "i"))
     assert rank.search(back, "apple", analyze_word).count() == 2
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    again = store.index_pages(pages, str(tmp_path / "j"), crawl_time=NOW)
+    assert again.postings.count() == built.postings.count()
     words = {r.content: r.word_id for r in back.words.collect()}
     assert sorted(words.values()) == list(range(1, len(words) + 1))
 
