@@ -234,6 +234,28 @@ def test_ngram_jaccard_blocks_count_all_links(spark):
     assert set(got.class_id) == {0} and set(got.n_links) == {len(texts) - 1}
 
 
+def test_ngram_jaccard_finds_pairs_among_texts_that_share_a_passage(spark):
+    """Half of each text is common to all, so buckets are large and their first nodes prove nothing."""
+    own = random.Random(3)
+    passage = [f"p{i}" for i in range(220)]
+    texts = []
+    for k in range(240):
+        body = [f"b{own.randrange(10**6)}" for _ in range(160)]
+        texts.append(" ".join(passage + body))
+        if k % 6 == 0:
+            at = own.randrange(10, 150)
+            texts.append(" ".join(passage + body[:at] + ["new", "words"] + body[at + 12 :]))
+    texts += [" ".join(passage + [f"c{i}" if i != j else "z" for i in range(160)]) for j in range(50)]
+    own.shuffle(texts)
+    sets = [frozenset(ngram_join.shingles(words_of(t)).tolist()) for t in texts]
+    want = [sum(5 * len(a & b) >= 4 * len(a | b) for b in sets) - 1 for a in sets]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in ngram_join.op7_ngram_jaccard(df).collect()}
+    assert [got[i]["n_links"] for i in range(len(texts))] == want and sum(w > 0 for w in want) == 130
+    for i, w in enumerate(want):
+        assert got[i]["class_id"] == min(j for j, b in enumerate(sets) if 5 * len(sets[i] & b) >= 4 * len(sets[i] | b)) if w else got[i]["class_id"] == i
+
+
 def test_pruning_keeps_similar_pairs():
     least = ngram_join.least_matches()
     assert list(least) == sorted(least) and least[-1] < 0.8 * ngram_join.HASHES
