@@ -1,35 +1,91 @@
-"""Breadth-first traversal of a link graph (B1-B9): level by level, in dequeue order, each address once."""
+"""Breadth-first traversal of a link graph (B1-B9): a queue of addresses, and the traversal level by level."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.work import saved
+from .numbering import number
+
+#: Rows up to which a level is numbered by one task; larger ones are numbered by ranges.
+ONE_TASK_ROWS = 50_000
+SCHEMES = ("http", "https")
+
+
+def _placed(df: DataFrame, n: int, order: list[str], name: str, start: int) -> DataFrame:
+    if n > ONE_TASK_ROWS:
+        return number(df, order, name, start)
+    return df.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("long") + F.lit(start))
+
+
+class Frontier:
+    """The queue of addresses to visit and the set of those ever queued."""
+
+    def __init__(self, spark: SparkSession):
+        self.queue = spark.createDataFrame([], "url string, place long")
+        self.seen = spark.createDataFrame([], "url string")
+        self.first, self.next = 0, 0
+
+    def enqueue(self, urls: DataFrame | Iterable[str], *, before: bool = False, ignore_queued: bool = False) -> int:
+        """Append addresses, or put them in front, in their order; each counts once. Returns how many were new.
+
+        A table has columns url and place (its order). A scheme other than http(s) is an error, and so is an address
+        queued earlier, unless ``ignore_queued``; nothing is queued then.
+        """
+        spark = self.queue.sparkSession
+        if not isinstance(urls, DataFrame):
+            urls = spark.createDataFrame([(u, i) for i, u in enumerate(urls)], "url string, place long")
+        asked = saved(urls.groupBy("url").agg(F.min("place").alias("at")), "asked")
+        scheme = F.lower(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+        if bad := asked.filter(F.col("url").isNull() | ~scheme.isin(*SCHEMES)).first():
+            raise ValueError(f"unsupported scheme: {bad['url']}")
+        new = saved(asked.join(self.seen, "url", "left_anti"), "new")
+        n = new.count()
+        if not ignore_queued and n < asked.count():
+            raise ValueError(f"already queued: {asked.join(self.seen, 'url', 'left_semi').first()['url']}")
+        start = self.first - n if before else self.next
+        placed = _placed(new, n, ["at", "url"], "place", start).select("url", "place")
+        self.queue = saved(self.queue.unionByName(placed), "queue")
+        self.seen = saved(self.seen.unionByName(new.select("url")), "seen")
+        self.first, self.next = (start, self.next) if before else (self.first, start + n)
+        return n
+
+    def dequeue(self, n: int = 1) -> DataFrame:
+        """The first ``n`` rows (url, place) of the queue, which leave it; LookupError if it is empty."""
+        taken = saved(self.queue.orderBy("place").limit(n), "taken")
+        top = taken.agg(F.max("place").alias("top")).first()["top"]
+        if top is None:
+            raise LookupError("the queue is empty")
+        self.queue = saved(self.queue.filter(F.col("place") > F.lit(top)), "queue")
+        return taken
+
+    def reset(self, urls: DataFrame) -> None:
+        """Forget that addresses (column url) were queued, so that they can be queued again."""
+        self.seen = saved(self.seen.join(urls.select("url"), "url", "left_anti"), "seen")
+
 
-def bfs(edges: DataFrame, seeds: DataFrame, budget: int | None = None, max_depth: int = 64, path: str | None = None) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame, budget: int | None = None, max_depth: int = 64) -> DataFrame:
     """(node, depth, visit): ``edges`` has source, target, ordinal; ``seeds`` has node, ordinal.
 
     A level is the distinct targets of the level before that were never queued, ordered by the parent's place and the
-    link's ordinal. Levels are cut with ``checkpoint`` in the session's folder. ``budget`` ends the loop early.
+    link's ordinal. Levels are written to the shared folder. ``budget`` ends the loop early.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        from ..sources.store import shared_folder
-
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    first = seeds.groupBy("node").agg(F.min("ordinal").alias("o"))
-    level = first.select("node", F.lit(0).alias("depth"), F.row_number().over(W.orderBy("o", "node")).cast("long").alias("visit")).checkpoint()
-    seen, total = level, level.count()
+    first = saved(seeds.groupBy("node").agg(F.min("ordinal").alias("o")), "level")
+    total = first.count()
+    level = _placed(first, total, ["o", "node"], "visit", 0).select("node", F.lit(0).alias("depth"), "visit")
+    seen = level = saved(level, "level")
     for depth in range(1, max_depth + 1):
         if budget is not None and total >= budget:
             break
         nexts = level.join(edges, level["node"] == edges["source"]).groupBy(F.col("target").alias("node")).agg(F.min(F.struct("visit", "ordinal")).alias("key"))
-        fresh = nexts.join(seen.select("node"), "node", "left_anti")
-        place = F.row_number().over(W.orderBy("key", "node")).cast("long") + F.lit(total)
-        level = fresh.select("node", F.lit(depth).alias("depth"), place.alias("visit")).checkpoint()
-        if not (n := level.count()):
+        fresh = saved(nexts.join(seen.select("node"), "node", "left_anti"), "level")
+        if not (n := fresh.count()):
             break
+        level = saved(_placed(fresh, n, ["key", "node"], "visit", total).select("node", F.lit(depth).alias("depth"), "visit"), "level")
         total += n
         seen = seen.unionByName(level)
     return seen.filter(F.col("visit") <= budget) if budget is not None else seen

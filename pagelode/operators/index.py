@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import ship
 from ..functions.text import DEFAULT_STOP_WORDS
+from .numbering import number
 
 PARSED = (
     "page_id long, url string, title string, plaintext string, mod_time timestamp, size long, links array<string>, "
@@ -81,17 +83,9 @@ def parse_pages(pages: DataFrame, crawl_time: datetime | None = None, stop: froz
 
 
 def dense_ids(df: DataFrame, value: str, id_name: str) -> DataFrame:
-    """(id, content): dense ids by sort order, in two steps so that no single task numbers everything.
-
-    Values are range-partitioned; each range is numbered by itself and starts after the counts of those before it.
-    """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.select(F.col(value).alias("content")).filter(F.col(value).isNotNull()).distinct().repartitionByRange(parts, "content")
-    numbered = ranged.withColumn("part", F.spark_partition_id()).withColumn("rn", F.row_number().over(W.partitionBy("part").orderBy("content")))
-    sizes = numbered.groupBy("part").agg(F.max("rn").alias("n"))
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return numbered.join(F.broadcast(starts.select("part", "start")), "part").select((F.col("start") + F.col("rn")).alias(id_name), "content")
+    """(id, content): dense ids of the distinct values by their sort order."""
+    values = df.select(F.col(value).alias("content")).filter(F.col(value).isNotNull()).distinct()
+    return number(values, ["content"], id_name).select(id_name, "content")
 
 
 def build_index(parsed: DataFrame) -> Index:
@@ -110,11 +104,26 @@ def build_index(parsed: DataFrame) -> Index:
 
 
 def latest_versions(parsed: DataFrame) -> DataFrame:
-    """One row per url: the first submission of the greatest modification time."""
-    best = W.partitionBy("url").orderBy(F.desc("mod_time"), "page_id")
+    """One row per url: the first submission of the greatest modification time (by ``batch`` where there is one, then page_id)."""
+    first = [c for c in ("batch", "page_id") if c in parsed.columns]
+    best = W.partitionBy("url").orderBy(F.desc("mod_time"), *first)
     return parsed.withColumn("__rn", F.row_number().over(best)).filter("__rn = 1").drop("__rn")
 
 
+def token_positions(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, n, pos, token): every token of the texts with its 1-based ordinal and its offset in code points."""
+    ship(df.sparkSession)
+
+    @F.pandas_udf("array<struct<pos:int,token:string>>")
+    def split(texts: pd.Series) -> pd.Series:
+        from ..functions.text import tokens
+
+        return texts.map(lambda t: [{"pos": at, "token": token} for at, token in tokens(t or "")])
+
+    rows = df.select(key, F.posexplode(split(F.col(text))).alias("n", "t"))
+    return rows.select(key, (F.col("n") + 1).cast("long").alias("n"), F.col("t.pos").cast("long").alias("pos"), "t.token")
+
+
 # ---------------------------------------------------------------- native analysis, for SQL parity and plain corpora
 
 

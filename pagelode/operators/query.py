@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+import time
 from dataclasses import dataclass
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,6 +63,12 @@ def delete_from_history(history: DataFrame, query: str) -> DataFrame:
     return history.join(first, ["user", "seq"], "left_anti")
 
 
+def remember(spark: SparkSession, path: str, query: str, user: str = "") -> None:
+    """Append a query to the history kept beside an index (W6); an empty one is ignored. Its place is the clock's microsecond."""
+    if query:
+        spark.createDataFrame([(user, time.time_ns() // 1000, query)], "user string, seq long, query string").coalesce(1).write.mode("append").parquet(f"{path}/history")
+
+
 def fold(text: F.Column) -> F.Column:
     """Case folding by expressions: lower case, and the sharp s as in ``str.casefold``."""
     return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))

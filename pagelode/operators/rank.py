@@ -86,3 +86,34 @@ def vector_space(index: Index, query: str, analyze: Callable[[str], str], field:
     _, stems, _ = query_stems(query, analyze)
     rows = diagnostics(index, stems).filter(F.col("field") == field)
     return rows.groupBy("page_id").pivot("word", stems).agg(F.round(F.sum("tf_idf"), DIGITS)).na.fill(0.0)
+
+
+def idf_of(index: Index, words: list[str], field: str = CONTENT) -> DataFrame:
+    """(place, word, df, idf): one row per asked word in order, with zeros for words that no page holds."""
+    spark = index.postings.sparkSession
+    asked = spark.createDataFrame(list(enumerate(words)), "place long, word string")
+    held = index.postings.filter((F.col("field") == field) & F.col("word").isin(words)) if words else index.postings.filter(F.lit(False))
+    df = asked.join(document_frequency(held.select("field", "word")).select("word", "df"), "word", "left").na.fill(0, ["df"])
+    return inverse_frequency(df, count_pages(index.pages)).select("place", "word", "df", "idf")
+
+
+def tf_matrix(index: Index, pages: DataFrame, words: list[str], field: str = CONTENT) -> DataFrame:
+    """(page_id, place, word, frequency, tf_normalized, tf_idf): a cell for each page and asked word, zero where absent."""
+    cells = pages.select("page_id", F.posexplode(F.array(*map(F.lit, words)).cast("array<string>")).alias("place", "word"))
+    held = index.postings.filter((F.col("field") == field) & F.col("word").isin(words)) if words else index.postings.filter(F.lit(False))
+    full = cells.join(held.select("page_id", "word", "frequency", "tf_normalized"), ["page_id", "word"], "left")
+    full = full.join(F.broadcast(idf_of(index, words, field).select("word", "idf").distinct()), "word").na.fill(0)
+    return full.select("page_id", F.col("place").cast("long").alias("place"), "word", "frequency", "tf_normalized", (F.col("tf_normalized") * F.col("idf")).alias("tf_idf"))
+
+
+def explain_terms(index: Index, query: str, analyze: Callable[[str], str], field: str = CONTENT) -> DataFrame:
+    """Per term of the query, in order, and page that holds its stem: df, idf, frequency, tf_normalized, tf_idf.
+
+    A term without a stem, or whose stem no page holds in the field, is one row with df and idf 0 and no page.
+    """
+    terms = list(parse(lex(query)).terms)
+    spark = index.postings.sparkSession
+    asked = spark.createDataFrame([(i, t, analyze(t)) for i, t in enumerate(terms)], "place long, term string, word string")
+    found = diagnostics(index, list({s for t in terms if (s := analyze(t))})).filter(F.col("field") == field)
+    rows = found.join(F.broadcast(asked), "word", "right")
+    return rows.select("place", "term", F.col("word").alias("stem"), F.coalesce("df", F.lit(0)).alias("df"), F.coalesce("idf", F.lit(0.0)).alias("idf"), "page_id", "frequency", "tf_normalized", "tf_idf")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .numbering import number
+
 RULE = "-" * 30
 SNIPPET = 339
 PER_PAGE = 50
@@ -67,13 +69,34 @@ def result_cards(pages: DataFrame, ranked: DataFrame, postings: DataFrame, links
     )
 
 
+def _ranked() -> list:
+    return [F.desc("weight"), F.desc("magnitude"), "page_id"]
+
+
 def numbered(ranked: DataFrame) -> DataFrame:
-    """``ranked`` with its 1-based rank; a result list is ordered as a whole by its meaning."""
-    order = W.orderBy(F.desc("weight"), F.desc("magnitude"), "page_id")
-    return ranked.withColumn("rank", F.row_number().over(order).cast("long"))
+    """``ranked`` with its 1-based rank, by ranges of the order."""
+    return number(ranked, _ranked(), "rank")
 
 
 def result_page(ranked: DataFrame, page: int, per_page: int = PER_PAGE) -> DataFrame:
-    """One page of results, 1-based, with ranks and the number of pages (rounded up)."""
-    rows = numbered(ranked).withColumn("n_pages", F.ceil(F.count("*").over(W.partitionBy()) / per_page).cast("long"))
-    return rows.filter(F.col("rank").between((page - 1) * per_page + 1, page * per_page))
+    """One page of results, 1-based, with ranks and the number of pages (rounded up).
+
+    Only the rows up to that page's end are ordered (top-k in each task) and ranked.
+    """
+    top = ranked.orderBy(*_ranked()).limit(page * per_page)
+    ranks = top.withColumn("rank", F.row_number().over(W.orderBy(*_ranked())).cast("long"))
+    n = ranked.agg(F.ceil(F.count("*") / per_page).cast("long").alias("n_pages"))
+    return ranks.filter(F.col("rank") > (page - 1) * per_page).crossJoin(F.broadcast(n))
+
+
+def page_links(pages: DataFrame, links: DataFrame, k: int = 10) -> DataFrame:
+    """(page_id, inlinks, outlinks): the first k addresses, in order, of pages that link here and of this page's links.
+
+    ``pages`` has page_id and url, ``links`` has page_id and target.
+    """
+    at = pages.select("page_id", "url")
+    into = links.select(F.col("page_id").alias("source"), F.col("target").alias("url")).join(at, "url").select("page_id", "source")
+    into = into.join(at.toDF("source", "target"), "source").select("page_id", "target").distinct()
+    listed = lambda rows, name: _listed(top_links(rows, k), F.col("target"), name, "\n")
+    both = at.select("page_id").join(listed(into, "inlinks"), "page_id", "left").join(listed(links.select("page_id", "target").distinct(), "outlinks"), "page_id", "left")
+    return both.select("page_id", F.coalesce("inlinks", F.lit("")).alias("inlinks"), F.coalesce("outlinks", F.lit("")).alias("outlinks"))

@@ -20,6 +20,10 @@ from ..streaming.incremental import merge
 TERMS = "from with das from"
 PHRASE = 'the "of the" and'
 NEVER = datetime(2000, 1, 1, tzinfo=UTC)
+#: Words that stand in titles as well.
+TITLED = "amp la der that"
+EXPLAINED = "from zzznone from Das"
+WORDS = ["from", "zzznone", "the"]
 _lower = str.lower
 
 
@@ -77,12 +81,17 @@ def _versions(s: SparkSession, d: str) -> DataFrame:
     return merge(row(1, 0, 0), row(1, 1, -5).unionByName(row(2, 2, 0)).unionByName(row(3, 3, 60))).select("page_id", "url", "version")
 
 
+def _rounded(*names: str) -> dict:
+    return {n: F.round(n, 6) for n in names}
+
+
 def _inline(s: SparkSession, values: str, names: str) -> DataFrame:
     return s.sql(f"SELECT * FROM VALUES {values} AS t({names})")
 
 
 QUERIES = """('a b'), ('"a b" c'), ('x"y"z'), ('""'), ('"a b'), ('  '), ('q "r s" "t'), ('one')"""
 HISTORY = "('u', 2, 'c d'), ('u', 1, 'a \"b'), ('v', 1, 'x'), ('v', 2, 'y\" z')"
+AGAIN = "('v', 3, 'x'), ('u', 4, 'x')"
 DATES = "('Sun, 06 Nov 1994 08:49:37 GMT'), ('Thu, 31 Sep 2020 00:00:00 GMT'), ('Mon, 01 Jan 2024 23:59:59 GMT'), ('nonsense'), ('Sat, 29 Feb 2020 12:00:00 GMT')"
 TYPES = "('text/html; charset=UTF-8'), ('TEXT/HTML'), ('application/xml;charset=x'), ('image/png')"
 
@@ -109,6 +118,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "idf": lambda s, d: rank.inverse_frequency(rank.document_frequency(_doc_postings(s, d)), rank.count_pages(_t(s, d, "documents"))).select("word", F.round("idf", 6).alias("idf")),
         "tf_idf": lambda s, d: rank.tf_idf(_idx(s, d).postings, pages(s, d)).select("field", "page_id", "word", F.round("tf_idf", 6).alias("tf_idf")),
         "search_terms": lambda s, d: rank.search(_idx(s, d), TERMS, _lower),
+        "search_title_boost": lambda s, d: rank.search(_idx(s, d), TITLED, _lower),
+        "explain_terms": lambda s, d: rank.explain_terms(_idx(s, d), EXPLAINED, _lower).withColumns(_rounded("idf", "tf_normalized", "tf_idf")),
+        "idf_of_words": lambda s, d: rank.idf_of(_idx(s, d), WORDS).withColumns(_rounded("idf")),
+        "tf_matrix": lambda s, d: (i := _idx(s, d)) and rank.tf_matrix(i, i.pages, WORDS).withColumns(_rounded("tf_normalized", "tf_idf")),
+        "page_links": lambda s, d: report.page_links(pages(s, d), index.outlinks(pages(s, d)).select("page_id", "target")),
+        "token_positions": lambda s, d: index.token_positions(_t(s, d, "documents"), "doc_id"),
+        "history_delete": lambda s, d: query.delete_from_history(_inline(s, HISTORY, "user, seq, query").unionByName(_inline(s, AGAIN, "user, seq, query")), "x"),
         "search_phrase": lambda s, d: rank.search(_idx(s, d), PHRASE, _lower),
         "search_no_match": lambda s, d: rank.search(_idx(s, d), 'from with "zzz never there"', _lower),
         "search_unknown_term": lambda s, d: rank.search(_idx(s, d), "zzzunknown", _lower),
@@ -153,6 +169,28 @@ c AS (SELECT page_id, round(CASE WHEN nc > 0 THEN dc / (sqrt(k) * nc) ELSE 0 END
 r AS (SELECT page_id, cos_content, cos_title, round(cos_content + 3.9 * cos_title, 7) AS weight, magnitude FROM c JOIN pl USING (page_id) WHERE {phrases})"""
 
 
+def _tokens_sql() -> str:
+    """Treebank spacing as a chain of replacements; a token starts at the non-space character its forerunners leave off at."""
+    before = [
+        ('^"', "``"), ("(``)", r" \1 "), (r"""([ (\[{<])("|'{2})""", r"\1 `` "), (r"([:,])([^\d])", r" \1 \2"), ("([:,])$", r" \1 "), (r"\.\.\.", " ... "),
+        ("[;@#$%&]", r" \0 "), (r"""([^.])(\.)([\])}>"']*)\s*$""", r"\1 \2\3 "), ("[?!]", r" \0 "), ("([^'])' ", r"\1 ' "), (r"[\]\[(){}<>]", r" \0 "), ("--", " -- "),
+    ]
+    after = [
+        ("''", " '' "), ('"', " '' "), ("([^' ])('[sS]|'[mM]|'[dD]|') ", r"\1 \2 "), ("([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"\1 \2 "),
+        *((rf"(?i)\b({a})({b})\b", r" \1 \2 ") for a, b in (p.split() for p in ("can not", "d 'ye", "gim me", "gon na", "got ta", "lem me", "more 'n"))),
+        (r"(?i)\b(wan)(na)\s", r" \1 \2 "), (r"(?i) ('t)(is)\b", r" \1 \2 "), (r"(?i) ('t)(was)\b", r" \1 \2 "),
+    ]
+    text = lambda v: "'" + v.replace("'", "''") + "'"
+    spaced = "coalesce(text, '')"
+    for i, (pattern, put) in enumerate(before + after):
+        spaced = f"regexp_replace({spaced if i != len(before) else f"' ' || {spaced} || ' '"}, {text(pattern)}, {text(put)}, 'g')"
+    return f"""WITH s AS (SELECT doc_id, regexp_extract_all({spaced}, '\\S+') AS w FROM documents),
+t AS (SELECT doc_id, i AS n, CASE WHEN w[i] IN ('``', ) THEN '"' ELSE w[i] END AS token FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM s)),
+k AS (SELECT *, (sum(length(token)) OVER (PARTITION BY doc_id ORDER BY n) - length(token))::BIGINT AS skip FROM t),
+c AS (SELECT doc_id, list_filter(range(len(c)), lambda j: NOT regexp_matches(c[j + 1], '^\\s$')) AS at FROM (SELECT doc_id, string_split(text, '') AS c FROM documents))
+SELECT doc_id, n, at[skip + 1] AS pos, token FROM k JOIN c USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     dw = "w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents)"
     dp = f"""WITH {dw}, o AS (SELECT doc_id, w[i] AS word, i - 1 AS pos FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
@@ -160,6 +198,7 @@ g AS (SELECT doc_id, word, count(*) AS n_positions, min(pos) AS first_position F
     kw = "kt AS (SELECT page_id, word, sum(frequency)::BIGINT AS total FROM po GROUP BY ALL), kr AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY total DESC, word) AS rn FROM kt)"
     kl = "kl AS (SELECT page_id, string_agg(word || ' ' || total, '; ' ORDER BY rn) AS keywords FROM kr WHERE rn <= 10 GROUP BY page_id)"
     lr = "lr AS (SELECT page_id, target, row_number() OVER (PARTITION BY page_id ORDER BY target) AS rn FROM lk)"
+    asked = ", ".join(f"({i}, '{w}')" for i, w in enumerate(WORDS))
     three = "'from', 'with', 'das'"
     ranked = "rr AS (SELECT *, row_number() OVER (ORDER BY weight DESC, magnitude DESC, page_id) AS rank FROM r)"
     stops = ", ".join(f"'{w}'" for w in sorted(DEFAULT_STOP_WORDS))
@@ -180,6 +219,23 @@ g AS (SELECT doc_id, word, count(*) AS n_positions, min(pos) AS first_position F
         "idf": f"{dp} SELECT word, round(log2((SELECT count(*) FROM documents) / count(*)), 6) AS idf FROM g GROUP BY word",
         "tf_idf": f"{_IDX} SELECT field, page_id, word, round(tf_idf, 6) AS tf_idf FROM ti",
         "search_terms": f"{_search_sql(three)} SELECT * FROM r",
+        "search_title_boost": _search_sql(", ".join(f"'{w}'" for w in TITLED.split())) + " SELECT * FROM r",
+        "explain_terms": f"""{_IDX}, asked AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{w}')" for i, w in enumerate(EXPLAINED.split()))}) v(place, term))
+SELECT place::BIGINT AS place, term, lower(term) AS stem, coalesce(df, 0) AS df, coalesce(round(idf, 6), 0) AS idf, page_id, frequency, round(tf_normalized, 6) AS tf_normalized, round(tf_idf, 6) AS tf_idf
+FROM asked LEFT JOIN (SELECT * FROM ti WHERE field = 'plaintext') x ON word = lower(term)""",
+        "idf_of_words": f"""{_IDX}, asked AS (SELECT * FROM (VALUES {asked}) v(place, word)), c AS (SELECT word, any_value(df) AS df, any_value(idf) AS idf FROM ti WHERE field = 'plaintext' GROUP BY word)
+SELECT place::BIGINT AS place, word, coalesce(df, 0) AS df, coalesce(round(idf, 6), 0) AS idf FROM asked LEFT JOIN c USING (word)""",
+        "tf_matrix": f"""{_IDX}, asked AS (SELECT * FROM (VALUES {asked}) v(place, word))
+SELECT p.page_id, place::BIGINT AS place, a.word, coalesce(frequency, 0) AS frequency, coalesce(round(tf_normalized, 6), 0) AS tf_normalized, coalesce(round(tf_idf, 6), 0) AS tf_idf
+FROM pages p CROSS JOIN asked a LEFT JOIN (SELECT * FROM ti WHERE field = 'plaintext') x ON x.page_id = p.page_id AND x.word = a.word""",
+        "page_links": f"""WITH {_LK}, o AS (SELECT page_id, target, row_number() OVER (PARTITION BY page_id ORDER BY target) AS rn FROM lk),
+i AS (SELECT p.page_id, s.url AS target, row_number() OVER (PARTITION BY p.page_id ORDER BY s.url) AS rn FROM lk JOIN pages p ON p.url = lk.target JOIN pages s ON s.page_id = lk.page_id),
+ol AS (SELECT page_id, string_agg(target, chr(10) ORDER BY rn) AS outlinks FROM o WHERE rn <= 10 GROUP BY page_id),
+il AS (SELECT page_id, string_agg(target, chr(10) ORDER BY rn) AS inlinks FROM i WHERE rn <= 10 GROUP BY page_id)
+SELECT page_id, coalesce(inlinks, '') AS inlinks, coalesce(outlinks, '') AS outlinks FROM pages LEFT JOIN il USING (page_id) LEFT JOIN ol USING (page_id)""",
+        "token_positions": _tokens_sql(),
+        "history_delete": f"""WITH h AS (SELECT * FROM (VALUES {HISTORY}, {AGAIN}) t("user", seq, query))
+SELECT * FROM h EXCEPT SELECT "user", min(seq), query FROM h WHERE query = 'x' GROUP BY ALL""",
         "search_phrase": _search_sql("'the', 'of', 'and'", "contains(replace(lower(title), 'ß', 'ss'), 'of the') OR contains(replace(lower(plaintext), 'ß', 'ss'), 'of the')") + " SELECT * FROM r",
         "search_no_match": _search_sql("'from', 'with', 'zzz', 'never', 'there'", "contains(lower(plaintext), 'zzz never there')") + " SELECT * FROM r",
         "search_unknown_term": f"{_search_sql(repr('zzzunknown'))} SELECT * FROM r",

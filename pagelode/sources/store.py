@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.index import Index, build_index, parse_pages
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temp folder only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="pagelode-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def write_index(index: Index, path: str) -> None:
+    """Write the five tables. Postings lie in ranges of (field, word, page), so that files hold few words, a search skips
+    most of them by their statistics, and the list of a frequent word spreads over several files.
+    """
     for name, table in index.tables().items():
         if name == "postings":
-            table.repartition("field", "word").sortWithinPartitions("word", "page_id").write.mode("overwrite").partitionBy("field").parquet(f"{path}/{name}")
+            table.repartitionByRange("field", "word", "page_id").sortWithinPartitions("field", "word", "page_id").write.mode("overwrite").partitionBy("field").parquet(f"{path}/{name}")
         else:
             table.write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -49,3 +41,8 @@ def accepted(responses: DataFrame) -> DataFrame:
 def first_pages(index: Index, limit: int | None = None) -> DataFrame:
     rows = index.pages.orderBy("page_id")
     return rows if limit is None or limit < 0 else rows.limit(limit)
+
+
+def named_links(index: Index) -> DataFrame:
+    """(page_id, target): the link graph with addresses."""
+    return index.links.join(index.urls.select("url_id", F.col("content").alias("target")), "url_id").select("page_id", "target")

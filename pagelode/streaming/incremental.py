@@ -1,15 +1,22 @@
-"""Incremental indexing (I12, P11): newer versions of a page replace it, equal and older ones are ignored."""
+"""Incremental indexing (I12, P11): newer versions of a page replace it, equal and older ones are ignored.
+
+The page state of a stream is a set of parts: a base, and one part for each batch since. A batch only appends its own
+parsed pages, whatever the state's size, and writing it again after a failure replaces the same part. Reading picks the
+winner of each url; ``compact`` folds the parts into a new base.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.index import latest_versions, parse_pages
+from ..operators.index import PARSED, latest_versions, parse_pages
 
-#: Pages per trigger is the reader's ``maxFilesPerTrigger``.
-STATE = "page_id long, url string, title string, plaintext string, mod_time timestamp, size long, links array<string>, postings array<struct<field:string,word:string,positions:array<int>,frequency:long,tf_normalized:double>>"
+#: A base's log entry: it holds all batches up to ``upto``.
+_LOG = "upto long, path string"
 
 
 def merge(stored: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -21,26 +28,45 @@ def merge(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def index_stream(spark: SparkSession, source: str, state: str, checkpoint: str, schema: str = "page_id long, url string, html string", files: int = 16):
-    """Read new page files from ``source`` as a stream and merge each batch into versions of the page state under ``state``."""
+    """Read new page files from ``source`` as a stream, ``files`` of them a batch (B14), into the page state under ``state``."""
     pages = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        parsed = parse_pages(batch)
-        before = read_state(session, state)
-        out = f"{state}/v={uuid.uuid4().hex}"
-        (latest_versions(parsed) if before is None else merge(before, parsed)).write.parquet(out)
-        session.createDataFrame([(batch_id, out)], "batch_id long, path string").coalesce(1).write.mode("append").parquet(f"{state}/log")
+        latest_versions(parse_pages(batch)).write.mode("overwrite").parquet(f"{state}/parts/batch={batch_id}")
 
     return pages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
-def read_state(spark: SparkSession, state: str) -> DataFrame | None:
-    """The page state after the last merged batch; a version counts once the log names it."""
-    from pyspark.errors import AnalysisException
-
+def _base(spark: SparkSession, state: str):
     try:
-        last = spark.read.schema("batch_id long, path string").parquet(f"{state}/log").orderBy("batch_id", ascending=False).first()
+        return spark.read.schema(_LOG).parquet(f"{state}/log").orderBy("upto", ascending=False).first()
     except AnalysisException:
         return None
-    return spark.read.schema(STATE).parquet(last["path"]) if last else None
+
+
+def _versions(spark: SparkSession, state: str) -> DataFrame | None:
+    """Base and later parts with column ``batch``, -1 for the base."""
+    base = _base(spark, state)
+    found = [] if base is None else [spark.read.schema(PARSED).parquet(base["path"]).withColumn("batch", F.lit(-1).cast("long"))]
+    try:
+        parts = spark.read.schema(PARSED + ", batch long").parquet(f"{state}/parts")
+        found.append(parts.filter(F.col("batch") > (-1 if base is None else base["upto"])))
+    except AnalysisException:
+        pass
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1]) if found else None
+
+
+def read_state(spark: SparkSession, state: str) -> DataFrame | None:
+    """The page state: one row per url. None before the first batch."""
+    rows = _versions(spark, state)
+    return None if rows is None else latest_versions(rows).drop("batch")
+
+
+def compact(spark: SparkSession, state: str) -> None:
+    """Fold all parts into a new base; readers see the old base until the log names the new one."""
+    rows = _versions(spark, state)
+    if rows is None or (upto := rows.agg(F.max("batch")).first()[0]) is None or upto < 0:
+        return
+    path = f"{state}/base/{uuid.uuid4().hex}"
+    latest_versions(rows.filter(F.col("batch") <= upto)).drop("batch").write.parquet(path)
+    spark.createDataFrame([(upto, path)], _LOG).coalesce(1).write.mode("append").parquet(f"{state}/log")
