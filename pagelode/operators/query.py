@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import sys
 import time
 from dataclasses import dataclass
+from functools import cache
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,10 +70,21 @@ def remember(spark: SparkSession, path: str, query: str, user: str = "") -> None
         spark.createDataFrame([(user, time.time_ns() // 1000, query)], "user string, seq long, query string").coalesce(1).write.mode("append").parquet(f"{path}/history")
 
 
+@cache
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Lower-case characters that case folding changes further: to one character, and to several."""
+    changed = {c: f for c in map(chr, range(sys.maxunicode + 1)) if c.lower() == c and (f := c.casefold()) != c}
+    return {c: f for c, f in changed.items() if len(f) == 1}, {c: f for c, f in changed.items() if len(f) > 1}
+
+
 def fold(text: F.Column) -> F.Column:
-    """Case folding by expressions: lower case, and the sharp s as in ``str.casefold``."""
-    return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """``str.casefold`` by expressions: lower case, then the characters that fold further; the rare long folds only where one occurs."""
+    single, several = _folds()
+    plain = F.translate(F.lower(text), "".join(single), "".join(single.values()))
+    pairs = F.lit(list(several)), F.lit(list(several.values()))
+    longer = F.aggregate(F.sequence(F.lit(1), F.lit(len(several))), plain, lambda acc, i: F.replace(acc, F.element_at(pairs[0], i), F.element_at(pairs[1], i)))
+    return F.when(plain.rlike(f"[{''.join(several)}]"), longer).otherwise(plain)
 
 
 def fold_value(text: str) -> str:
-    return re.sub("ς", "σ", text.lower()).replace("ß", "ss")
+    return text.casefold()

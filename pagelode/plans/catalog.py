@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.stem import stem_sql
 from ..functions.text import DEFAULT_STOP_WORDS, analyze_word
 from ..operators import crawl, index, query, rank, report
+from ..sources.work import saved
 from ..streaming.incremental import merge
 
 TERMS = "from with das from"
@@ -37,7 +38,7 @@ def _idx(spark: SparkSession, sf_dir: str) -> index.Index:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full chain: parse and index all pages, then rank them for a query."""
-    parsed = index.parse_pages(_t(spark, sf_dir, "pages"), NEVER)
+    parsed = saved(index.parse_pages(_t(spark, sf_dir, "pages"), NEVER), "parsed")
     flat = parsed.select("page_id", F.inline("postings"))
     return rank.search(index.Index(parsed, parsed, parsed, parsed, flat), "thing erenth reation", analyze_word)
 
@@ -68,7 +69,7 @@ def _graph(s: SparkSession, d: str) -> DataFrame:
 
 def _bfs(s: SparkSession, d: str) -> DataFrame:
     seeds = s.range(1).select(F.col("id").alias("node"), F.lit(0).alias("ordinal"))
-    return crawl.bfs(_graph(s, d), seeds).select("node", F.col("depth").cast("long").alias("depth"), "visit")
+    return crawl.bfs(saved(_graph(s, d), "graph"), seeds).select("node", F.col("depth").cast("long").alias("depth"), "visit")
 
 
 def _versions(s: SparkSession, d: str) -> DataFrame:
@@ -141,7 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bfs_order": _bfs,
         "upsert_latest": _versions,
         # the full chain: tested by vectors, no SQL form
-        "full_index_postings": lambda s, d: index.build_index(index.parse_pages(pages(s, d), NEVER)).postings,
+        "full_index_postings": lambda s, d: index.build_index(saved(index.parse_pages(pages(s, d), NEVER), "parsed")).postings,
         "full_search": flagship,
     }
 
@@ -185,10 +186,10 @@ def _tokens_sql() -> str:
     for i, (pattern, put) in enumerate(before + after):
         spaced = f"regexp_replace({spaced if i != len(before) else f"' ' || {spaced} || ' '"}, {text(pattern)}, {text(put)}, 'g')"
     return f"""WITH s AS (SELECT doc_id, regexp_extract_all({spaced}, '\\S+') AS w FROM documents),
-t AS (SELECT doc_id, i AS n, CASE WHEN w[i] IN ('``', ) THEN '"' ELSE w[i] END AS token FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM s)),
+t AS (SELECT doc_id, i AS n, CASE WHEN w[i] IN ('``', '''''') THEN '"' ELSE w[i] END AS token FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM s)),
 k AS (SELECT *, (sum(length(token)) OVER (PARTITION BY doc_id ORDER BY n) - length(token))::BIGINT AS skip FROM t),
-c AS (SELECT doc_id, list_filter(range(len(c)), lambda j: NOT regexp_matches(c[j + 1], '^\\s$')) AS at FROM (SELECT doc_id, string_split(text, '') AS c FROM documents))
-SELECT doc_id, n, at[skip + 1] AS pos, token FROM k JOIN c USING (doc_id)"""
+c AS (SELECT doc_id, list_filter(range(len(c)), lambda j: NOT regexp_matches(c[j + 1], '^\\s$')) AS places FROM (SELECT doc_id, string_split(text, '') AS c FROM documents))
+SELECT doc_id, n, places[skip + 1] AS pos, token FROM k JOIN c USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:

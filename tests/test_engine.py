@@ -2,6 +2,7 @@ import math
 from datetime import UTC, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagelode.functions.text import analyze_word
 from pagelode.operators import crawl, index, query, rank, report
@@ -97,3 +98,26 @@ def test_history(spark):
     h = spark.createDataFrame([("u", 1, "a"), ("u", 2, "b"), ("u", 3, "a")], "user string, seq int, query string")
     assert query.merge_history(h).first()["query"] == "a b a"
     assert query.delete_from_history(h, "a").count() == 2
+
+
+def test_folding_is_that_of_str(spark):
+    chars = [chr(i) for i in range(1, 0x30000) if not 0xD800 <= i < 0xE000]
+    got = spark.createDataFrame([(c,) for c in chars], "c string").select("c", query.fold(F.col("c")).alias("f")).collect()
+    assert [r["c"] for r in got if r["f"] != r["c"].casefold() and r["c"].lower() != r["c"].casefold()] == []
+    assert spark.createDataFrame([("Straße ΣΑΣ ﬁ",)], "c string").select(query.fold(F.col("c"))).first()[0] == "strasse σασ fi"
+
+
+def test_asked_words(built):
+    rows = [tuple(r) for r in rank.idf_of(built, ["appl", "none", "cherri"]).orderBy("place").collect()]
+    assert [r[2] for r in rows] == [2, 0, 2] and rows[1][3] == 0 and math.isclose(rows[0][3], math.log2(1.5))
+    cells = rank.tf_matrix(built, built.pages, ["appl", "none"]).collect()
+    assert len(cells) == 6 and sum(c["frequency"] for c in cells) == 3
+    shown = rank.explain_terms(built, "apple the zzz", analyze_word).orderBy("place", "page_id").collect()
+    assert [(r["term"], r["df"], r["page_id"]) for r in shown] == [("apple", 2, 1), ("apple", 2, 3), ("the", 0, None), ("zzz", 0, None)]
+    assert rank.explain_terms(built, "", analyze_word).count() == 0
+
+
+def test_page_links(spark):
+    pages = spark.createDataFrame([(1, "u"), (2, "v")], "page_id long, url string")
+    links = spark.createDataFrame([(1, "v"), (1, "w"), (2, "u")], "page_id long, target string")
+    assert [tuple(r) for r in report.page_links(pages, links).orderBy("page_id").collect()] == [(1, "v", "v\nw"), (2, "u", "u")]
