@@ -47,7 +47,7 @@ def parse_pages(pages: DataFrame, crawl_time: datetime | None = None, stop: froz
     ship(pages.sparkSession)
     now = crawl_time or datetime.now(UTC)
     with_headers = "headers" in pages.columns
-    source = pages.select("page_id", "url", "html", *(["headers"] if with_headers else []))
+    source = _spread(pages.select("page_id", "url", "html", *(["headers"] if with_headers else [])))
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -82,6 +82,12 @@ def parse_pages(pages: DataFrame, crawl_time: datetime | None = None, stop: froz
     return source.mapInArrow(run, kind)
 
 
+def _spread(pages: DataFrame) -> DataFrame:
+    """Pages from fewer files than there are cores, dealt to all cores: reading words costs far more than moving pages."""
+    files, cores = len(pages._jdf.inputFiles()), pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores) if 0 < files < cores else pages
+
+
 def dense_ids(df: DataFrame, value: str, id_name: str) -> DataFrame:
     """(id, content): dense ids of the distinct values by their sort order."""
     values = df.select(F.col(value).alias("content")).filter(F.col(value).isNotNull()).distinct()
