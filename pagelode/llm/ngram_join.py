@@ -4,7 +4,11 @@ Texts with the same words form one *node*. Nodes are signed with 96 MinHash valu
 row meet in a bucket. A bucket proposes each node with the bucket's first node and with its neighbour in signature
 order, so proposals grow with the nodes and not with the pairs. A proposed pair is compared 16 values at a time and
 dropped once the posterior probability that its similarity reaches the threshold falls below a tolerance. Pairs that
-are left join candidate groups. Groups are verified exactly and whole: nodes are dealt to blocks of about 256, each
+are left join candidate groups. A bucket of up to three nodes has proposed all its pairs. The nodes of a larger one that
+are not all in one group are joined again by prefix filter: shingles are ordered by how many of these nodes hold them,
+and two texts of similarity 0.8 share one of their first ``n - ceil(0.8 n) + 1``. A shingle that few of them start with
+proposes all their pairs, a common one puts them in one group (apart where sizes exclude a link).
+Groups are verified exactly and whole: nodes are dealt to blocks of about 256, each
 pair of blocks is one unit of work in which all pairs are compared by their full shingle sets, and only one row per
 node leaves it (its verified links and its root in the unit). So every link inside a group is counted, no pair is
 emitted, and no unit grows with the group.
@@ -37,6 +41,12 @@ HASHES, BAND = 96, 4
 STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 256
+#: Nodes of a bucket up to which its first node and the neighbours propose every pair.
+WHOLE = 3
+#: Nodes that start with one shingle up to which all pairs are proposed; more make one group.
+WIDE = 64
+#: Cells in which shingles are counted for their order; any number gives right results.
+CELLS = 1 << 22
 #: Nodes up to which the candidate list is broadcast (16 bytes and a few numbers each); beyond, texts are shuffled to it.
 BROADCAST_ROWS = 200_000
 
@@ -107,8 +117,8 @@ def _signed(docs: DataFrame) -> DataFrame:
     return map_rows(keyed, sign, "doc_id long, k1 long, k2 long, node binary, sig binary")
 
 
-def _proposed(nodes: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, proposed by buckets."""
+def _proposed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b), a < b, proposed by buckets, and (key, node) of the buckets that did not propose all their pairs."""
     bands = HASHES // BAND
 
     def spread(cols):
@@ -123,23 +133,33 @@ def _proposed(nodes: DataFrame) -> DataFrame:
 
     rows = map_rows(nodes.select("node", "sig"), spread, "key long, after long, node binary")
     rows = rows.repartition("key").sortWithinPartitions("key", "after", "node")
-    kind = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    kind = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("key", pa.int64())])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first, before = None, b"", b""
+        last, first, before, held = None, b"", b"", []
         for batch in batches:
-            a, b = [], []
+            a, b, keys = [], [], []
             for key, node in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if key != last:
-                    last, first = key, node
+                    last, first, held = key, node, [node]
                 else:
                     for other in {first, before}:
                         a.append(min(other, node))
                         b.append(max(other, node))
+                        keys.append(None)
+                    if len(held) < WHOLE:
+                        held.append(node)
+                    else:
+                        more = [node] if len(held) > WHOLE else [*held, node]
+                        held = [b""] * (WHOLE + 1)
+                        a += more
+                        b += [None] * len(more)
+                        keys += [key] * len(more)
                 before = node
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=kind)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(keys, pa.int64())], schema=kind)
 
-    return rows.mapInArrow(pair, "a binary, b binary").distinct()
+    told = saved(rows.mapInArrow(pair, "a binary, b binary, key long"), "jaccard-proposed")
+    return told.filter("key IS NULL").select("a", "b").distinct(), told.filter("key IS NOT NULL").select("key", F.col("a").alias("node"))
 
 
 def _unpruned(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -243,12 +263,8 @@ def _verify(nodes: list[bytes], copies: list[int], texts: list[bytes], blocks: l
     return [(nodes[order[x]], nodes[order[root(x)]], int(links[x])) for x in range(len(order))]
 
 
-def _verified(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, root, links) for each node and unit."""
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
-    dealt = groups.join(sizes, "root").join(nodes.select("node", "copies"), "node")
-    dealt = saved(dealt.select("node", "root", "copies", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block")), "jaccard-dealt")
-    n = dealt.count()
+def _texts(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(node, words) of the ``n`` wanted nodes."""
 
     def name(cols):
         words = [words_of(t) for t in cols["text"].to_pylist()]
@@ -256,9 +272,93 @@ def _verified(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame
         return [pa.array([xxhash.xxh3_128_digest(t) if t else None for t in text], pa.binary()), pa.array(text, pa.binary())]
 
     named = map_rows(docs.select("text"), name, "node binary, words binary")
-    wanted = dealt.select("node")
     # copies are reduced to one before the shuffle
-    texts = named.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
+    return named.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
+
+
+def prefix(sh: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The first shingles by (level, value), one of which any two texts of similarity 0.8 share; unshared ones left out."""
+    at = level[(sh % np.uint64(len(level))).astype(np.int64)]
+    first = np.lexsort((sh, at))[: len(sh) - (NUM * len(sh) + DEN - 1) // DEN + 1]
+    return sh[first[at[first] > 0]]
+
+
+def _apart(docs: DataFrame, crowd: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """Edges (a, b) between groups for the nodes of large buckets that lie in several groups (None: there are none)."""
+    spark = docs.sparkSession
+    rooted = crowd.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    wanted = saved(rooted.join(mixed, "key", "left_semi").select("node", "root").distinct(), "jaccard-crowd")
+    if not (n := wanted.count()):
+        return None
+    texts = saved(_texts(docs, wanted.select("node"), n).join(wanted, "node"), "jaccard-crowd-texts")
+
+    def cells(cols):
+        held = [shingles(t.split(b" ")) % np.uint64(CELLS) for t in cols["words"].to_pylist()]
+        cell, count = np.unique(np.concatenate(held), return_counts=True)
+        return [cell.astype(np.int32), count]
+
+    counted = map_rows(texts.select("words"), cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1")
+    told = counted.select("cell", F.floor(F.log2("n")).cast("byte").alias("level")).toArrow()
+    level = np.zeros(CELLS, np.int8)
+    level[told["cell"].to_numpy()] = told["level"].to_numpy()
+    shared = spark.sparkContext.broadcast(level)
+
+    def start(cols):
+        out: tuple[list, ...] = ([], [], [], [])
+        for node, root, text in zip(*(cols[c].to_pylist() for c in ("node", "root", "words")), strict=True):
+            sh = shingles(text.split(b" "))
+            keys = prefix(sh, shared.value).view(np.int64).tolist()
+            for o, v in zip(out, (keys, [len(sh)] * len(keys), [node] * len(keys), [root] * len(keys)), strict=True):
+                o += v
+        return [*out]
+
+    rows = map_rows(texts, start, "key long, size long, node binary, root binary").repartition("key").sortWithinPartitions("key", "size", "node")
+    kind = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("sure", pa.bool_())])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, wide, head, before = None, [], False, None, 0
+        for batch in batches:
+            a, b, sure = [], [], []
+
+            def star(size, node, root):
+                nonlocal head, before
+                if head is None or DEN * before < NUM * size:
+                    head = (node, root)
+                elif head[1] != root:
+                    a.append(head[0]), b.append(node), sure.append(True)
+                before = size
+
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != last:
+                    last, held, wide, head = key, [], False, None
+                if wide:
+                    star(*row)
+                    continue
+                held.append(row)
+                if wide := len(held) > WIDE:
+                    for r in held:
+                        star(*r)
+                    held = []
+                    continue
+                for size, node, root in held[:-1]:
+                    if root != row[2] and DEN * size >= NUM * row[0]:
+                        a.append(node), b.append(row[1]), sure.append(False)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sure, pa.bool_())], schema=kind)
+
+    ship(spark)
+    found = rows.mapInArrow(pair, "a binary, b binary, sure boolean").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure")
+    found = saved(found.distinct(), "jaccard-apart")
+    return _unpruned(found.filter("NOT sure").select("a", "b"), nodes).unionByName(found.filter("sure").select("a", "b"))
+
+
+def _verified(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root, links) for each node and unit."""
+    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    dealt = groups.join(sizes, "root").join(nodes.select("node", "copies"), "node")
+    dealt = saved(dealt.select("node", "root", "copies", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block")), "jaccard-dealt")
+    n = dealt.count()
+    texts = _texts(docs, dealt.select("node"), n)
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     units = dealt.join(texts, "node").select("node", "root", "copies", "block", "words", other)
     units = units.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
@@ -291,8 +391,13 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = saved(_signed(docs), "jaccard-signed")
     named = rows.filter("node IS NOT NULL")
     nodes = saved(named.groupBy("node", "sig").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")), "jaccard-nodes")
-    left = saved(_unpruned(_proposed(nodes), nodes), "jaccard-candidates")
-    verified = _verified(docs, components(left, "jaccard-groups"), nodes)
+    pairs, crowd = _proposed(nodes)
+    left = saved(_unpruned(pairs, nodes), "jaccard-candidates")
+    groups = saved(components(left, "jaccard-groups"), "jaccard-roots")
+    if (more := _apart(docs, crowd, groups, nodes)) is not None:
+        told = groups.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more)
+        groups = components(told, "jaccard-groups")
+    verified = _verified(docs, groups, nodes)
     found = components(verified.select(F.col("root").alias("a"), F.col("node").alias("b")), "jaccard-classes")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     told = nodes.select("node", "copies", "first_doc").join(found, "node", "left").join(links, "node", "left").withColumn("class", F.coalesce("root", "node"))

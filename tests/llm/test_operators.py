@@ -256,6 +256,33 @@ def test_ngram_jaccard_finds_pairs_among_texts_that_share_a_passage(spark):
         assert got[i]["class_id"] == min(j for j, b in enumerate(sets) if 5 * len(sets[i] & b) >= 4 * len(sets[i] | b)) if w else got[i]["class_id"] == i
 
 
+def test_ngram_jaccard_finds_short_copies_of_a_passage_that_longer_texts_quote(spark, monkeypatch):
+    """The pair shares every bucket, but never first or next to each other. Signatures are set so, whatever the hashes."""
+    own = random.Random(11)
+    name = lambda t: ngram_join.xxhash.xxh3_128_digest(t.encode())
+    passage = " ".join(f"p{i}" for i in range(60))
+    low = next(t for i in range(999) if name(t := f"{passage} a{i} z")[0] < 0x60)
+    high = next(t for i in range(999) if name(t := f"{passage} b{i} z")[0] > 0xA0)
+    rand = lambda n: [own.randrange(1 << 32) for _ in range(n)]
+    common = rand(ngram_join.HASHES)
+    rows = [(low, common), (high, common)]
+    for band in range(ngram_join.HASHES // ngram_join.BAND):
+        for _ in range(40):
+            sig = rand(ngram_join.HASHES)
+            for i in range(6):
+                at = (band * ngram_join.BAND + i) % ngram_join.HASHES
+                sig[at] = common[at]
+            rows.append((" ".join([passage, *(f"o{x}" for x in rand(90))]), sig))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    signed = [(i, i, i, bytearray(name(t)), bytearray(np.array(sig, np.uint32).tobytes())) for i, (t, sig) in enumerate(rows)]
+    table = spark.createDataFrame(signed, "doc_id long, k1 long, k2 long, node binary, sig binary")
+    monkeypatch.setattr(ngram_join, "_signed", lambda _: table)
+    for wide in (64, 1):
+        monkeypatch.setattr(ngram_join, "WIDE", wide, raising=False)
+        got = {(r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.op7_ngram_jaccard(docs).filter("n_links > 0").collect()}
+        assert got == {(0, 0, 1), (1, 0, 1)}
+
+
 def test_pruning_keeps_similar_pairs():
     least = ngram_join.least_matches()
     assert list(least) == sorted(least) and least[-1] < 0.8 * ngram_join.HASHES
