@@ -95,7 +95,8 @@ _GENERATORS = (
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
     ("birth_date", re.compile(r"(?<![0-9A-Za-z])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9A-Za-z])")),
 )
-_SPELLED = re.compile(r"\b(?:dot|DOT)\b")
+#: A part of every spelled address that has no @, so that no proposal is lost where a text has no digit either.
+_SPELLED = re.compile(r"(?:at|AT)\x20?[\])]?\x20?[A-Za-z0-9-]{1,63}\x20?[\[(]?\x20?(?:dot|DOT|\.)")
 
 #: Words before or after a span that speak for or against it.
 _CONTEXT = (
