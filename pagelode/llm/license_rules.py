@@ -1,8 +1,8 @@
 """License scan: ordered signature rules gated by keywords, with priority and interval-containment suppression.
 
 Texts are reduced to lower-cased words joined by single spaces, so one hand-written regex covers any punctuation or
-line breaking. A rule is (label, priority, keyword, pattern). A rule runs only where its keyword is among the
-text's words. Detections are then resolved: higher priority first, longer first, earlier first; a detection whose
+line breaking. A rule is (label, priority, keywords, pattern). A rule runs only where one of its keywords, parted by
+spaces, is among the text's words; each match holds one of them as a word. Detections are then resolved: higher priority first, longer first, earlier first; a detection whose
 interval lies inside an accepted one is suppressed. Base phrases are counted apart and are never suppressed.
 
 Defined cases: null or empty text has no words, no labels and score 0; ties between equal intervals go to the rule
@@ -36,7 +36,9 @@ def _gnu() -> list[tuple]:
         for v in versions:
             n = v.removesuffix(".0").replace(".", " ")
             n = f"{n}(?: 0)?" if " " not in n else n
-            for key, lead in ((word, f"(?:gnu )?{name}(?: {label})? "), (label, f"(?:gnu )?{label} ?")):
+            # the version may be joined to the name: gpl3, gplv3, gpl version 3
+            joined = " ".join(label + at + digit for at in ("", "v", "ver", "version", "versions") for digit in ("", v[0]))
+            for key, lead in ((word, f"(?:gnu )?{name}(?: {label})? "), (joined, f"(?:gnu )?{label} ?")):
                 rules += [
                     (f"{label}-{v}-or-later", 95, key, rf"{lead}{_V}{n} or (?:at your option )?(?:any )?later(?: version)?"),
                     (f"{label}-{v}-only", 94, key, rf"{lead}{_V}{n} only"),
@@ -129,7 +131,7 @@ def _single() -> list[tuple]:
         ("mit", 84, "expat", r"expat licen[sc]e"),
         ("mit-0", 86, "attribution", r"mit no attribution"),
         ("x11", 82, "x11", r"x11 licen[sc]e"),
-        ("bsd-2-clause", 88, "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd licen[sc]e)"),
+        ("bsd-2-clause", 88, "bsd freebsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd licen[sc]e)"),
         ("bsd-3-clause", 88, "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
         ("bsd-4-clause", 88, "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"),
         ("0bsd", 88, "0bsd", r"0bsd"),
@@ -145,7 +147,7 @@ def _single() -> list[tuple]:
         ("wtfpl", 82, "wtfpl", r"wtfpl"),
         ("public-domain", 40, "domain", r"(?:released into|placed in|dedicated to|in) the public domain"),
         ("apache-2.0", 93, "apache", r"www apache org licenses license 2 0"),
-        ("apache-2.0", 91, "apache", r"asl ?2 0"),
+        ("apache-2.0", 91, "asl asl2", r"asl ?2 0"),
         ("openssl", 82, "openssl", r"openssl licen[sc]e"),
         ("curl", 82, "curl", r"curl licen[sc]e"),
         ("vim", 82, "vim", r"vim licen[sc]e"),
@@ -174,16 +176,16 @@ def _identifiers() -> list[tuple]:
 
 
 @cache
-def rules() -> tuple[tuple[str, int, bytes, re.Pattern], ...]:
+def rules() -> tuple[tuple[str, int, frozenset[bytes], re.Pattern], ...]:
     """All rules by falling priority; a text position counts only at word limits."""
     made = [*_identifiers(), *_gnu(), *_creative_commons(), *_versioned(), *_single()]
     made.sort(key=lambda r: -r[1])
-    return tuple((label, p, key.encode(), re.compile(rb"(?<![^ ])" + pat.encode() + rb"(?![^ ])")) for label, p, key, pat in made)
+    return tuple((label, p, frozenset(key.encode().split()), re.compile(rb"(?<![^ ])" + pat.encode() + rb"(?![^ ])")) for label, p, key, pat in made)
 
 
 @cache
 def _keywords() -> frozenset[bytes]:
-    return frozenset(r[2] for r in rules())
+    return frozenset().union(*(r[2] for r in rules()))
 
 
 def detect(words: list[bytes]) -> list[tuple[int, int, str, int]]:
@@ -192,7 +194,7 @@ def detect(words: list[bytes]) -> list[tuple[int, int, str, int]]:
     if not there:
         return []
     text = b" ".join(words)
-    found = [(p, m.start(), m.end(), label) for label, p, key, pat in rules() if key in there for m in pat.finditer(text)]
+    found = [(p, m.start(), m.end(), label) for label, p, keys, pat in rules() if not keys.isdisjoint(there) for m in pat.finditer(text)]
     found.sort(key=lambda f: (-f[0], f[1] - f[2], f[1]))
     taken: list[tuple[int, int, str, int]] = []
     if len(found) <= 64:

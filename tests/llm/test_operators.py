@@ -88,6 +88,42 @@ def test_license_containment():
     assert len(many) == 120
 
 
+def test_license_keywords_lose_no_match():
+    """Texts made from each rule's pattern pass its own gate."""
+    from re import _parser
+
+    own = random.Random(4)
+
+    def made(parts):
+        out = ""
+        for op, arg in parts:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                kind, low = own.choice(arg)
+                out += "w" if str(kind) == "CATEGORY" else chr(own.randint(*low)) if str(kind) == "RANGE" else chr(low)
+            elif name == "MAX_REPEAT":
+                out += "".join(made(arg[2]) for _ in range(own.randint(arg[0], min(arg[1], arg[0] + 1))))
+            elif name == "SUBPATTERN":
+                out += made(arg[3])
+            elif name == "BRANCH":
+                out += made(own.choice(arg[1]))
+            else:
+                assert name == "ASSERT_NOT", name
+        return out
+
+    for label, _, keys, pattern in license_rules.rules():
+        for _ in range(60):
+            text = made(_parser.parse(pattern.pattern.decode()))
+            words = words_of(text)
+            assert pattern.search(b" ".join(words)), text
+            assert not keys.isdisjoint(words), (label, text)
+    labels = lambda t: {f[2] for f in license_rules.detect(words_of(t))}
+    assert "gpl-3.0" in labels("Released under the GPL3") and labels("FreeBSD License") == {"bsd-2-clause"}
+    assert labels("ASL 2.0") == labels("ASL2.0") == {"apache-2.0"} and labels("LGPL2.1") == {"lgpl-2.1"}
+
+
 def test_decontamination(docs, none, items):
     assert table(decontaminate.op3_decontamination(docs, items).toPandas()) == table(by_sql(decontaminate.OP3_SQL))
     assert decontaminate.op3_decontamination(none, items).count() == 0
