@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -68,24 +69,29 @@ class Frontier:
         self.seen = saved(self.seen.join(urls.select("url"), "url", "left_anti"), "seen")
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, budget: int | None = None, max_depth: int = 64) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame, budget: int | None = None, max_depth: int | None = None) -> DataFrame:
     """(node, depth, visit): ``edges`` has source, target, ordinal; ``seeds`` has node, ordinal.
 
     A level is the distinct targets of the level before that were never queued, ordered by the parent's place and the
-    link's ordinal. Levels are written to the shared folder. ``budget`` ends the loop early.
+    link's ordinal. The loop ends when no link leads further; ``budget`` or ``max_depth`` ends it early. Levels are written
+to the shared folder and merged as they add up, so that the plan stays short at any depth.
     """
     first = saved(seeds.groupBy("node").agg(F.min("ordinal").alias("o")), "level")
     total = first.count()
     level = _placed(first, total, ["o", "node"], "visit", 0).select("node", F.lit(0).alias("depth"), "visit")
     seen = level = saved(level, "level")
-    for depth in range(1, max_depth + 1):
-        if budget is not None and total >= budget:
-            break
+    parts, depth = [(total, level)], 0
+    while (budget is None or total < budget) and (max_depth is None or depth < max_depth):
+        depth += 1
         nexts = level.join(edges, level["node"] == edges["source"]).groupBy(F.col("target").alias("node")).agg(F.min(F.struct("visit", "ordinal")).alias("key"))
         fresh = saved(nexts.join(seen.select("node"), "node", "left_anti"), "level")
         if not (n := fresh.count()):
             break
         level = saved(_placed(fresh, n, ["key", "node"], "visit", total).select("node", F.lit(depth).alias("depth"), "visit"), "level")
         total += n
-        seen = seen.unionByName(level)
+        parts.append((n, level))
+        while len(parts) > 1 and parts[-2][0] <= 2 * parts[-1][0]:
+            (m, older), (k, newer) = parts[-2:]
+            parts[-2:] = [(m + k, saved(older.unionByName(newer), "seen"))]
+        seen = reduce(DataFrame.unionByName, (df for _, df in parts))
     return seen.filter(F.col("visit") <= budget) if budget is not None else seen

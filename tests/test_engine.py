@@ -78,6 +78,12 @@ def test_bfs(spark):
     assert crawl.bfs(edges, seeds, budget=2).count() == 2
 
 
+def test_bfs_follows_long_chains(spark):
+    edges = spark.createDataFrame([(i, i + 1, 0) for i in range(66)], "source long, target long, ordinal int").coalesce(1)
+    got = [tuple(r) for r in crawl.bfs(edges, spark.createDataFrame([(0, 0)], "node long, ordinal int")).orderBy("visit").collect()]
+    assert got == [(i, i, i + 1) for i in range(67)]
+
+
 def test_newer_versions_replace(spark):
     parse = lambda rows, t: index.parse_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), t)
     old = parse([(1, "u", "one")], datetime(2020, 1, 2, tzinfo=UTC))
