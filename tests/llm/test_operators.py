@@ -186,22 +186,119 @@ def test_personal_data_without_digits():
     assert n > 500
 
 
+LONG = "<p>Long text, with commas. And more, of it, all of it here today.</p>"
+CLASSES = ["content has-sidebar", "content-sidebar-wrap", "post related-2", "entry no-comments", "article social", "search-results", "ad popup"]
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
-        (None, ""), ("", ""), ("<p>only", "only"), ("plain &lt; text", "plain < text"),
+        (None, ""), ("", ""), ("<p>only", "only"), ("plain &lt; text", "plain < text"), ("<nav><a href=x>N</a></nav><footer>x</footer>", ""), ("<br>", ""),
         ("<body><nav><a href=x>N</a></nav><article><h1>T</h1><p><b>One, two.<br><p>Th&eacute;  end.</p></article><footer>F</footer>", "T One, two. Thé end."),
         ("<div class='ad'>Buy</div><main><p>Text, here.<script>if(a<b)'</p>'</script> on.</p><section id=comments><p>Nice, yes.</p></section></main>", "Text, here. on."),
         ("<div id=menu><a href=a>A</a></div><div><h1>H</h1><p>Long text, with commas. And more, of it, all.</p><ul><li>i<li>j</ul></div><form>q</form>", "H Long text, with commas. And more, of it, all. i j"),
+        # sibling articles, a form around the page, comments longer than the text, a footer by class
+        (f"<article><h2>A</h2>{LONG}{LONG}</article><article><h2>B</h2><p>Small, one.</p></article>", f"A {LONG[3:-4]} {LONG[3:-4]} B Small, one."),
+        (f"<form id=f><div class=menu><a href=a>A</a></div><div><h1>H</h1>{LONG}</div></form>", f"H {LONG[3:-4]}"),
+        (f"<div>{LONG}{LONG}<div id=comments>{LONG * 5}</div></div><div class=footer>{LONG}</div>", f"{LONG[3:-4]} {LONG[3:-4]}"),
+        (f"<table><tr><td>{LONG}<td>b<tr><td>c</table>", f"{LONG[3:-4]} b c"), (f"<a title=\"x><p>{LONG}", f"{LONG[3:-4]}"),
     ],
 )
 def test_main_text(page, want):
     assert tag_paths.main_text(page) == want
 
 
+@pytest.mark.parametrize("name", CLASSES)
+@pytest.mark.parametrize("tag", ["div", "article", "section"])
+def test_layout_names_drop_no_text(name, tag):
+    page = f"<body><nav><a href=x>N</a></nav><{tag} class='{name}'><h1>T</h1>{LONG}{LONG}</{tag}><footer>x, y. z</footer></body>"
+    assert tag_paths.main_text(page) == f"T {LONG[3:-4]} {LONG[3:-4]}"
+
+
+def test_ratios_choose_the_text():
+    """The threshold decides: at 0 all paths are content, at three times the mean only the best one."""
+    page = f"<body><div><i>Tiny</i></div><div><section>Some words here</section>{LONG * 3}</div><div>Other</div></body>"
+    assert tag_paths.main_text(page, 0.0) == f"Tiny Some words here {' '.join([LONG[3:-4]] * 3)} Other"
+    assert tag_paths.main_text(page) == f"Some words here {' '.join([LONG[3:-4]] * 3)}"
+    assert tag_paths.content_paths(tag_paths.parse(page), 3.0) == set()
+
+
+def test_path_sums_equal_a_plain_count(spark):
+    """Ratios and choice against a tree read by the standard parser, on real pages without open tags."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.rows, self.skip = [], [], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("style", "script", "title"):
+                self.skip += 1
+            elif tag not in ("meta", "br", "b", "a"):
+                doubts = 2 if tag in ("nav", "footer") else 1 if ("class", "ad") in attrs else 0
+                self.open.append(tag + "~" * doubts)
+            self.link = tag == "a"
+
+        def handle_endtag(self, tag):
+            self.link = False
+            if tag in ("style", "script", "title"):
+                self.skip -= 1
+            elif tag not in ("b", "a"):
+                self.open.pop()
+
+        def handle_data(self, data):
+            if not self.skip and data.strip():
+                self.rows.append(("".join("/" + t for t in self.open), " ".join(data.split()), len(data) if self.link else 0))
+
+    seen = 0
+    for row in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        source = re.sub("<p><b>|<br><p>|</p><p>", lambda m: {"<p><b>": "<p>", "<br><p>": "</p><p>"}.get(m[0], m[0]), row["html"])
+        if source.count("<p>") != source.count("</p>"):
+            continue
+        plain = Plain()
+        plain.feed(source)
+        page = tag_paths.parse(source)
+        assert [(page.name(n.path), t, k) for n, t, k in page.blocks] == plain.rows
+        ratio, line = {}, []
+        for path in {r[0] for r in plain.rows}:
+            mine = [r for r in plain.rows if r[0] == path]
+            marks = sum(len(re.findall(r"[.,;:!?。，、；：！？…]", t)) for _, t, _ in mine)
+            ratio[path] = sum(len(t) - 0.9 * k for _, t, k in mine) / len(mine) * (1 + np.log1p(marks / len(mine)))
+        line = [ratio[r[0]] for r in plain.rows]
+        near = [0.25 * line[max(i - 1, 0)] + 0.5 * x + 0.25 * line[min(i + 1, len(line) - 1)] for i, x in enumerate(line)]
+        fused = {}
+        for path in ratio:
+            mine = [s for s, r in zip(near, plain.rows, strict=True) if r[0] == path]
+            fused[path] = np.sqrt(ratio[path] * sum(mine) / len(mine)) * 0.05 ** path.count("~")
+        got = {page.name(p): r for p, r in tag_paths.ratios(page).items()}
+        assert got.keys() == fused.keys() and all(abs(got[p] - fused[p]) < 1e-9 for p in got)
+        weight = [len(t) * 0.05 ** p.count("~") for p, t, _ in plain.rows]
+        mean = sum(fused[r[0]] * w for r, w in zip(plain.rows, weight, strict=True)) / sum(weight)
+        chosen = {p for p, r in fused.items() if r >= 0.3 * mean}
+        assert {page.name(p) for p in tag_paths.content_paths(page)} == chosen and "/html/body/article/p" in chosen
+        assert tag_paths.main_text(source) == " ".join(t for p, t, _ in plain.rows if "/article/" in p)
+        seen += 1
+    assert seen > 30
+
+
+@pytest.mark.parametrize("part", ["<a \"", "<a =\"", "<a", "<div>x", "<i><b>x</i>", "<b>x<p>", "</p>", "<!-", "<table><tr><td>x"])
+def test_parsing_takes_linear_time(part):
+    """Hostile pages of 64 kB take far less than a second; a quadratic way took three."""
+    import time
+
+    page = (part * 64000)[:64000]
+    start = time.perf_counter()
+    tag_paths.main_text(page)
+    assert time.perf_counter() - start < 1.5
+
+
 def test_main_text_query(spark):
-    pages = spark.createDataFrame([(1, "u", "<article><p>é b</p></article>", 9), (1, None, None, 9)], "page_id long, url string, html string, n_chars long")
-    assert sorted((r["text"], r["n_chars"]) for r in tag_paths.op5_main_text(pages).collect()) == [("", 0), ("é b", 3)]
+    pages = spark.createDataFrame([(1, "u", "<article><p>é b</p></article>", 9), (1, None, None, 9), (1, None, None, 9)], "page_id long, url string, html string, n_chars long")
+    assert sorted((r["text"], r["n_chars"]) for r in tag_paths.op5_main_text(pages).collect()) == [("", 0), ("", 0), ("é b", 3)]
+    assert tag_paths.op5_main_text(pages.limit(0)).count() == 0
+    words = "word, " * 100_000
+    assert tag_paths.main_text(f"<article><p>{words}</p></article>") == words.strip()
 
 
 def test_token_ids(docs, none):
