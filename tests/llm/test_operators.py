@@ -254,7 +254,7 @@ def test_path_sums_equal_a_plain_count(spark):
     seen = 0
     for row in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
         source = re.sub("<p><b>|<br><p>|</p><p>", lambda m: {"<p><b>": "<p>", "<br><p>": "</p><p>"}.get(m[0], m[0]), row["html"])
-        if source.count("<p>") != source.count("</p>"):
+        if source.count("<p>") + 1 != source.count("</p>"):  # one more stands in a script
             continue
         plain = Plain()
         plain.feed(source)
