@@ -8,15 +8,21 @@ are left join candidate groups. A bucket of up to three nodes has proposed all i
 are not all in one group are joined again by prefix filter: shingles are ordered by how many of these nodes hold them,
 and two texts of similarity 0.8 share one of their first ``n - ceil(0.8 n) + 1``. A shingle that few of them start with
 proposes all their pairs, a common one puts them in one group (apart where sizes exclude a link).
-Groups are verified exactly and whole: nodes are dealt to blocks of about 256, each
-pair of blocks is one unit of work in which all pairs are compared by their full shingle sets, and only one row per
-node leaves it (its verified links and its root in the unit). So every link inside a group is counted, no pair is
-emitted, and no unit grows with the group.
+
+A group is dealt to blocks of bounded nodes and shingles, and each pair of blocks is a unit of work. Units first get
+signatures alone: the same incremental comparison prunes their pairs, and only nodes that keep a partner in a unit have
+their text sent there. A unit then verifies the pairs that survived by their full shingle sets; one row per node leaves
+it (its verified links and its root in the unit). So every link inside a group is counted, no pair is emitted, and
+neither output nor memory of a unit grows with the group.
+
+Keys that hold many rows (the copies of one text, the centre of a star, one group) never meet in one task: there are at
+most ``HOT_KEYS`` of them, whatever the table's size, and they are joined by broadcast (``dealt_join``).
 
 Defined cases: words are runs of ASCII letters and digits, lower-cased, and of characters beyond ASCII; a text of one
 to four words is one shingle; a text without words (or null) is alone in its class and has no links; repeated rows
 and ids are separate documents of one node; a class id is the smallest doc_id in the class (null if it has none);
-other columns are not touched; an empty table gives an empty result.
+a very long text is read whole, in a block of its own if need be; other columns, also ``class_id``, ``n_links`` or
+``node``, are not touched; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +46,10 @@ NUM, DEN = 4, 5
 HASHES, BAND = 96, 4
 STEP = 16
 TOLERANCE = 1e-6
-BLOCK = 256
+#: Nodes and shingles of a block, on average; blocks are dealt by hash.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18
+#: Most keys that count as hot, and fewest rows of one.
+HOT_KEYS, HOT_ROWS = 10_000, 256
 #: Nodes of a bucket up to which its first node and the neighbours propose every pair.
 WHOLE = 3
 #: Nodes that start with one shingle up to which all pairs are proposed; more make one group.
@@ -101,20 +110,36 @@ def _signed(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(7), "text", "doc_id").alias("k2"), "text")
 
     def sign(cols):
-        nodes, sigs = [], []
-        done: dict[bytes, bytes] = {}
+        nodes, sigs, sizes = [], [], []
+        done: dict[bytes, tuple[bytes, int]] = {}
         for text in cols["text"].to_pylist():
             words = words_of(text)
-            node = sig = None
+            node, sig, size = None, None, 0
             if words:
                 node = xxhash.xxh3_128_digest(b" ".join(words))
-                if (sig := done.get(node)) is None:
-                    sig = done[node] = signature(shingles(words)).tobytes()
+                if node not in done:
+                    sh = shingles(words)
+                    done[node] = signature(sh).tobytes(), len(sh)
+                sig, size = done[node]
             nodes.append(node)
             sigs.append(sig)
-        return [cols["doc_id"], cols["k1"], cols["k2"], pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())]
+            sizes.append(size)
+        return [cols["doc_id"], cols["k1"], cols["k2"], pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary()), sizes]
 
-    return map_rows(keyed, sign, "doc_id long, k1 long, k2 long, node binary, sig binary")
+    return map_rows(keyed, sign, "doc_id long, k1 long, k2 long, node binary, sig binary, size long")
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, which has one row for each key and how many rows of ``left`` hold it (``__n``).
+
+    Keys of more rows than ``HOT_ROWS`` and a ``HOT_KEYS``-th of all ``total`` rows are fewer than ``HOT_KEYS``: they are
+    broadcast, and their rows stay where they are. The others are shuffled.
+    """
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(right.filter(F.col("__n") > limit).drop("__n"))
+    cold = right.filter(F.col("__n") <= limit).drop("__n")
+    rest = left.join(hot.select(key), key, "left_anti").join(cold, key, how)
+    return left.join(hot, key).select(*rest.columns).unionByName(rest)
 
 
 def _proposed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -159,24 +184,29 @@ def _proposed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(keys, pa.int64())], schema=kind)
 
     told = saved(rows.mapInArrow(pair, "a binary, b binary, key long"), "jaccard-proposed")
-    return told.filter("key IS NULL").select("a", "b").distinct(), told.filter("key IS NOT NULL").select("key", F.col("a").alias("node"))
+    return saved(told.filter("key IS NULL").select("a", "b").distinct(), "jaccard-pairs"), told.filter("key IS NOT NULL").select("key", F.col("a").alias("node"))
+
+
+def surviving(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rows of two signature tables that the incremental comparison leaves."""
+    alive, equal = np.arange(len(x)), np.zeros(len(x), int)
+    for i, m in enumerate(least_matches()):
+        part = slice(i * STEP, (i + 1) * STEP)
+        equal[alive] += (x[alive, part] == y[alive, part]).sum(axis=1)
+        alive = alive[equal[alive] >= m]
+    return alive
 
 
 def _unpruned(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Proposals that the incremental comparison of MinHash values leaves."""
-    sig = nodes.select("node", "sig")
-    both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
-    least = least_matches()
+    """Proposals (a saved table) that the incremental comparison of MinHash values leaves."""
+    sig, total = nodes.select("node", "sig"), pairs.count()
+    held = lambda name: pairs.groupBy(F.col(name).alias("node")).agg(F.count("*").alias("__n")).join(sig, "node").toDF(name, "__n", f"sig_{name}")
+    both = dealt_join(dealt_join(pairs, held("a"), "a", total), held("b"), "b", total)
 
     def prune(cols):
-        a, b = cols["a"].to_pylist(), cols["b"].to_pylist()
         x, y = (np.frombuffer(b"".join(cols[c].to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
-        alive, equal = np.arange(len(a)), np.zeros(len(a), int)
-        for i, m in enumerate(least):
-            part = slice(i * STEP, (i + 1) * STEP)
-            equal[alive] += (x[alive, part] == y[alive, part]).sum(axis=1)
-            alive = alive[equal[alive] >= m]
-        return [pa.array([a[i] for i in alive], pa.binary()), pa.array([b[i] for i in alive], pa.binary())]
+        alive = pa.array(surviving(x, y))
+        return [cols["a"].take(alive), cols["b"].take(alive)]
 
     return map_rows(both, prune, "a binary, b binary", step=4096)
 
@@ -193,8 +223,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     while before[0]:
         # large star: larger neighbours of u point to the least of u and its neighbours
         two = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = two.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = saved(two.join(low, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct(), name)
+        low = two.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("__n")).withColumn("m", F.least("a", "m"))
+        large = saved(dealt_join(two, low, "a", 2 * before[0]).filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct(), name)
         # small star: u and its smaller neighbours point to the least of them
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b")
@@ -207,8 +237,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return leaves.unionByName(leaves.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _shared(sets: list[np.ndarray], left: int, same: bool) -> np.ndarray:
-    """Sizes of the intersections of the first ``left`` sets with the others (or with themselves)."""
+def _shared(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """Sizes of the intersections of the first ``left`` sets with all sets."""
     sizes = [len(s) for s in sets]
     _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -218,25 +248,52 @@ def _shared(sets: list[np.ndarray], left: int, same: bool) -> np.ndarray:
     owner = owner[use]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    right = 0 if same else left
-    out = np.zeros((left, len(sets) - right), np.float64)
+    out = np.zeros((left, len(sets)), np.float64)
     width = 4096
     for at in range(0, int(common.sum()), width):
         a, b = np.searchsorted(column, [at, at + width])
         part = np.zeros((len(sets), width), np.float32)
         part[owner[a:b], column[a:b] - at] = 1
-        out += part[:left] @ part[right:].T
+        out += part[:left] @ part.T
     return out.astype(np.int64)
 
 
-def _verify(nodes: list[bytes], copies: list[int], texts: list[bytes], blocks: list[int], i: int, j: int) -> list[tuple[bytes, bytes, int]]:
-    """All pairs of one unit: (node, root in the unit, verified links counted in documents) for each node."""
-    order = sorted(range(len(nodes)), key=lambda x: (blocks[x] != i, nodes[x]))
-    left = sum(b == i for b in blocks)
-    sets = [shingles(texts[x].split(b" ")) for x in order]
+def _alive(sigs: np.ndarray, size: np.ndarray, left: int, same: bool) -> np.ndarray:
+    """Pairs (first ``left`` nodes, all nodes) of a unit that sizes and the incremental comparison leave.
+
+    Within one block these are its pairs in both orders, else the pairs across the two blocks.
+    """
+    ok = NUM * np.maximum(size[:left, None], size[None]) <= DEN * np.minimum(size[:left, None], size[None])
+    ok[np.arange(left), np.arange(left)] = False
+    if not same:
+        ok[:, :left] = False
+    a, b = np.nonzero(ok)
+    for at in range(0, len(a), 1 << 16):
+        x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+        gone = np.ones(len(x), bool)
+        gone[surviving(sigs[x], sigs[y])] = False
+        ok[x[gone], y[gone]] = False
+    return ok
+
+
+def _verify(nodes: list[bytes], copies: list[int], texts: list[bytes], sigs: np.ndarray, left: int, same: bool) -> list[tuple[bytes, bytes, int]]:
+    """The unpruned pairs of one unit, exactly: (node, root in the unit, verified links counted in documents) for each node."""
+    sets = [shingles(t.split(b" ")) for t in texts]
     size = np.array([len(s) for s in sets])
-    weight = np.array([copies[x] for x in order])
-    parent = list(range(len(order)))
+    linked = _alive(sigs, size, left, same)
+    if linked.sum() > 4 * len(sets):
+        shared = _shared(sets, left)
+        linked &= DEN * shared >= NUM * (size[:left, None] + size[None] - shared)
+    else:
+        for a, b in np.argwhere(linked):
+            n = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            linked[a, b] = DEN * n >= NUM * (size[a] + size[b] - n)
+    weight = np.array(copies)
+    links = np.zeros(len(nodes), np.int64)
+    links[:left] = linked @ weight
+    if not same:
+        links += weight[:left] @ linked
+    parent = list(range(len(nodes)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -244,23 +301,11 @@ def _verify(nodes: list[bytes], copies: list[int], texts: list[bytes], blocks: l
             x = parent[x]
         return x
 
-    links = np.zeros(len(order), np.int64)
-    if left and (i == j or left < len(order)):
-        shared = _shared(sets, left, i == j)
-        first = 0 if i == j else left
-        linked = DEN * shared >= NUM * (size[:left, None] + size[None, first:] - shared)
-        if i == j:
-            np.fill_diagonal(linked, False)
-            links += linked @ weight
-        else:
-            links[:left] = linked @ weight[left:]
-            links[left:] = linked.T @ weight[:left]
-        for a in range(left):
-            for b in np.flatnonzero(linked[a]):
-                x, y = root(a), root(int(b) + first)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-    return [(nodes[order[x]], nodes[order[root(x)]], int(links[x])) for x in range(len(order))]
+    for a, b in np.argwhere(linked):
+        x, y = root(int(a)), root(int(b))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    return [(nodes[x], nodes[root(x)], int(links[x])) for x in range(len(nodes))]
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -349,48 +394,76 @@ def _apart(docs: DataFrame, crowd: DataFrame, groups: DataFrame, nodes: DataFram
     ship(spark)
     found = rows.mapInArrow(pair, "a binary, b binary, sure boolean").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure")
     found = saved(found.distinct(), "jaccard-apart")
-    return _unpruned(found.filter("NOT sure").select("a", "b"), nodes).unionByName(found.filter("sure").select("a", "b"))
+    return _unpruned(saved(found.filter("NOT sure").select("a", "b"), "jaccard-unsure"), nodes).unionByName(found.filter("sure").select("a", "b"))
 
 
-def _verified(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, root, links) for each node and unit."""
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
-    dealt = groups.join(sizes, "root").join(nodes.select("node", "copies"), "node")
-    dealt = saved(dealt.select("node", "root", "copies", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block")), "jaccard-dealt")
-    n = dealt.count()
-    texts = _texts(docs, dealt.select("node"), n)
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    units = dealt.join(texts, "node").select("node", "root", "copies", "block", "words", other)
-    units = units.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
-    units = units.select("root", "i", "j", "block", "node", "copies", "words").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    kind = pa.schema([("node", pa.binary()), ("root", pa.binary()), ("links", pa.int64())])
+def _by_unit(units: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on the rows of each unit (root, i, j), one unit in memory at a time; rows have root, i, j, side first."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    ship(units.sparkSession)
+    kind = _parse_datatype_string(schema)
+    arrow = to_arrow_schema(kind)
+    rows = units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
-
-        def done() -> list[tuple]:
-            return _verify([h[4] for h in held], [h[5] for h in held], [h[6] for h in held], [h[3] for h in held], key[1], key[2]) if held else []
-
+        told = lambda out: pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t.type) for k, t in enumerate(arrow)], schema=arrow)
         for batch in batches:
             out: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:3] != key:
-                    out += done()
+                    out += work(key, held) if held else []
                     key, held = row[:3], []
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t.type) for k, t in enumerate(kind)], schema=kind)
-        out = done()
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t.type) for k, t in enumerate(kind)], schema=kind)
+            yield told(out)
+        yield told(work(key, held) if held else [])
+
+    return rows.mapInArrow(run, kind)
+
+
+def _signatures(rows: list[tuple], at: int) -> np.ndarray:
+    return np.frombuffer(b"".join(r[at] for r in rows), np.uint32).reshape(-1, HASHES)
+
+
+def _verified(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root, links) for each node and unit in which it has an unpruned partner."""
+    placed = saved(groups.join(nodes.select("node", "copies", "sig", "size"), "node"), "jaccard-placed")
+    n = placed.count()
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    sizes = groups.join(nodes.select("node", "size"), "node").groupBy("root").agg(blocks.alias("n_blocks"), F.count("*").alias("__n"))
+    dealt = dealt_join(placed, sizes, "root", n).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
+    units = dealt.select("root", "block", "node", "copies", "sig", "size", other)
+    units = units.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "copies", "sig", "size")
+
+    def pruned(key, rows):
+        left, same = sum(r[3] == 0 for r in rows), key[1] == key[2]
+        ok = _alive(_signatures(rows, 6), np.array([r[7] for r in rows]), left, same)
+        stay = ok.any(axis=0)
+        stay[:left] |= ok.any(axis=1)
+        return [(*key, *rows[x][3:7]) for x in np.flatnonzero(stay)]
+
+    schema = "root binary, i int, j int, side int, node binary, copies long, sig binary"
+    alive = saved(_by_unit(units, pruned, schema), "jaccard-alive")
+    texts = saved(_texts(docs, groups.select("node"), n), "jaccard-texts")
+    uses = alive.groupBy("node").agg(F.count("*").alias("__n"))
+    full = dealt_join(alive, texts.join(uses, "node"), "node", alive.count()).select("root", "i", "j", "side", "node", "copies", "sig", "words")
+
+    def verify(key, rows):
+        left = sum(r[3] == 0 for r in rows)
+        return _verify([r[4] for r in rows], [r[5] for r in rows], [r[7] for r in rows], _signatures(rows, 6), left, key[1] == key[2])
 
-    ship(docs.sparkSession)
-    return saved(units.mapInArrow(run, "node binary, root binary, links long"), "jaccard-links")
+    return saved(_by_unit(full, verify, "node binary, root binary, links long"), "jaccard-links")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, k1, k2, node) of the documents, and (node, class, class_id, n_links) of the nodes."""
+    """Rows (doc_id, k1, k2, node) of the documents, and (node, class, class_id, n_links, __n) of the nodes, __n being their copies."""
     rows = saved(_signed(docs), "jaccard-signed")
     named = rows.filter("node IS NOT NULL")
-    nodes = saved(named.groupBy("node", "sig").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")), "jaccard-nodes")
+    merged = named.groupBy("node").agg(F.first("sig").alias("sig"), F.first("size").alias("size"), F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
+    nodes = saved(merged, "jaccard-nodes")
     pairs, crowd = _proposed(nodes)
     left = saved(_unpruned(pairs, nodes), "jaccard-candidates")
     groups = saved(components(left, "jaccard-groups"), "jaccard-roots")
@@ -401,16 +474,17 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = components(verified.select(F.col("root").alias("a"), F.col("node").alias("b")), "jaccard-classes")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     told = nodes.select("node", "copies", "first_doc").join(found, "node", "left").join(links, "node", "left").withColumn("class", F.coalesce("root", "node"))
-    told = saved(told.select("node", "class", "first_doc", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "jaccard-told")
-    ids = told.groupBy("class").agg(F.min("first_doc").alias("class_id"))
-    return rows.drop("sig"), told.join(ids, "class").select("node", "class", "class_id", "n_links")
+    told = saved(told.select("node", "class", "first_doc", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "jaccard-told")
+    ids = told.groupBy("class").agg(F.min("first_doc").alias("class_id"), F.count("*").alias("__n"))
+    full = dealt_join(told, ids, "class", told.count()).select("node", "class", "class_id", "n_links", F.col("copies").alias("__n"))
+    return rows.drop("sig", "size"), full
 
 
 def op7_ngram_jaccard(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, class_id (smallest doc_id of its class), n_links (documents with similarity of 0.8 or more)."""
     rows, told = classes(docs.select("doc_id", "text"))
-    none = F.col("node").isNull()
-    return rows.join(told, "node", "left").select("doc_id", F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = dealt_join(rows.filter("node IS NOT NULL"), told, "node", rows.count()).select("doc_id", "class_id", "n_links")
+    return named.unionByName(rows.filter("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -419,7 +493,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows, told = classes(docs.select("doc_id", "text"))
     one = F.struct(F.col("doc_id").isNull().alias("null_last"), "doc_id", "k1", "k2")
     alone = rows.filter("node IS NULL").select("k1", "k2").withColumn("n", F.lit(1).cast("long"))
-    best = rows.join(told.select("node", "class"), "node").groupBy("class").agg(F.min(one).alias("one")).select("one.k1", "one.k2")
+    best = dealt_join(rows.filter("node IS NOT NULL"), told.select("node", "class", "__n"), "node", rows.count()).groupBy("class").agg(F.min(one).alias("one")).select("one.k1", "one.k2")
     same = rows.filter("node IS NOT NULL").groupBy("k1", "k2").agg(F.count("*").alias("n"))
     stay = saved(alone.distinct().unionByName(best.join(same, ["k1", "k2"])), "jaccard-stay")
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(7), "text", "doc_id").alias("k2"), F.struct(*names).alias("__doc"))

@@ -421,8 +421,9 @@ def test_ngram_jaccard_finds_short_copies_of_a_passage_that_longer_texts_quote(s
                 sig[at] = common[at]
             rows.append((" ".join([passage, *(f"o{x}" for x in rand(90))]), sig))
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
-    signed = [(i, i, i, bytearray(name(t)), bytearray(np.array(sig, np.uint32).tobytes())) for i, (t, sig) in enumerate(rows)]
-    table = spark.createDataFrame(signed, "doc_id long, k1 long, k2 long, node binary, sig binary")
+    size = lambda t: len(ngram_join.shingles(words_of(t)))
+    signed = [(i, i, i, bytearray(name(t)), bytearray(np.array(sig, np.uint32).tobytes()), size(t)) for i, (t, sig) in enumerate(rows)]
+    table = spark.createDataFrame(signed, "doc_id long, k1 long, k2 long, node binary, sig binary, size long")
     monkeypatch.setattr(ngram_join, "_signed", lambda _: table)
     for wide in (64, 1):
         monkeypatch.setattr(ngram_join, "WIDE", wide, raising=False)
