@@ -1,16 +1,25 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-Test items are read as windows of ten consecutive words. Corpus-wide document frequencies are counted for the words
-of the test set, and each window is anchored at its rarest word. The index stores the training postings of the anchor
-terms: term, document, position, and the words to either side. A posting list is intersected with the lists of the
-other terms of a window at their offsets by way of those neighbours, so exact occurrences come out of the index alone
-and no text is shuffled. Everything is DataFrame functions.
+The index stores the postings of all words of the training documents: (term, document, position), term being the
+64-bit hash of a word. It is dealt by documents: each input partition is tokenized, exploded and sorted by term where it
+lies and becomes one file, so that building it moves no row between machines. A document is one more row with a null
+term, which holds its id, its keys and its number of words. An index is written once and serves any test set, phrase or
+proximity search.
+
+Test items are read as windows of ten consecutive words. The frequencies of the test terms are read from the index, and
+each window is looked up from its rarest term: its postings, adjusted by the term's offset, are intersected with those
+of the second rarest one, and the alignments (item, document, shift) that are left with the lists of all other terms
+around them. Stretches of consecutive agreeing terms as long as a window are exact occurrences. Everything is DataFrame
+functions, and joins are keyed by (document, position), so that neither a frequent passage nor a long document meets in
+one task.
 
 Words are lower-cased A-Z only. Full lower-casing is used where it gives the same text.
 
 Defined cases: null or empty texts have no words; an item of fewer than ten words is one window, of none is no item;
-repeated items count once and items with a null id mark words but are not listed; rows are matched by a 128-bit hash
-of id and text, so null and repeated ids are safe; empty tables give no hits; other columns are not touched.
+repeated items count once and items with a null id mark words but are not listed; documents are numbered inside the
+index, so null and repeated ids are safe; a very long text is one row of words while it is read, then rows of postings;
+ties of frequency go to the smaller hash, then the earlier place; empty tables give no hits; other columns, also
+``n_words``, ``term`` or ``doc``, are not touched. Two words of one 64-bit hash are the only way to err.
 """
 
 from __future__ import annotations
@@ -19,15 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved, sha256_hex
+from .common import dealt_join, saved, sha256_hex
 
 WINDOW = 10
-#: Rows of test-set words and anchors up to which they are broadcast; beyond, both sides are shuffled.
+#: Rows of test terms, anchors and candidates up to which they are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_ANY_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_NONE = "array<string>"
 
 
 def _lowered(text: Column) -> Column:
@@ -49,101 +56,126 @@ def _worded(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("__pieces", pieces).withColumn("words", F.slice("__pieces", lead + 1, F.size("__pieces") - lead - tail)).drop("__pieces")
 
 
-def _counted(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the column ``n_words``; letter case does not matter to a count."""
-    lead, tail = _lead_tail()
-    pieces = F.split(F.coalesce(F.col(text), F.lit("")), _ANY_GAP, -1)
-    return df.withColumn("__pieces", pieces).withColumn("n_words", (F.size("__pieces") - lead - tail).cast("long")).drop("__pieces")
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _key(df: DataFrame) -> DataFrame:
-    return df.withColumns({"__k1": F.xxhash64("doc_id", "text"), "__k2": F.xxhash64(F.lit(7), "text", "doc_id")})
+def _joined(rows: DataFrame, few: DataFrame, key: str, n_few: int, total: int) -> DataFrame:
+    """``rows`` joined to ``few``, which has ``__n``, how many of the ``total`` rows hold its key."""
+    return rows.join(F.broadcast(few.drop("__n")), key) if n_few <= BROADCAST_ROWS else dealt_join(rows, few, key, total)
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def document_keys(docs: DataFrame) -> list[Column]:
+    """Two hashes of id and text, by which rows of a table are matched with documents of its index."""
+    return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(7), "text", "doc_id").alias("k2")]
 
 
-def anchors(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, int]:
-    """(item_id, word, at, n, left, right): the rarest word of every window with its neighbours, and the number of rows."""
-    items = _worded(benchmark.select("item_id", "text").distinct()).filter(F.size("words") > 0).select("item_id", F.xxhash64("text").alias("t"), "words")
-    items = saved(items, "test-items")
-    vocabulary = items.select(F.explode("words").alias("word")).distinct()
-    n = vocabulary.count()
-    terms = _worded(docs.select("text")).select(F.explode_outer(F.array_distinct("words")).alias("word"))
-    df = terms.join(_small(vocabulary, n), "word").groupBy("word").agg(F.count("*").alias("df"))
-    placed = items.select("item_id", "t", F.size("words").alias("n"), F.posexplode("words").alias("at", "word")).join(_small(df, n), "word", "left")
-    ahead = W.partitionBy("item_id", "t").orderBy("at").rowsBetween(0, window - 1)
-    rarest = placed.withColumn("best", F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "at")).over(ahead)).filter(F.col("at") <= F.greatest(F.col("n") - window, F.lit(0)))
-    chosen = rarest.filter("best.df > 0").select("item_id", "t", "best.word", "best.at").distinct()
-    low = F.greatest(F.col("at") - (window - 1), F.lit(0))
-    out = chosen.join(items, (chosen["item_id"].eqNullSafe(items["item_id"])) & (chosen["t"] == items["t"])).select(
-        chosen["item_id"], "word", "at", F.size("words").alias("n"),
-        F.reverse(F.slice("words", low + 1, F.col("at") - low)).alias("left"), F.slice("words", F.col("at") + 2, window - 1).alias("right"),
-    )
-    out = saved(out, "test-anchors")
-    return out, out.count()
-
-
-def build_index(docs: DataFrame, terms: DataFrame, n_terms: int, window: int = WINDOW) -> DataFrame:
-    """Postings (word, k1, k2, pos, left, right) of the given terms, stored in the shared folder."""
-    words = _worded(_key(docs.select("doc_id", "text"))).select("__k1", "__k2", "words")
-    low = F.greatest(F.col("pos") - (window - 1), F.lit(0))
-    spread = words.select("__k1", "__k2", "words", F.posexplode_outer("words").alias("pos", "word"))
-    found = spread.join(_small(terms.select("word").distinct(), n_terms), "word").select(
-        "word", "__k1", "__k2", "pos",
-        F.reverse(F.slice("words", low + 1, F.col("pos") - low)).alias("near_left"), F.slice("words", F.col("pos") + 2, window - 1).alias("near_right"),
-    )
-    return saved(found, "train-postings")
+def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The positional index of ``docs`` (doc_id, text), written under the shared folder or to ``path``, as a table.
+
+    Columns: term, doc, pos of postings; where term is null doc_id, k1, k2 and n_words of a document. The numbers of
+    documents come from the task that writes both kinds of rows, so a repeated task stays consistent.
+    """
+    keyed = _worded(docs.select("doc_id", "text")).select(F.monotonically_increasing_id().alias("doc"), "doc_id", *document_keys(docs), F.size("words").cast("long").alias("n_words"), "words")
+    spread = keyed.select("doc", "doc_id", "k1", "k2", "n_words", F.posexplode(F.array_prepend("words", F.lit(None).cast("string"))).alias("p", "word"))
+    own = F.col("p") == 0
+    rows = spread.select(
+        F.when(~own, F.xxhash64("word")).alias("term"), "doc", (F.col("p") - 1).alias("pos"), *(F.when(own, F.col(c)).alias(c) for c in ("doc_id", "k1", "k2", "n_words"))
+    )
+    return saved(rows.sortWithinPartitions("term"), "train-index", path)
 
 
-def _agree(a: Column, b: Column) -> Column:
-    """Length of the common beginning of two lists."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    first = F.array_position(same, False)
-    return F.when(first == 0, F.size(same)).otherwise(first - 1)
+def documents(index: DataFrame) -> DataFrame:
+    """(doc, doc_id, k1, k2, n_words) of the indexed documents."""
+    return index.filter("term IS NULL").select("doc", "doc_id", "k1", "k2", "n_words")
 
 
-def phrase_matches(index: DataFrame, wanted: DataFrame, n_wanted: int, window: int = WINDOW) -> DataFrame:
-    """(k1, k2, item_id, start, end): stretches of document words that windows of an item cover."""
-    both = index.join(_small(wanted, n_wanted), "word").select(
-        "__k1", "__k2", "item_id", "pos", "n", _agree(F.col("near_left"), F.col("left")).alias("l"), _agree(F.col("near_right"), F.col("right")).alias("r")
-    )
-    hit = both.filter(F.col("l") + F.col("r") + 1 >= F.least(F.lit(window), F.col("n")))
-    return hit.select("__k1", "__k2", "item_id", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r") + 1).alias("end"))
+def postings(index: DataFrame) -> DataFrame:
+    return index.filter("term IS NOT NULL").select("term", "doc", "pos")
 
 
-def proximity_matches(index: DataFrame, first: str, second: str, within: int) -> DataFrame:
-    """(k1, k2, pos, other): places of two index terms at most ``within`` (up to nine) words apart, read from one list.
+def test_terms(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, n, at, term): the terms of each distinct item with words, ``item`` being its key."""
+    items = _worded(benchmark.select("item_id", "text").distinct()).filter(F.size("words") > 0)
+    key = F.xxhash64("item_id", "text").alias("item")
+    return items.select(key, "item_id", F.size("words").alias("n"), F.posexplode("words").alias("at", "word")).select("item", "item_id", "n", "at", F.xxhash64("word").alias("term"))
+
+
+def anchors(index: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(item, n, term, at, term2, at2, __n): the two rarest terms of each window, where all its terms occur.
 
-    The neighbours stored with each posting hold the second list, already adjusted to the first term's position.
+    ``__n`` is the first one's number of postings. Windows that share both terms are one row.
     """
-    rows = index.filter(F.col("word") == first)
-    place = lambda col, sign: F.transform(
-        F.filter(F.transform(F.slice(col, 1, within), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s["w"] == second),
-        lambda s: F.col("pos") + sign * (s["i"] + 1),
-    )
-    return rows.select("__k1", "__k2", "pos", F.explode(F.concat(place("near_left", -1), place("near_right", 1))).alias("other"))
+    vocabulary = saved(terms.select("term").distinct(), "test-vocabulary")
+    wanted = _small(vocabulary, vocabulary.count())
+    cf = saved(postings(index).select("term").join(wanted, "term").groupBy("term").agg(F.count("*").alias("cf")), "test-frequencies")
+    placed = terms.join(_small(cf, cf.count()), "term", "left").withColumn("cf", F.coalesce("cf", F.lit(0)))
+    ahead = W.partitionBy("item").orderBy("at").rowsBetween(0, window - 1)
+    ranked = F.array_sort(F.collect_list(F.struct("cf", "term", "at")).over(ahead))
+    windows = placed.withColumn("r", ranked).filter(F.col("at") <= F.greatest(F.col("n") - window, F.lit(0)))
+    one, two = F.get("r", F.lit(0)), F.coalesce(F.get("r", F.lit(1)), F.get("r", F.lit(0)))
+    chosen = windows.select("item", "n", one.alias("x"), two.alias("y")).filter("x.cf > 0")
+    return chosen.select("item", "n", F.col("x.term").alias("term"), F.col("x.at").alias("at"), F.col("y.term").alias("term2"), F.col("y.at").alias("at2"), F.col("x.cf").alias("__n")).distinct()
+
+
+def phrase_matches(index: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(item, doc, start, end): stretches of document words that windows of an item cover."""
+    spread = saved(terms, "test-terms")
+    pairs = saved(anchors(index, spread, window), "test-anchors")
+    n_pairs, lists = pairs.count(), postings(index)
+    total = lists.count()
+    # the rarest list, shifted to where the second rarest term must stand
+    first = _joined(lists, pairs, "term", n_pairs, total).select("item", "n", "at", "doc", (F.col("pos") - F.col("at")).alias("shift"), F.col("term2").alias("term"), (F.col("pos") - F.col("at") + F.col("at2")).alias("pos"))
+    first = saved(first, "test-candidates")
+    seconds = pairs.select(F.col("term2").alias("term")).distinct()
+    list2 = lists.join(_small(seconds, n_pairs), "term", "left_semi")
+    both = list2.join(_small(first, first.count()), ["term", "doc", "pos"]).select("item", "n", "at", "doc", "shift").distinct()
+    both = saved(both, "test-alignments")
+    # all lists around the anchors of what is left
+    near = F.explode(F.sequence(F.greatest(F.col("at") - (window - 1), F.lit(0)), F.least(F.col("at") + (window - 1), F.col("n") - 1))).alias("at")
+    expected = both.select("item", "n", "doc", "shift", near).distinct()
+    expected = expected.join(_small(spread.select("item", "at", "term"), spread.count()), ["item", "at"]).withColumn("pos", F.col("shift") + F.col("at")).filter("pos >= 0")
+    held = both.select("doc").distinct()
+    lists = lists.join(_small(held, both.count()), "doc", "left_semi").join(_small(spread.select("term").distinct(), spread.count()), "term", "left_semi")
+    agree = lists.join(expected, ["term", "doc", "pos"]).select("item", "n", "doc", "shift", "at")
+    # consecutive terms of one alignment
+    along = W.partitionBy("item", "doc", "shift").orderBy("at")
+    runs = agree.withColumn("run", F.col("at") - F.row_number().over(along)).groupBy("item", "n", "doc", "shift", "run").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    whole = runs.filter(F.col("b") - F.col("a") + 1 >= F.least(F.lit(window), F.col("n")))
+    return whole.select("item", "doc", (F.col("shift") + F.col("a")).alias("start"), (F.col("shift") + F.col("b") + 1).alias("end"))
+
 
+def proximity_matches(index: DataFrame, first: str, second: str, within: int) -> DataFrame:
+    """(doc, pos, other): places of any two words at most ``within`` words apart, from their two lists.
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(k1, k2, n_hit, items) of the contaminated documents."""
-    wanted, n = anchors(docs, benchmark, window)
-    index = build_index(docs, wanted, n, window)
-    found = phrase_matches(index, wanted, n, window)
-    spans = found.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
-    step = lambda acc, s: F.struct((acc["n"] + F.greatest(s["end"] - F.greatest(s["start"], acc["upto"]), F.lit(0))).cast("int").alias("n"), F.greatest(s["end"], acc["upto"]).cast("int").alias("upto"))
-    spans = spans.withColumn("spans", F.col("spans").cast("array<struct<start:int,end:int>>"))
-    return spans.select("__k1", "__k2", F.aggregate("spans", start, step, lambda acc: acc["n"]).cast("long").alias("n_hit"), "items")
+    Lists are joined by document and stretches of ``within`` positions, so that a long document is many keys.
+    """
+    term = lambda word: F.xxhash64(F.lit(word))
+    cell = lambda pos: F.floor(pos / within)
+    a = postings(index).filter(F.col("term") == term(first)).select("doc", "pos", cell(F.col("pos")).alias("cell"))
+    b = postings(index).filter(F.col("term") == term(second)).select("doc", F.col("pos").alias("other"))
+    b = b.select("doc", "other", F.explode(F.array(*(cell(F.col("other")) + k for k in (-1, 0, 1)))).alias("cell"))
+    gap = F.abs(F.col("pos") - F.col("other"))
+    return a.join(b, ["doc", "cell"]).filter((gap <= within) & (gap > 0)).select("doc", "pos", "other")
+
+
+def matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc, n_hit, items) of the contaminated documents."""
+    terms = test_terms(benchmark)
+    found = saved(phrase_matches(index, terms, window), "test-matches")
+    places = found.select("doc", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos")).distinct()
+    hits = places.groupBy("doc").agg(F.count("*").alias("n_hit"))
+    names = terms.select("item", "item_id").distinct()
+    listed = found.select("doc", "item").distinct().join(names, "item").groupBy("doc").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    return hits.join(listed, "doc")
 
 
 def op3_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated."""
-    hits = matches(docs, benchmark)
-    slim = _counted(_key(docs.select("doc_id", "text"))).select("doc_id", "__k1", "__k2", "n_words")
-    items = F.array_sort(F.coalesce("items", F.array().cast(_NONE)))
-    return slim.join(hits, ["__k1", "__k2"], "left").select(
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated; all read from the index."""
+    index = build_index(docs)
+    hits = saved(matches(index, benchmark), "test-hits")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return documents(index).join(_small(hits, hits.count()), "doc", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         sha256_hex(F.array_join(items, ",")).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
@@ -151,9 +183,10 @@ def op3_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no window of any item, with the columns they came with."""
-    names = docs.columns
-    rows = _key(docs.select("doc_id", "text", F.struct(*names).alias("__doc"))).select("__k1", "__k2", "__doc")
-    return rows.join(matches(docs, benchmark).select("__k1", "__k2"), ["__k1", "__k2"], "left_anti").select("__doc.*")
+    index = build_index(docs)
+    hits = saved(documents(index).join(matches(index, benchmark).select("doc"), "doc").select("k1", "k2").distinct(), "test-hits")
+    rows = docs.select(*document_keys(docs), F.struct(*docs.columns).alias("__doc"))
+    return rows.join(_small(hits, hits.count()), ["k1", "k2"], "left_anti").select("__doc.*")
 
 
 OP3_SQL = r"""

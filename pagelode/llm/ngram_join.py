@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import ship
-from .common import map_rows, saved, words_of
+from .common import dealt_join, map_rows, saved, words_of
 
 SHINGLE = 5
 #: The threshold as a fraction, so that it is tested in whole numbers.
@@ -48,8 +48,6 @@ STEP = 16
 TOLERANCE = 1e-6
 #: Nodes and shingles of a block, on average; blocks are dealt by hash.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 18
-#: Most keys that count as hot, and fewest rows of one.
-HOT_KEYS, HOT_ROWS = 10_000, 256
 #: Nodes of a bucket up to which its first node and the neighbours propose every pair.
 WHOLE = 3
 #: Nodes that start with one shingle up to which all pairs are proposed; more make one group.
@@ -129,19 +127,6 @@ def _signed(docs: DataFrame) -> DataFrame:
     return map_rows(keyed, sign, "doc_id long, k1 long, k2 long, node binary, sig binary, size long")
 
 
-def dealt_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
-    """``left`` joined to ``right``, which has one row for each key and how many rows of ``left`` hold it (``__n``).
-
-    Keys of more rows than ``HOT_ROWS`` and a ``HOT_KEYS``-th of all ``total`` rows are fewer than ``HOT_KEYS``: they are
-    broadcast, and their rows stay where they are. The others are shuffled.
-    """
-    limit = max(HOT_ROWS, total // HOT_KEYS)
-    hot = F.broadcast(right.filter(F.col("__n") > limit).drop("__n"))
-    cold = right.filter(F.col("__n") <= limit).drop("__n")
-    rest = left.join(hot.select(key), key, "left_anti").join(cold, key, how)
-    return left.join(hot, key).select(*rest.columns).unionByName(rest)
-
-
 def _proposed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct (a, b), a < b, proposed by buckets, and (key, node) of the buckets that did not propose all their pairs."""
     bands = HASHES // BAND

@@ -132,11 +132,44 @@ def test_decontamination(docs, none, items):
     assert clean.columns == docs.columns and clean.count() == len(ROWS) - 4
 
 
-def test_proximity(spark, docs):
-    terms = spark.createDataFrame([("beta",), ("delta",)], "word string")
-    index = decontaminate.build_index(docs, terms, 2)
-    assert decontaminate.proximity_matches(index, "beta", "delta", 2).count() == 2
-    assert decontaminate.proximity_matches(index, "beta", "delta", 1).count() == 0
+@pytest.mark.parametrize("rows", [0, 3, 200_000])
+def test_decontamination_without_broadcasts(spark, monkeypatch, rows):
+    """Random texts over few words, so that windows overlap, repeat and share terms; brute force by strings."""
+    own = random.Random(8)
+    words = lambda n: " ".join(own.choice("abcd") for _ in range(n))
+    texts = [words(own.randrange(40)) for _ in range(60)]
+    asked = [" ".join(own.choice(texts).split()[own.randrange(5) :]) for _ in range(12)] + ["a b", "zz", "d", "a b c d a b c d a b c"]
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+    table_ = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in decontaminate.op3_decontamination(table_, spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        w, hit, items = text.split(), set(), set()
+        for k, item in enumerate(asked):
+            v = item.split()
+            n = min(10, len(v))
+            grams = {tuple(v[s : s + n]) for s in range(len(v) - n + 1)} if n else set()
+            at = [s for s in range(len(w) - n + 1) if n and tuple(w[s : s + n]) in grams]
+            hit |= {p for s in at for p in range(s, s + n)}
+            items |= {str(k)} if at else set()
+        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"]) == (len(w), len(hit), len(items))
+        assert got[i]["items_sha256"] == hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+def test_index_serves_several_test_sets_and_proximity(spark, docs, items):
+    index = decontaminate.build_index(docs)
+    assert decontaminate.documents(index).count() == len(ROWS)
+    assert decontaminate.postings(index).count() == sum(len(words_of(r[1])) for r in ROWS)
+    assert decontaminate.matches(index, items).count() == 4
+    other = spark.createDataFrame([(9, "common line")], "item_id long, text string")
+    assert decontaminate.matches(index, other).count() == sum("common line" in " ".join(w.decode() for w in words_of(r[1])) for r in ROWS)
+    for first, second, within in (("beta", "delta", 2), ("beta", "delta", 1), ("alpha", "mu", 11), ("alpha", "mu", 10), ("w1", "w2", 25), ("w1", "w1", 3)):
+        want = 0
+        for _, text, *_ in ROWS:
+            w = [x.decode() for x in words_of(text)]
+            a, b = ([i for i, x in enumerate(w) if x == y] for y in (first, second))
+            held = set(b)
+            want += sum(i + d in held for i in a for d in range(-within, within + 1) if d)
+        assert decontaminate.proximity_matches(index, first, second, within).count() == want
 
 
 def test_personal_data(docs, none):
