@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temp folder only where it is unset."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a temp folder on a local master; else an error, as
+    executors could not share it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pagelode-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
