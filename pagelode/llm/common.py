@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
+from ..sources.work import shared_folder
 
 #: White space of the line and word contracts: space and the five ASCII controls from tab to return.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -32,28 +32,31 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_TABLE).split() if text else []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, set to a temp folder only where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="pagelode-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
 
+def saved(df: DataFrame, name: str, path: str | None = None, by: str | None = None) -> DataFrame:
+    """Cut lineage: write to the shared folder and read back, in folders ``by`` a column if one is given.
 
-def saved(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back. Survives the loss of any executor."""
+    It survives the loss of any executor.
+    """
     spark = df.sparkSession
     path = path or work_path(spark, name)
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """Names of the tables under a folder that Spark has committed, in order; none if there is no such folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a work table that nothing reads any more."""
     jvm = spark._jvm

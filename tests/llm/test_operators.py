@@ -62,12 +62,25 @@ def test_line_dedup(docs, none):
     assert line_runs.dedup_lines(docs).columns[: len(docs.columns)] == docs.columns
 
 
-def test_line_runs_compact(spark, docs):
-    runs = line_runs.LineRuns(spark, min_docs=10, fanout=2)
-    for i in range(5):
-        runs.add(docs.filter(F.pmod(F.xxhash64("text"), F.lit(5)) == i))
-    assert max(map(len, runs.levels)) < 2 and len(runs.levels) > 2
-    assert runs.frequent().count() == 1
+def test_line_runs_compact_and_open_again(spark, docs, tmp_path):
+    held = line_runs.line_places(docs).cache()
+    part = lambda i: held.filter(F.pmod("h1", F.lit(5)) == i).select("h1", "h2") if i < 5 else held.select("h1", "h2")
+    path = str(tmp_path / "runs")
+    for i in range(6):  # a new object each time: the ledger is its folder
+        runs = line_runs.LineRuns(spark, path, min_docs=10, fanout=2)
+        assert runs.batches == i and runs.add(part(i), i) and not runs.add(part(i), i)
+        runs.close()
+    runs = line_runs.LineRuns(spark, path)
+    assert runs.runs == [(0, 3), (4, 5)] and runs.buckets == 4
+    want = {tuple(r) for r in held.groupBy("h1", "h2").count().filter("count >= 5").select("h1", "h2").collect()}
+    assert {(r["h1"], r["h2"]) for r in runs.frequent().collect()} == want and len(want) == 1
+    # a crash between a merge and the removal of what it covers leaves both: the covered runs are ignored
+    runs._write(runs.read((4, 5)), (4, 4))
+    assert line_runs.LineRuns(spark, path).runs == [(0, 3), (4, 5)]
+    # merges read the buckets as they lie
+    plan = runs.counts()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    held.unpersist()
 
 
 def test_license_scan(docs, none):
