@@ -492,14 +492,55 @@ def test_secret_scan(docs, none, spark):
     assert blob_ledger.op8_secret_scan(none).count() == 0
 
 
-def test_ledger_scans_only_what_is_unseen(spark, docs):
-    ledger = blob_ledger.BlobLedger(spark)
-    first = ledger.scan(docs, rules=blob_ledger.BASE_RULES)
+def spans_by_hand(text, rules):
+    """Findings of rules by Python's own engine, in code points."""
+    out = []
+    for k, r in enumerate(rules):
+        pattern = r.pattern.replace("(?i:password", "(?ai:password")
+        for m in re.finditer(pattern, text or "", re.ASCII):
+            if len(m[r.value_group]) >= r.min_value:
+                out.append((m.start(), k, m.end(), r.kind))
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(out))
+
+
+def test_secret_scan_adds_what_its_rules_find(spark):
+    """All rules, the added ones too, against brute force; characters beyond the basic plane shift no offset."""
+    a36, secret = "Ab1" * 12, "0123456789abcdef0123"
+    texts = [
+        f"ghp_{a36} x gho_{a36}", "😀 xoxb-1234567890-abc", f"AIza{'x_-' * 12}", "sk_live_" + "a1" * 10, "eyJabcdefgh1.eyJabcdefgh2.abcdefgh_3",
+        "-----BEGIN RSA PRIVATE KEY-----\nMIIB\n-----END", f"Authorization: Bearer {'t.' * 12}", "https://user:pass1@host/x http://u:p@h", f"SECRET = '{secret}' {secret}",
+        "nothing here", "", None, f"😀token:{secret}😀 AKIA{'Z9' * 10}", "password=" * 5 + "abcdefghijklmnop", "bearer short",
+    ]
+    own = random.Random(6)
+    bits = ["AKIA", "ghp_", "eyJ", ".", "token", "=", ":", " ", "'", '"', "abcdef012345", "0123456789abcdef", "://", "@", "Bearer ", "x" * 20, "xoxp-", "AIza", "é", "😀", "api_key", "apikey", "Z9Z9Z9Z9Z9Z9Z9"]
+    texts += ["".join(own.choice(bits) for _ in range(own.randrange(14))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = set()
+    for r in blob_ledger.op8_secret_scan(df).collect():
+        assert r["spans"] == spans_by_hand(texts[r["doc_id"]], blob_ledger.RULES)
+        kinds |= {s.split(":")[0] for s in r["spans"].split(",") if s}
+    assert kinds == {r.kind for r in blob_ledger.RULES}
+
+
+def test_ledger_scans_only_what_is_unseen(spark, docs, tmp_path):
+    """Each step opens the folder anew: nothing but what is written decides."""
+    open_ = lambda: blob_ledger.BlobLedger(spark, str(tmp_path / "ledger"))
+    with pytest.raises(ValueError, match="scanned"):
+        open_().findings(docs)
+    first = open_().scan(docs, rules=blob_ledger.BASE_RULES)
     assert first.count() == len({t or "" for t in [*TEXTS, "null id"]})
-    assert ledger.scan(docs, rules=blob_ledger.BASE_RULES).count() == 0
-    again = ledger.scan(docs)
+    assert open_().scan(docs, rules=blob_ledger.BASE_RULES).count() == 0
+    again = open_().scan(docs)
     assert again.count() == first.count() and len(again.first()["rules"]) == len(blob_ledger.MORE_RULES)
-    assert ledger.findings(docs).columns == [*docs.columns, "findings"]
+    # files at revisions: an old version of a path, one text at two paths, one new text
+    newer = spark.createDataFrame([("a.py", 1, TEXTS[7]), ("a.py", 2, "token=abcdefghijkl1"), ("b.py", 2, "token=abcdefghijkl1"), ("b.py", 3, None)], "path string, revision int, text string")
+    assert open_().scan(newer).count() == 1
+    found = {(r["path"], r["revision"]): len(r["findings"]) for r in open_().findings(newer).collect()}
+    assert found == {("a.py", 1): 0, ("a.py", 2): 1, ("b.py", 2): 1, ("b.py", 3): 0}
+    (tmp_path / "ledger" / "part-torn").mkdir()  # a scan that was cut short left no mark
+    assert open_().findings(docs).columns == [*docs.columns, "findings"] and open_().findings(docs).count() == len(ROWS)
+    same = {r["doc_id"]: r["spans"] for r in blob_ledger.op8_secret_scan(docs, open_()).collect()}
+    assert same == {r["doc_id"]: r["spans"] for r in blob_ledger.op8_secret_scan(docs).collect()}
 
 
 def test_quality_rules(docs, none):
