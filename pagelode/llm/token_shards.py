@@ -4,12 +4,14 @@ Documents are put in ascending id order by a range shuffle; within each range th
 *segments*: a segment holds the ids of consecutive documents back to back (2 bytes each where the vocabulary allows,
 else 4) and the document ends as an Elias-Fano sequence: the low bits of every end packed, the high bits in unary in
 a bit vector, with the positions of every 256th one as select samples. The end of document i is read with one select
-and one low-bits lookup, so no table of 64-bit offsets is kept. A segment is a row of a Parquet dataset, so writing
-commits atomically, survives lost executors and works on any store that Spark can write. Token counts before each
-range come from one small row per range.
+and one low-bits lookup, so no table of 64-bit offsets is kept; readers of all documents and of single ones both go
+through ``select``. A segment is a row of a Parquet dataset, so writing commits atomically, survives lost executors and
+works on any store that Spark can write; the least and the greatest id of a segment let Spark skip the others when one
+document is asked for. Token counts before each range come from one small row per range.
 
 Defined cases: null or empty text has only the end id; repeated or tied ids stand next to each other, ordered by
-text; null ids come first; a very long document may fill a segment alone; an empty table writes no segment.
+text; null ids come first; a very long document may fill a segment alone; an empty table writes no segment and reads
+back as no rows; other input columns, also ``start``, ``n_tokens`` or ``ids``, are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ END_ID = 0
 #: Ids after which a segment is closed at the next document.
 SEGMENT_IDS = 1 << 20
 _SAMPLE = 256
-_SCHEMA = "part int, seq int, first_in_part long, n_ids long, width int, docs array<long>, ids binary, universe long, low_bits int, low binary, high binary, samples array<int>"
+_SCHEMA = "part int, seq int, first_in_part long, n_ids long, width int, least long, greatest long, docs array<long>, ids binary, universe long, low_bits int, low binary, high binary, samples array<int>"
 
 
 class EliasFano:
@@ -52,13 +54,6 @@ class EliasFano:
         pack = lambda bits: np.packbits(bits, bitorder="little").tobytes()
         return cls(n, universe, k, pack(low), pack(high), ones[::_SAMPLE].tolist())
 
-    def _low(self, i: np.ndarray) -> np.ndarray:
-        if not self.low_bits:
-            return np.zeros(len(i), np.int64)
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")
-        rows = bits[: self.n * self.low_bits].reshape(self.n, self.low_bits)[i].astype(np.int64)
-        return rows @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
-
     def select(self, i: int) -> int:
         """Value i: the i-th one of the high bits is found from the sample before it, byte by byte."""
         if not 0 <= i < self.n:
@@ -73,25 +68,23 @@ class EliasFano:
         for _ in range(left):
             now &= now - 1
         one = 8 * byte + (now & -now).bit_length() - 1
-        value = (one - i) << self.low_bits
-        for j in range(self.low_bits):
-            p = i * self.low_bits + j
-            value |= (self.low[p >> 3] >> (p & 7) & 1) << j
-        return value
+        p, k = i * self.low_bits, self.low_bits
+        low = int.from_bytes(self.low[p >> 3 : (p + k + 7) >> 3], "little") >> (p & 7) & (1 << k) - 1
+        return one - i << k | low
 
-    def all(self) -> np.ndarray:
-        """All values at once."""
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))
-        i = np.arange(self.n)
-        return ((ones - i) << self.low_bits) + self._low(i)
+    def span(self, i: int) -> tuple[int, int]:
+        """Where stretch i begins and ends: the values i - 1 (0 before the first) and i."""
+        return self.select(i - 1) if i else 0, self.select(i)
 
 
 def _segment(part: int, seq: int, before: int, docs: list, ids: list[bytes], width: int) -> dict:
     ends = np.cumsum([len(x) // 4 for x in ids])
     flat = np.frombuffer(b"".join(ids), "<u4")
     ef = EliasFano.of(ends)
+    known = [d for d in docs if d is not None]
     return {
         "part": part, "seq": seq, "first_in_part": before, "n_ids": len(flat), "width": width, "docs": docs,
+        "least": min(known, default=None), "greatest": max(known, default=None),
         "ids": flat.astype("<u2").tobytes() if width == 2 else flat.tobytes(),
         "universe": ef.universe, "low_bits": ef.low_bits, "low": ef.low, "high": ef.high, "samples": ef.samples,
     }
@@ -136,8 +129,11 @@ def write_shards(docs: DataFrame, path: str | None = None, tokenizer: str = BYTE
     return path
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): each document's place and ids (little-endian unsigned 32-bit), from the files."""
+def read_shards(spark: SparkSession, path: str, doc_id: int | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids): each document's place and ids (little-endian unsigned 32-bit), from the files.
+
+    With ``doc_id`` only segments that may hold it are read, and only its stretch is taken out of them.
+    """
     ship(spark)
     rows = spark.read.schema(_SCHEMA).parquet(path)
     # one number per range: at most as many rows as there were shuffle partitions
@@ -146,19 +142,22 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     for part, n in totals:
         base[part] = at
         at += n
+    if doc_id is not None:
+        rows = rows.filter((F.col("least") <= doc_id) & (F.col("greatest") >= doc_id))
 
     def unpack(cols):
         out: list[list] = [[], [], [], []]
         for part, first, width, docs, raw, universe, k, low, high, samples in zip(
             *(cols[c].to_pylist() for c in ("part", "first_in_part", "width", "docs", "ids", "universe", "low_bits", "low", "high", "samples")), strict=True
         ):
-            ids = np.frombuffer(raw, "<u2" if width == 2 else "<u4").astype("<u4").tobytes()
-            ends = EliasFano(len(docs), universe, k, low, high, samples).all()
-            starts = np.concatenate([[0], ends[:-1]])
-            out[0] += docs
-            out[1] += (starts + base[part] + first).tolist()
-            out[2] += (ends - starts).tolist()
-            out[3] += [ids[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            ends = EliasFano(len(docs), universe, k, low, high, samples)
+            wide = np.frombuffer(raw, "<u2" if width == 2 else "<u4").astype("<u4")
+            for i, name in enumerate(docs):
+                if doc_id is not None and name != doc_id:
+                    continue
+                a, b = ends.span(i)
+                for o, v in zip(out, (name, base[part] + first + a, b - a, wide[a:b].tobytes()), strict=True):
+                    o.append(v)
         return out
 
     return map_rows(rows, unpack, "doc_id long, start long, n_tokens long, ids binary", step=4)

@@ -362,14 +362,29 @@ def test_token_ids(docs, none):
 def test_elias_fano():
     for values in ([0], [5], [1, 1, 1, 9], sorted(rng.randrange(10**6) for _ in range(2000)), list(range(1, 700))):
         ef = token_shards.EliasFano.of(np.array(values))
-        assert ef.all().tolist() == values == [ef.select(i) for i in range(len(values))]
+        assert values == [ef.select(i) for i in range(len(values))]
+        assert [ef.span(i) for i in range(len(values))] == list(zip([0, *values], values, strict=False))
     assert 8 * (len(ef.low) + len(ef.high)) < 3 * 700
 
 
 def test_segments_are_bounded(spark, docs):
     path = token_shards.write_shards(docs, segment_ids=100)
     assert spark.read.parquet(path).count() > 4
-    assert token_shards.read_shards(spark, path).agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] > 40000
+    every = token_shards.read_shards(spark, path).collect()
+    assert max(r["start"] + r["n_tokens"] for r in every) == sum(r["n_tokens"] for r in every) > 40000
+    # one document through select: the same place and ids, repeated ids all
+    for name in (0, 6, 14, len(ROWS), -5):
+        one = token_shards.read_shards(spark, path, name).collect()
+        assert sorted(map(tuple, one)) == sorted(tuple(r) for r in every if r["doc_id"] == name)
+
+
+@pytest.mark.parametrize("name", [token_shards.BYTE_BPE, bpe_chunks.WORD_BPE])
+def test_tokens_of_all_documents_equal_the_library(spark, name):
+    """The fast way against the tokenizers library on every text of a table."""
+    lib = Bpe(name)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    whole = [e.ids for e in lib.lib.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [lib.encode(t) for t in texts] == whole and len(texts) == 1000
 
 
 def test_bpe_roundtrip(docs, none):
