@@ -6,12 +6,15 @@ spaces, is among the text's words; each match holds one of them as a word. Detec
 interval lies inside an accepted one is suppressed. Base phrases are counted apart and are never suppressed.
 
 Defined cases: null or empty text has no words, no labels and score 0; ties between equal intervals go to the rule
-that stands first; repeated rows give repeated results; very long texts are read whole.
+that stands first; repeated rows give repeated results; very long texts are read whole, and their detections are looked
+up by start; an empty table gives an empty result; other input columns, also ``n_words``, ``labels`` or ``score``, are
+not read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import cache
 
 from pyspark.sql import DataFrame
@@ -196,29 +199,19 @@ def detect(words: list[bytes]) -> list[tuple[int, int, str, int]]:
     text = b" ".join(words)
     found = [(p, m.start(), m.end(), label) for label, p, keys, pat in rules() if not keys.isdisjoint(there) for m in pat.finditer(text)]
     found.sort(key=lambda f: (-f[0], f[1] - f[2], f[1]))
+    # an accepted interval holds one that starts at or after it only if it is long enough to reach its end
     taken: list[tuple[int, int, str, int]] = []
-    if len(found) <= 64:
-        for p, a, b, label in found:
-            if not any(x <= a and b <= y for x, y, *_ in taken):
-                taken.append((a, b, label, p))
-        return taken
-    # many detections: containment is looked up where it can be, in the cover of accepted intervals by start
-    import bisect
-
     starts: list[int] = []
     ends: list[int] = []
     widest = 0
     for p, a, b, label in found:
-        i = bisect.bisect_right(starts, a)
-        inside, j = False, i - 1
-        while j >= 0 and starts[j] >= b - widest:
-            if ends[j] >= b:
-                inside = True
-                break
+        j = bisect_right(starts, a) - 1
+        while j >= 0 and starts[j] >= b - widest and ends[j] < b:
             j -= 1
-        if not inside:
-            starts.insert(i, a)
-            ends.insert(i, b)
+        if j < 0 or starts[j] < b - widest:
+            at = bisect_right(starts, a)
+            starts.insert(at, a)
+            ends.insert(at, b)
             widest = max(widest, b - a)
             taken.append((a, b, label, p))
     return taken

@@ -1,12 +1,14 @@
 """Quality rules as a bitmask ledger.
 
-Every rule is evaluated once per document. The ledger row keeps the measurements and one failure bit per rule; a
-*policy* is a named, versioned mask over those bits, so policies are applied, compared and ablated later with bitwise
-operations on the ledger alone, without reading a text again. All of it is DataFrame functions.
+Every rule is evaluated once per document. The ledger row keeps the measurements and one failure bit per rule and is
+stored; a *policy* is a named, versioned mask over those bits, so policies are applied, compared and ablated later with
+bitwise operations on the stored ledger alone, without reading a text again. All of it is DataFrame functions, in one
+pass without a shuffle.
 
 Defined cases: a null or empty text has no words and fails the base rule; a text of fewer than three words has no
-3-word window; repeated rows are judged alike; other columns pass through ``judge`` untouched (an input column named
-like an added one is replaced); an empty table gives an empty ledger.
+3-word window; repeated rows are judged alike, whatever their ids; a very long text is one row, read by one task; no
+rule ranks, so ties cannot occur; other columns pass through ``judge`` untouched (an input column named like an added
+one is replaced); an empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 _SPACE = r"[\x20\x09-\x0D]"
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -109,6 +113,11 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     return measure(docs, text).withColumn("fail_bits", F.when(F.monotonically_increasing_id() >= 0, bits.cast("long")))
 
 
+def store(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """The ledger of ``docs``, with their other columns but the text, written to the shared folder or to ``path`` and read back."""
+    return saved(judge(docs, text).drop(text), "quality-ledger", path)
+
+
 def passes(policy: Policy) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) == 0
 
@@ -133,15 +142,23 @@ def ablation(ledger: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     )
 
 
+def verdicts(ledger: DataFrame, policies: tuple[Policy, ...]) -> DataFrame:
+    """``ledger`` with one boolean column ``<name>_v<version>`` for each policy."""
+    return ledger.withColumns({f"{p.name}_v{p.version}": passes(p) for p in policies})
+
+
 def keep_quality(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """The documents that a policy keeps, with the columns they came with."""
+    """The documents that a policy keeps, with the columns they came with.
+
+    They are stored beside their ledger rows, so that the policy is applied without a join.
+    """
     packed = docs.select(F.col("text").alias("__text"), F.struct(*docs.columns).alias("__doc"))
-    return judge(packed, "__text").filter(passes(policy)).select("__doc.*")
+    return store(packed, "__text").filter(passes(policy)).select("__doc.*")
 
 
 def op10_quality_rules(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """Per document: the base measurements, ``base_failed`` and ``kept``, then the ledger's bits."""
-    return judge(docs.select("doc_id", "text")).select(
+    return store(docs.select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~passes(BASE)).alias("base_failed"), passes(policy).alias("kept"), "n_text_lines", "fail_bits",
     )

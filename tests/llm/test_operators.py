@@ -93,6 +93,35 @@ def test_license_scan(docs, none):
     assert license_rules.op2_license_scan(none).count() == 0 and len(license_rules.rules()) > 300
 
 
+def test_license_scan_equals_brute_force(spark):
+    """Labels by running every rule everywhere, without the gate, and suppressing by pairwise comparison; base places by words."""
+    own = random.Random(2)
+    pieces = ["gnu", "general", "public", "license", "licence", "version", "v", "2", "3", "0", "or", "later", "only", "mit", "apache", "2.0", "cc", "by", "sa", "nc", "4.0",
+              "bsd", "3-clause", "all", "rights", "reserved", "lgpl", "gplv3", "creative commons attribution", "share alike", "the", "spdx-license-identifier:", "cc0", "unlicense",
+              "under the terms of", "any later version", "copyright 2020", "in the public domain", "free of charge"]
+    texts = [" ".join(own.choice(pieces) for _ in range(own.randrange(60))) for _ in range(300)] + [r[1] for r in ROWS] + [" ".join(pieces * 40)]
+    shape = lambda t: re.sub(b"[^0-9a-z\x80-\xff]+", b" ", re.sub(b"[A-Z]", lambda m: m[0].lower(), (t or "").encode())).strip()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in license_rules.op2_license_scan(df).collect():
+        text = shape(texts[r["doc_id"]])
+        words = text.split()
+        found = sorted(((-p, m.start() - m.end(), m.start(), i, label) for i, (label, p, _, pat) in enumerate(license_rules.rules()) for m in pat.finditer(text)))
+        kept: list[tuple] = []
+        for p, n, at, _, label in found:
+            if not any(a <= at and at - n <= b for a, b, *_ in kept):
+                kept.append((at, at - n, label, -p))
+        places, base = [], set()
+        for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")):
+            want = phrase.encode().split()
+            at = [i for i in range(len(words)) if words[i : i + len(want)] == want]
+            places += at
+            base |= {label} if at else set()
+        score = max([0.9] * bool(base) + [k[3] / 100 for k in kept], default=0.0)
+        got = (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["score"])
+        want = (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | {k[2] for k in kept})), score)
+        assert got == want
+
+
 def test_license_containment():
     labels = lambda t: {f[2] for f in license_rules.detect(words_of(t))}
     assert labels("GNU General Public License, version 2 or any later version") == {"gpl-2.0-or-later"}
@@ -562,7 +591,11 @@ def test_quality_rules(docs, none):
     assert table(rule_ledger.op10_quality_rules(docs).toPandas()) == table(by_sql(rule_ledger.OP10_SQL))
     assert rule_ledger.op10_quality_rules(none).count() == 0
     assert rule_ledger.keep_quality(docs).columns == docs.columns
-    ledger = rule_ledger.judge(docs)
+    assert rule_ledger.keep_quality(none).count() == 0
+    ledger = rule_ledger.store(docs)
+    assert "text" not in ledger.columns and ledger.count() == len(ROWS)
+    both = rule_ledger.verdicts(ledger, (rule_ledger.BASE, rule_ledger.DEFAULT))
+    assert both.filter("default_v1 AND NOT base_v1").count() == 0 and both.filter("base_v1").count() == both.filter(rule_ledger.passes(rule_ledger.BASE)).count()
     rows = {r["rule"]: r for r in rule_ledger.ablation(ledger).collect()}
     kept = ledger.filter(rule_ledger.passes(rule_ledger.DEFAULT)).count()
     for rule, r in rows.items():
