@@ -166,6 +166,69 @@ def _single() -> list[tuple]:
     ]
 
 
+def _grants() -> list[tuple]:
+    """Sentences of licence texts and of the notices they ask for."""
+    return [
+        ("apache-2.0", 94, "apache", r"licensed under the apache licen[sc]e version 2 0(?: the licen[sc]e)?(?: you may not use this file except in compliance with the licen[sc]e)?"),
+        ("apache-2.0", 72, "compliance", r"you may not use this file except in compliance with the licen[sc]e"),
+        ("apache-2.0", 71, "contributor", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) licen[sc]e"),
+        ("apache-2.0", 70, "asf", r"licensed to the apache software foundation asf under one or more contributor licen[sc]e agreements"),
+        ("mit", 83, "copies", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+        ("mit", 79, "sublicense", r"(?:rights to )?use copy modify merge publish distribute sublicense and or sell copies of the software"),
+        ("mit", 60, "merchantability", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+        ("warranty-disclaimer", 30, "warranty", r"without (?:any )?warranty(?: of any kind)?"),
+        ("warranty-disclaimer", 32, "liable", r"in no event (?:shall|will) the (?:authors?|copyright (?:holders?|owners?)|contributors)(?: or \w+){0,3} be liable"),
+        ("gpl", 85, "redistribute", r"this (?:program|software|file) is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e"),
+        ("lgpl", 86, "redistribute", r"this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e"),
+        ("agpl", 86, "redistribute", r"this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public licen[sc]e"),
+        ("gpl", 78, "fitness", r"distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+        ("gpl", 76, "received", r"you should have received a copy of the gnu general public licen[sc]e(?: along with this (?:program|software))?"),
+        ("lgpl", 77, "received", r"you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e"),
+        ("agpl", 77, "received", r"you should have received a copy of the gnu affero general public licen[sc]e"),
+        ("gpl", 74, "verbatim", r"everyone is permitted to copy and distribute verbatim copies of this licen[sc]e document but changing it is not allowed"),
+        ("gpl-linking-exception", 73, "linking", r"(?:as a special exception )?linking this library statically or dynamically with other modules"),
+        ("gpl-classpath-exception", 75, "classpath", r"(?:gnu )?classpath exception"),
+        ("mpl-2.0", 93, "source", r"this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0"),
+        ("mpl-1.1", 90, "contents", r"the contents of this file are subject to the mozilla public licen[sc]e version 1 1"),
+        ("epl", 80, "accompanying", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e"),
+        ("cddl", 80, "cddl common", r"subject to the terms of the common development and distribution licen[sc]e(?: the licen[sc]e)?|cddl header start"),
+        ("bsd", 72, "redistributions", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+        ("bsd", 72, "redistributions", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+        ("bsd-4-clause", 86, "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment"),
+        ("bsd-3-clause", 76, "neither", r"neither the name of (?:the )?\w+(?: \w+){0,6} nor the names of its contributors may be used to endorse or promote products"),
+        ("boost-1.0", 90, "obtaining", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[sc]e"),
+        ("isc", 77, "consequential", r"in no event shall the author be liable for any special direct indirect or consequential damages"),
+        ("isc", 79, "hereby", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+        ("zlib", 78, "implied", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+        ("zlib", 77, "altered", r"altered source versions must be plainly marked as such and must not be misrepresented"),
+        ("unlicense", 81, "anyone", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+        ("wtfpl", 84, "want", r"do what the f\w+ you want to public licen[sc]e"),
+        ("beerware", 82, "beer beerware", r"if we meet some day and you think this stuff is worth it you can buy me a beer|beer ?ware licen[sc]e"),
+        ("json", 82, "evil", r"the software shall be used for good not evil"),
+        ("artistic", 60, "package", r"you may make and give away verbatim copies of the source form of the standard version of this package"),
+        ("ofl-1.1", 88, "font", r"this font software is licensed under the sil open font licen[sc]e version 1 1"),
+        ("cc0-1.0", 90, "waived", r"has waived all copyright and related or neighboring rights"),
+        ("cc0-1.0", 88, "dedicated", r"(?:the person who associated a work with this deed has )?dedicated the work to the public domain"),
+        ("cc-by", 58, "share", r"you are free to share copy and redistribute the material in any medium or format"),
+        ("cc-by", 57, "credit", r"you must give appropriate credit provide a link to the licen[sc]e and indicate if changes were made"),
+        ("cc-by-nc", 59, "commercial", r"you may not use the material for commercial purposes"),
+        ("cc-by-nd", 59, "remix", r"if you remix transform or build upon the material you may not distribute the modified material"),
+        ("cc-by-sa", 59, "contributions", r"you must distribute your contributions under the same licen[sc]e as the original"),
+        ("creative-commons", 35, "licensed", r"this (?:work|article|content) is licensed under a creative commons"),
+        ("public-domain", 55, "domain", r"this (?:file|work|code|software|program) (?:is|has been) (?:hereby )?(?:released into|placed in|in) the public domain"),
+        ("public-domain", 50, "domain", r"no (?:known )?copyright (?:restrictions )?(?:this work is )?in the public domain"),
+        ("odbl", 60, "database", r"made available under the open database licen[sc]e"),
+        ("proprietary", 72, "confidential", r"(?:this (?:document|file|software) contains )?confidential and proprietary(?: information)?"),
+        ("proprietary", 71, "copied disclosed distributed", r"may not be (?:copied|disclosed|distributed)(?: or \w+){0,3} without (?:the )?(?:express )?(?:prior )?(?:written )?(?:consent|permission)"),
+        ("proprietary", 66, "reverse decompile disassemble", r"you may not (?:reverse engineer|decompile|disassemble)(?: \w+){0,6} (?:the|this) software"),
+        ("non-commercial", 45, "commercial", r"for (?:personal|educational|research) (?:and|or) non commercial use only|non commercial use only"),
+        ("reserved", 66, "reproduced", r"no part of this (?:publication|book|work|document) may be reproduced"),
+        ("reserved", 64, "worldwide", r"rights reserved worldwide"),
+        ("reserved", 65, "vorbehalten", r"alle rechte vorbehalten"),
+        ("reserved", 65, "derechos", r"todos los derechos reservados"),
+    ]
+
+
 def _identifiers() -> list[tuple]:
     names = (
         "mit", "isc", "zlib", "0bsd", "unlicense", "wtfpl", "ncsa", "curl", "x11", "bsl 1 0", "apache 1 1", "apache 2 0",
@@ -181,7 +244,7 @@ def _identifiers() -> list[tuple]:
 @cache
 def rules() -> tuple[tuple[str, int, frozenset[bytes], re.Pattern], ...]:
     """All rules by falling priority; a text position counts only at word limits."""
-    made = [*_identifiers(), *_gnu(), *_creative_commons(), *_versioned(), *_single()]
+    made = [*_identifiers(), *_gnu(), *_creative_commons(), *_versioned(), *_single(), *_grants()]
     made.sort(key=lambda r: -r[1])
     return tuple((label, p, frozenset(key.encode().split()), re.compile(rb"(?<![^ ])" + pat.encode() + rb"(?![^ ])")) for label, p, key, pat in made)
 
