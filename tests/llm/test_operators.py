@@ -239,12 +239,94 @@ def test_personal_data(docs, none):
         assert ",".join(f"{k}:{a}:{b}" for a, b, k in pii_boost.base_spans(t)) == brute(t)
 
 
+#: Sentences written by hand, not by the generator of training rows: (sentence, personal data beyond the base kinds or None).
+SPOKEN = [
+    ("Feel free to give our office a ring, the phone is (415) 867-3920 during the day.", "(415) 867-3920"),
+    ("Her mobile: 07911 123456, please text first.", "07911 123456"),
+    ("Sie erreichen mich unter Telefon 030 1234567 oder abends zu Hause.", "030 1234567"),
+    ("Mon tél est le 06 12 34 56 78 si besoin.", "06 12 34 56 78"),
+    ("Llamar al 612 34 56 78 por la tarde.", "612 34 56 78"),
+    ("Call 212-555-0187 and ask for Dana.", "212-555-0187"),
+    ("Contact: 0171/5551234 (nur werktags)", "0171/5551234"),
+    ("tel. 020 7946 0958, London", "020 7946 0958"),
+    ("My number is 98765 43210, call after six.", "98765 43210"),
+    ("You can write to mara.klein (at) example (dot) org for the slides.", "mara.klein (at) example (dot) org"),
+    ("Questions go to j_doe42 at university dot edu before Friday.", "j_doe42 at university dot edu"),
+    ("mail: sven[at]posteo.de", "sven[at]posteo.de"),
+    ("Contact peter.smith AT firm DOT co DOT uk", "peter.smith AT firm DOT co DOT uk"),
+    ("Kontakt: info99 {at} stadtwerke {dot} de", "info99 {at} stadtwerke {dot} de"),
+    ("The applicant gave SSN 219-09-9999 on the form.", "219-09-9999"),
+    ("Social security number: 457-55-5462.", "457-55-5462"),
+    ("taxpayer id 123-45-6789 was rejected", "123-45-6789"),
+    ("Please transfer the rent to IBAN DE89 3704 0044 0532 0130 00 by Monday.", "DE89 3704 0044 0532 0130 00"),
+    ("Our account is GB29NWBK60161331926819, thank you.", "GB29NWBK60161331926819"),
+    ("Compte FR14 2004 1010 0505 0001 3M02 606 à la banque", "FR14 2004 1010 0505 0001 3M02 606"),
+    ("cuenta ES9121000418450200051332", "ES9121000418450200051332"),
+    ("Konto AT611904300234573201", "AT611904300234573201"),
+    ("He was born on 14/03/1975 in Leeds.", "14/03/1975"),
+    ("geboren am 3.11.1988 in Ulm", "3.11.1988"),
+    ("DOB 1962-07-09, blood group A", "1962-07-09"),
+    ("Fecha de nacimiento: 21-05-1990", "21-05-1990"),
+    ("National insurance number AB 12 34 56 C on file.", "AB 12 34 56 C"),
+    ("con DNI 12345678Z y domicilio en Madrid", "12345678Z"),
+    ("NIE X1234567L expedido en Lugo", "X1234567L"),
+    ("codice fiscale RSSMRA85T10A562S", "RSSMRA85T10A562S"),
+    ("Invoice 4821-9930 was paid in full.", None),
+    ("The score ended 102-98 after overtime.", None),
+    ("see pages 112-118 of volume 22", None),
+    ("ISBN 978-3-16-148410-0 is out of print", None),
+    ("order 100 200 300 of the small size", None),
+    ("version 10.15.7 fixes the crash", None),
+    ("part number 555-12-0000 is obsolete", None),
+    ("In 1914-1918 the border moved twice.", None),
+    ("total 12 500 euros for the lot", None),
+    ("coordinates 52.5200 13.4050 on the map", None),
+    ("tracking 123456789012 left the depot", None),
+    ("Let us meet at noon. Then we leave.", None),
+    ("She works at home.She likes it.", None),
+    ("look at example.com for more", None),
+    ("They stayed at the dot of the map", None),
+    ("published 12/04/2019 by the council", None),
+    ("The meeting on 2023-11-05 was moved.", None),
+    ("released 3.9.2021 with fixes", None),
+    ("serial 000-12-3456 was recalled", None),
+    ("model XX12 3456 7890 1234 is loud", None),
+    ("lot SN44000011112222 expired", None),
+    ("item 87654321B in the catalogue", None),
+    ("build 20240115 passed all tests", None),
+    ("ratio 16:9 and size 1920 1080", None),
+    ("300.400.500.600 is no address", None),
+    ("Rechnung 2021/00045 vom Mai", None),
+    ("room 204-12 on floor 3", None),
+    ("the patent 7,654,321 and 10 2004 003 1", None),
+]
+
+
 def test_personal_data_model():
-    trees, limits, accuracy = pii_boost.model()
-    assert accuracy > 0.95 and all(v >= 0.5 for v in limits.values())
+    """Thresholds come from their own fold, and what is reported from a third one; sentences of another hand confirm it."""
+    trees, limits, told = pii_boost.model()
+    assert len(set(limits.values())) == len(limits) and all(0 < v < 1 and v != 0.5 for v in limits.values())
+    assert all(p >= 0.9 and r >= 0.8 for p, r in told.values()) and any(p < 1 for p, _ in told.values())
+    hit = wrong = 0
+    for text, want in SPOKEN:
+        got = [text[a:b] for a, b, kind in pii_boost.find(text, pii_boost.model())[1] if kind in pii_boost.MORE_KINDS]
+        hit += want in got
+        wrong += len([g for g in got if g != want])
+    assert hit >= 0.85 * sum(w is not None for _, w in SPOKEN) and wrong <= 2
     spans = pii_boost.find("write to jane [at] mail [dot] com, phone: 0171 555 1234", pii_boost.model())[1]
     assert [s[2] for s in spans] == ["email_spelled", "phone_loose"]
     assert pii_boost.redacted("x a@b.cc y", [(2, 8, "email")]) == "x [email] y"
+    # a stricter calibration takes fewer spans
+    strict = pii_boost.model(precision=0.999)[1]
+    assert all(strict[k] >= limits[k] for k in limits) and any(strict[k] > limits[k] for k in limits)
+
+
+def test_personal_data_adds_spans_in_rows(spark):
+    """Added spans reach the query's rows beside the base ones, in order, and words between letters propose nothing."""
+    texts = ["SSN 219-09-9999 or a.b@c.de", "call 212-555-0187", "that attic matter at.dot", "a" * 300_000 + " at example.org", None]
+    got = {r["doc_id"]: r for r in pii_boost.op4_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0]["spans"] == "ssn:4:15,email:19:27" and got[0]["n_email"] == 1 and got[1]["spans"] == "phone_loose:5:17"
+    assert got[2]["spans"] == got[4]["spans"] == ""
 
 
 def test_personal_data_without_digits():
