@@ -91,6 +91,14 @@ def modified(headers: dict[str, str], now: datetime) -> datetime:
         return now.replace(microsecond=0)
 
 
+def length(headers: dict[str, str], default: int) -> int:
+    """Content-Length as a number, or ``default`` where there is none that can be read."""
+    try:
+        return int(headers["Content-Length"])
+    except (KeyError, TypeError, ValueError):
+        return default
+
+
 def content_type(value: str) -> tuple[str, dict[str, str]]:
     """Media type and parameters; quoted values are unquoted."""
     kind, *rest = re.findall(r'(?:[^;"]|"(?:[^"\\]|\\.)*")+', value) or [""]

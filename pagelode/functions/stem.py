@@ -11,15 +11,18 @@ from functools import lru_cache
 
 from .text import normalize
 
-# Prefixes, and suffix rules in the order in which they are tried.
-PREFIXES = "kilo micro milli intra ultra mega nano pico pseudo".split()
-STEP2 = [
-    r.split(">")
-    for r in """ational>ate tional>tion enci>ence anci>ance izer>ize iser>ize abli>able alli>al entli>ent eli>e ousli>ous ization>ize
-    isation>ize ation>ate ator>ate alism>al iveness>ive fulness>ful ousness>ous aliti>al iviti>ive biliti>ble""".split()
-]
-STEP3 = [r.split(">") for r in "icate>ic ative> alize>al alise>al iciti>ic ical>ic ful> ness>".split()]
-STEP4 = [[s, ""] for s in "al ance ence er ic able ible ant ement ment ent sion tion ou ism ate iti ous ive ize ise".split()]
+# Prefixes, and suffix rules (ending, what replaces it) in the order in which they are tried.
+PREFIXES = ("kilo", "micro", "milli", "intra", "ultra", "mega", "nano", "pico", "pseudo")
+STEP2 = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("iser", "ize"), ("abli", "able"), ("alli", "al"),
+    ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("isation", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"),
+    ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+)
+STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("alise", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
+STEP4 = (
+    ("al", ""), ("ance", ""), ("ence", ""), ("er", ""), ("ic", ""), ("able", ""), ("ible", ""), ("ant", ""), ("ement", ""), ("ment", ""), ("ent", ""),
+    ("sion", ""), ("tion", ""), ("ou", ""), ("ism", ""), ("ate", ""), ("iti", ""), ("ous", ""), ("ive", ""), ("ize", ""), ("ise", ""),
+)
 # End of fixed values.
 
 
@@ -61,7 +64,7 @@ def _participle(w: str) -> tuple[str, bool]:
     return (w + "e" if _syllables(s) == 1 and _short_end(w, s) else w), False
 
 
-def _suffix(w: str, rules: list[list[str]], least: int) -> str:
+def _suffix(w: str, rules: tuple[tuple[str, str], ...], least: int) -> str:
     s = shape(w)
     for find, put in rules:
         if w.endswith(find) and _syllables(s[: len(w) - len(find)]) >= least:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 #: A default list of English function words; pass another list, or a file with one word a line, for other needs.
@@ -64,6 +65,7 @@ def tokens(text: str) -> Iterator[tuple[int, str]]:
         at += n
 
 
+@lru_cache(1 << 17)
 def analyze_word(word: str, stop: frozenset[str] = DEFAULT_STOP_WORDS) -> str:
     """Normalized, stop-filtered, stemmed form of a word; empty if it is not indexed."""
     from .stem import stem

@@ -23,13 +23,33 @@ def _placed(df: DataFrame, n: int, order: list[str], name: str, start: int) -> D
     return df.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("long") + F.lit(start))
 
 
+def merge_parts(parts: list[tuple[int, DataFrame]], n: int, df: DataFrame, name: str) -> None:
+    """Append a saved part of ``n`` rows; older parts of at most twice the newer ones' rows are folded into them."""
+    parts.append((n, df))
+    while len(parts) > 1 and parts[-2][0] <= 2 * parts[-1][0]:
+        (m, older), (k, newer) = parts[-2:]
+        parts[-2:] = [(m + k, saved(older.unionByName(newer), name))]
+
+
 class Frontier:
-    """The queue of addresses to visit and the set of those ever queued."""
+    """The queue of addresses to visit and the set of those ever queued.
+
+    Both are parts that operations append to; parts are merged when newer ones add up to as many rows, so that a crawl
+    writes each address a logarithmic number of times.
+    """
 
     def __init__(self, spark: SparkSession):
         self.queue = spark.createDataFrame([], "url string, place long")
-        self.seen = spark.createDataFrame([], "url string")
         self.first, self.next = 0, 0
+        self._seen: list[tuple[int, DataFrame]] = [(0, spark.createDataFrame([], "url string"))]
+
+    @property
+    def seen(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, (df for _, df in self._seen))
+
+    def put_back(self, taken: DataFrame) -> None:
+        """Rows that ``dequeue`` gave return to their places."""
+        self.queue = saved(self.queue.unionByName(taken.select("url", "place")), "queue")
 
     def enqueue(self, urls: DataFrame | Iterable[str], *, before: bool = False, ignore_queued: bool = False) -> int:
         """Append addresses, or put them in front, in their order; each counts once. Returns how many were new.
@@ -51,7 +71,7 @@ class Frontier:
         start = self.first - n if before else self.next
         placed = _placed(new, n, ["at", "url"], "place", start).select("url", "place")
         self.queue = saved(self.queue.unionByName(placed), "queue")
-        self.seen = saved(self.seen.unionByName(new.select("url")), "seen")
+        merge_parts(self._seen, n, new.select("url"), "seen")
         self.first, self.next = (start, self.next) if before else (self.first, start + n)
         return n
 
@@ -66,15 +86,16 @@ class Frontier:
 
     def reset(self, urls: DataFrame) -> None:
         """Forget that addresses (column url) were queued, so that they can be queued again."""
-        self.seen = saved(self.seen.join(urls.select("url"), "url", "left_anti"), "seen")
+        left = saved(self.seen.join(urls.select("url"), "url", "left_anti"), "seen")
+        self._seen = [(left.count(), left)]
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, budget: int | None = None, max_depth: int | None = None) -> DataFrame:
     """(node, depth, visit): ``edges`` has source, target, ordinal; ``seeds`` has node, ordinal.
 
     A level is the distinct targets of the level before that were never queued, ordered by the parent's place and the
-    link's ordinal. The loop ends when no link leads further; ``budget`` or ``max_depth`` ends it early. Levels are written
-to the shared folder and merged as they add up, so that the plan stays short at any depth.
+    link's ordinal. The loop ends when no link leads further; ``budget`` or ``max_depth`` ends it early. Levels are
+    written to the shared folder and merged as they add up, so that the plan stays short at any depth.
     """
     first = saved(seeds.groupBy("node").agg(F.min("ordinal").alias("o")), "level")
     total = first.count()
@@ -89,9 +110,6 @@ to the shared folder and merged as they add up, so that the plan stays short at
             break
         level = saved(_placed(fresh, n, ["key", "node"], "visit", total).select("node", F.lit(depth).alias("depth"), "visit"), "level")
         total += n
-        parts.append((n, level))
-        while len(parts) > 1 and parts[-2][0] <= 2 * parts[-1][0]:
-            (m, older), (k, newer) = parts[-2:]
-            parts[-2:] = [(m + k, saved(older.unionByName(newer), "seen"))]
+        merge_parts(parts, n, level, "seen")
         seen = reduce(DataFrame.unionByName, (df for _, df in parts))
     return seen.filter(F.col("visit") <= budget) if budget is not None else seen

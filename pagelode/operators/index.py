@@ -1,7 +1,9 @@
 """Index build (I1-I17): pages to url and word dictionaries, page table, link graph and positional postings.
 
 A page's postings need that page only, so they are grouped and normalized where the page is parsed and no shuffle moves
-an occurrence. Dictionaries are distinct values with dense ids in their sort order.
+an occurrence. Postings carry their word, so that neither building nor searching joins the dictionary of words; links
+are joined to the dictionary of addresses without a hot target in one task. Dictionaries are distinct values with dense
+ids in their sort order. Words and addresses beyond their greatest lengths are not indexed but kept in ``rejected``.
 """
 
 from __future__ import annotations
@@ -17,29 +19,37 @@ from pyspark.sql import functions as F
 
 from .. import ship
 from ..functions.text import DEFAULT_STOP_WORDS
+from ..sources.work import saved
 from .numbering import number
+from .skew import dealt_join
 
 PARSED = (
     "page_id long, url string, title string, plaintext string, mod_time timestamp, size long, links array<string>, "
-    "postings array<struct<field:string,word:string,positions:array<int>,frequency:long,tf_normalized:double>>"
+    "postings array<struct<field:string,word:string,positions:array<int>,frequency:long,tf_normalized:double>>, "
+    "rejected array<struct<field:string,value:string>>"
 )
-#: Longest word that is indexed; longer ones are left out.
-MAX_WORD = 255
+#: Longest word and address that are indexed; longer ones go to quarantine.
+MAX_WORD, MAX_URL = 255, 2047
 CONTENT, TITLE = "plaintext", "title"
 
 
 @dataclass(frozen=True)
 class Index:
-    """urls(url_id, content, redirect_id), pages, links(page_id, url_id), words(word_id, content), postings."""
+    """urls(url_id, content, redirect_id), pages, links(page_id, url_id), words(word_id, content), postings, rejected.
+
+    Postings are (field, page_id, word, positions, frequency, tf_normalized); rejected is (page_id, field, value).
+    """
 
     urls: DataFrame
     pages: DataFrame
     links: DataFrame
     words: DataFrame
     postings: DataFrame
+    rejected: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
-        return {n: getattr(self, n) for n in ("urls", "pages", "links", "words", "postings")}
+        found = {n: getattr(self, n) for n in ("urls", "pages", "links", "words", "postings", "rejected")}
+        return {n: t for n, t in found.items() if t is not None}
 
 
 def parse_pages(pages: DataFrame, crawl_time: datetime | None = None, stop: frozenset[str] = DEFAULT_STOP_WORDS) -> DataFrame:
@@ -55,7 +65,7 @@ def parse_pages(pages: DataFrame, crawl_time: datetime | None = None, stop: froz
     arrow = to_arrow_schema(kind)
 
     def run(batches):
-        from ..functions.page import modified, page_links, read_page
+        from ..functions.page import length, modified, page_links, read_page
         from ..functions.text import analyze
 
         for batch in batches:
@@ -64,18 +74,21 @@ def parse_pages(pages: DataFrame, crawl_time: datetime | None = None, stop: froz
                 for row in batch.slice(at, 256).to_pylist():
                     headers = dict(row.get("headers") or {})
                     title, text, hrefs = read_page(row["html"])
-                    postings = []
+                    postings, rejected = [], []
                     for field, value in ((CONTENT, text), (TITLE, title)):
                         places: dict[str, list[int]] = {}
                         for pos, word in analyze(value, stop):
                             if len(word) <= MAX_WORD:
                                 places.setdefault(word, []).append(pos)
+                            else:
+                                rejected.append({"field": field, "value": word})
                         most = max(map(len, places.values()), default=0)
                         postings += [{"field": field, "word": w, "positions": p, "frequency": len(p), "tf_normalized": len(p) / most} for w, p in places.items()]
-                    length = (headers.get("Content-Length") or "").strip()
+                    links = page_links(row["url"] or "", hrefs)
+                    rejected += [{"field": "link", "value": t} for t in links if len(t) > MAX_URL]
                     out.append({
                         "page_id": row["page_id"], "url": row["url"], "title": title, "plaintext": text, "mod_time": modified(headers, now),
-                        "size": int(length) if length.isdigit() else len(text), "links": page_links(row["url"] or "", hrefs), "postings": postings,
+                        "size": length(headers, len(text)), "links": [t for t in links if len(t) <= MAX_URL], "postings": postings, "rejected": rejected,
                     })
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
@@ -95,18 +108,17 @@ def dense_ids(df: DataFrame, value: str, id_name: str) -> DataFrame:
 
 
 def build_index(parsed: DataFrame) -> Index:
-    """The five tables from parsed pages; the newest version of a url wins."""
-    latest = latest_versions(parsed)
-    own = latest.select(F.col("url").alias("content"))
-    target = latest.select(F.explode("links").alias("content"))
-    urls = dense_ids(own.union(target), "content", "url_id").withColumn("redirect_id", F.lit(None).cast("long"))
-    by_url = urls.select("url_id", F.col("content").alias("url"))
-    pages = latest.join(by_url, "url").select("page_id", "url_id", "mod_time", "size", "plaintext", "title")
-    links = latest.select("page_id", F.explode("links").alias("url")).join(by_url, "url").select("page_id", "url_id")
-    flat = latest.select("page_id", F.inline("postings"))
-    words = dense_ids(flat, "word", "word_id")
-    postings = flat.join(words.withColumnRenamed("content", "word"), "word").select("field", "page_id", "word", "word_id", "positions", "frequency", "tf_normalized")
-    return Index(urls, pages, links, words, postings)
+    """The tables from parsed pages; the newest version of a url wins (P11), and winners are written once."""
+    latest = saved(latest_versions(parsed), "latest")
+    flat = latest.select("page_id", F.explode("links").alias("url"))
+    counted = latest.select("url").union(flat.select("url")).filter("url IS NOT NULL").groupBy("url").agg(F.count("*").alias("__n"))
+    urls = number(counted.withColumnRenamed("url", "content"), ["content"], "url_id")
+    by_url = urls.select("url_id", F.col("content").alias("url"), "__n")
+    pages = latest.join(by_url.drop("__n"), "url").select("page_id", "url_id", "mod_time", "size", "plaintext", "title")
+    links = dealt_join(flat, by_url, "url", flat.count()).select("page_id", "url_id")
+    postings = latest.select("page_id", F.inline("postings")).select("field", "page_id", "word", "positions", "frequency", "tf_normalized")
+    rejected = latest.select("page_id", F.inline("rejected"))
+    return Index(urls.select("url_id", "content", F.lit(None).cast("long").alias("redirect_id")), pages, links, dense_ids(postings, "word", "word_id"), postings, rejected)
 
 
 def latest_versions(parsed: DataFrame) -> DataFrame:
@@ -130,46 +142,15 @@ def token_positions(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.select(key, (F.col("n") + 1).cast("long").alias("n"), F.col("t.pos").cast("long").alias("pos"), "t.token")
 
 
-# ---------------------------------------------------------------- native analysis, for SQL parity and plain corpora
-
-
-def simple_text(html: Column) -> Column:
-    """Plain text of a page by expressions alone: title, script, style and comments out, tags to line feeds, entities decoded."""
-    t = F.regexp_replace(html, r"(?is)<title\b.*?</title>|<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "")
-    t = F.regexp_replace(t, r"<[^>]+>", "\n")
-    for name, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(char))
-    return t
-
-
-def simple_title(html: Column) -> Column:
-    return F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1)
-
-
-def simple_pages(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "url", simple_title(F.col("html")).alias("title"), simple_text(F.col("html")).alias("plaintext"))
-
-
-def simple_postings(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
-    """(field, key, word, positions, frequency, tf_normalized): lower-cased runs of letters and numbers, 0-based ordinals."""
-    parts = [df.select(key, F.lit(f).alias("field"), F.posexplode(F.regexp_extract_all(F.lower(F.col(f)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("pos", "word")) for f in fields]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    grouped = rows.groupBy("field", key, "word").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.count("*").alias("frequency"))
-    return grouped.withColumn("tf_normalized", F.col("frequency") / F.max("frequency").over(W.partitionBy("field", key)))
-
+# ---------------------------------------------------------------- plain corpora
 
-def simple_index(spark: SparkSession, pages: DataFrame) -> Index:
-    """An index over ``simple_pages``, without word ids: its postings carry the word."""
-    plain = simple_pages(pages).select("page_id", "url", "title", "plaintext", F.length("plaintext").cast("long").alias("size"))
-    links = outlinks(pages)
-    return Index(links.select(F.col("target").alias("content")).distinct(), plain, links, plain.select("page_id"), simple_postings(plain, "page_id", (CONTENT, TITLE)))
 
+def simple_postings(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, word, positions, frequency, tf_normalized): lower-cased runs of letters and numbers, by 0-based ordinals.
 
-def outlinks(pages: DataFrame) -> DataFrame:
-    """(page_id, url, target): distinct root-relative and absolute links, without the page itself."""
-    host = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
-    hrefs = pages.select("page_id", "url", host.alias("host"), F.explode(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*?href="([^"]*)"'), F.lit(1))).alias("href"))
-    target = F.when(F.col("href").startswith("/"), F.concat("host", "href")).when(F.lower("href").rlike("^https?://"), F.col("href"))
-    return hrefs.select("page_id", "url", target.alias("target")).filter("target IS NOT NULL AND target <> url").distinct()
+    For corpora of plain text in any language.
+    """
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    rows = df.select(key, F.posexplode(words).alias("pos", "word"))
+    grouped = rows.groupBy(key, "word").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.count("*").alias("frequency"))
+    return grouped.withColumn("tf_normalized", F.col("frequency") / F.max("frequency").over(W.partitionBy(key)))

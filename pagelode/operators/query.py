@@ -8,9 +8,14 @@ from dataclasses import dataclass
 from functools import cache
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.work import saved
+
+HISTORY = "user string, seq long, query string"
+
 
 class Token(NamedTuple):
     type: str  # "term" or "phrase"
@@ -67,7 +72,30 @@ def delete_from_history(history: DataFrame, query: str) -> DataFrame:
 def remember(spark: SparkSession, path: str, query: str, user: str = "") -> None:
     """Append a query to the history kept beside an index (W6); an empty one is ignored. Its place is the clock's microsecond."""
     if query:
-        spark.createDataFrame([(user, time.time_ns() // 1000, query)], "user string, seq long, query string").coalesce(1).write.mode("append").parquet(f"{path}/history")
+        spark.createDataFrame([(user, time.time_ns() // 1000, query)], HISTORY).coalesce(1).write.mode("append").parquet(f"{path}/history")
+
+
+def history(spark: SparkSession, path: str, user: str = "") -> DataFrame:
+    """(seq, query) of a user, oldest first; empty if nothing was asked yet."""
+    try:
+        rows = spark.read.schema(HISTORY).parquet(f"{path}/history")
+    except AnalysisException:
+        return spark.createDataFrame([], HISTORY).select("seq", "query")
+    return rows.filter(F.col("user") == user).select("seq", "query").orderBy("seq")
+
+
+def completions(past: DataFrame, start: str, k: int = 10) -> DataFrame:
+    """(query): the last ``k`` different past queries (seq, query) that begin with ``start``, newest first."""
+    found = past.filter(F.col("query").startswith(start)).groupBy("query").agg(F.max("seq").alias("seq"))
+    return found.orderBy(F.desc("seq"), "query").limit(k).select("query")
+
+
+def compact_history(spark: SparkSession, path: str) -> None:
+    """Fold the history's small files into one."""
+    old = spark.read.schema(HISTORY).parquet(f"{path}/history").inputFiles()
+    if len(old) > 1:
+        rows = spark.read.schema(HISTORY).parquet(*old).coalesce(1).sortWithinPartitions("user", "seq")
+        saved(rows, "history").write.mode("overwrite").parquet(f"{path}/history")
 
 
 @cache

@@ -77,7 +77,9 @@ def search(index: Index, query: str, analyze: Callable[[str], str]) -> DataFrame
     scored = sums.crossJoin(F.broadcast(known)).select("page_id", cos("dot_c", "norm_c").alias("cos_content"), cos("dot_t", "norm_t").alias("cos_title"), F.round("norm_c", DIGITS).alias("magnitude"))
     scored = scored.withColumn("weight", F.round(F.col("cos_content") + TITLE_BOOST * F.col("cos_title"), DIGITS + 1))  # exact: one more digit than its parts
     if phrases:
-        scored = scored.join(phrase_filter(index.pages, phrases).select("page_id"), "page_id", "left_semi")
+        # texts of candidates only: they are joined before a phrase is looked for
+        texts = scored.join(index.pages.select("page_id", "title", "plaintext"), "page_id")
+        scored = phrase_filter(texts, phrases)
     return scored.select("page_id", "cos_content", "cos_title", "weight", "magnitude").orderBy(F.desc("weight"), F.desc("magnitude"), "page_id")
 
 
@@ -115,5 +117,5 @@ def explain_terms(index: Index, query: str, analyze: Callable[[str], str], field
     spark = index.postings.sparkSession
     asked = spark.createDataFrame([(i, t, analyze(t)) for i, t in enumerate(terms)], "place long, term string, word string")
     found = diagnostics(index, list({s for t in terms if (s := analyze(t))})).filter(F.col("field") == field)
-    rows = found.join(F.broadcast(asked), "word", "right")
+    rows = asked.join(found, "word", "left")
     return rows.select("place", "term", F.col("word").alias("stem"), F.coalesce("df", F.lit(0)).alias("df"), F.coalesce("idf", F.lit(0.0)).alias("idf"), "page_id", "frequency", "tf_normalized", "tf_idf")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,9 +39,14 @@ def link_lines(links: DataFrame, k: int = 10) -> DataFrame:
     return _listed(top_links(links, k), F.col("target"), "links", "\n")
 
 
-def summary(pages: DataFrame, postings: DataFrame, links: DataFrame, k: int = 10, n_links: int = 10, times: bool = True) -> DataFrame:
+def _stamp() -> Column:
+    """A page's time in ISO 8601 with its offset."""
+    return F.date_format("mod_time", "yyyy-MM-dd'T'HH:mm:ssxxx")
+
+
+def summary(pages: DataFrame, postings: DataFrame, links: DataFrame, k: int = 10, n_links: int = 10) -> DataFrame:
     """(page_id, block): title, url, time and size, keywords, links of each page. ``pages`` carries url."""
-    stamp = F.concat(F.date_format("mod_time", "yyyy-MM-dd'T'HH:mm:ssxxx"), F.lit(", "), F.col("size").cast("string")) if times else F.col("size").cast("string")
+    stamp = F.concat(_stamp(), F.lit(", "), F.col("size").cast("string"))
     full = pages.join(keyword_lines(postings, k), "page_id", "left").join(link_lines(links, n_links), "page_id", "left")
     title = F.coalesce(F.nullif("title", F.lit("")), F.lit("(no title)"))
     return full.select("page_id", F.concat_ws("\n", title, "url", stamp, F.coalesce("keywords", F.lit("")), "links").alias("block"))
@@ -58,14 +63,20 @@ def inlinks(links: DataFrame) -> DataFrame:
     return links.groupBy("target").agg(F.count_distinct("page_id").alias("n_inlinks"))
 
 
-def result_cards(pages: DataFrame, ranked: DataFrame, postings: DataFrame, links: DataFrame) -> DataFrame:
-    """Ranked pages with title, url, size, keywords, link counts and snippet."""
+def result_cards(pages: DataFrame, ranked: DataFrame, postings: DataFrame, links: DataFrame, k: int = 10) -> DataFrame:
+    """Ranked pages with title, url, weight, time, size, keywords, first inlinks and outlinks, and snippet.
+
+    ``pages`` carries url, ``links`` has page_id and target. Only the ranked pages' postings and links are read further.
+    """
     hits = numbered(ranked)
-    out = links.groupBy("page_id").agg(F.count_distinct("target").alias("n_outlinks"))
-    cards = hits.join(pages, "page_id").join(keyword_lines(postings.join(hits.select("page_id"), "page_id", "left_semi")), "page_id", "left").join(out, "page_id", "left")
+    few = hits.select("page_id")
+    keywords = keyword_lines(postings.join(few, "page_id", "left_semi"), k)
+    both = page_links(pages, links, k, few)
+    cards = hits.join(pages, "page_id").join(keywords, "page_id", "left").join(both, "page_id", "left")
     return cards.select(
-        "rank", "page_id", F.coalesce(F.nullif("title", F.lit("")), F.lit("(no title)")).alias("title"), "url", "weight", "size", "keywords",
-        F.coalesce("n_outlinks", F.lit(0)).alias("n_outlinks"), F.substring("plaintext", 1, SNIPPET).alias("snippet"),
+        "rank", "page_id", F.coalesce(F.nullif("title", F.lit("")), F.lit("(no title)")).alias("title"), "url", "weight", _stamp().alias("time"), "size",
+        F.coalesce("keywords", F.lit("")).alias("keywords"), F.coalesce("inlinks", F.lit("")).alias("inlinks"), F.coalesce("outlinks", F.lit("")).alias("outlinks"),
+        F.substring("plaintext", 1, SNIPPET).alias("snippet"),
     )
 
 
@@ -89,14 +100,16 @@ def result_page(ranked: DataFrame, page: int, per_page: int = PER_PAGE) -> DataF
     return ranks.filter(F.col("rank") > (page - 1) * per_page).crossJoin(F.broadcast(n))
 
 
-def page_links(pages: DataFrame, links: DataFrame, k: int = 10) -> DataFrame:
+def page_links(pages: DataFrame, links: DataFrame, k: int = 10, only: DataFrame | None = None) -> DataFrame:
     """(page_id, inlinks, outlinks): the first k addresses, in order, of pages that link here and of this page's links.
 
-    ``pages`` has page_id and url, ``links`` has page_id and target.
+    ``pages`` has page_id and url, ``links`` has page_id and target; ``only`` (page_id) limits the pages told of.
     """
     at = pages.select("page_id", "url")
-    into = links.select(F.col("page_id").alias("source"), F.col("target").alias("url")).join(at, "url").select("page_id", "source")
+    wanted = at if only is None else at.join(only, "page_id", "left_semi")
+    into = links.select(F.col("page_id").alias("source"), F.col("target").alias("url")).join(wanted, "url").select("page_id", "source")
     into = into.join(at.toDF("source", "target"), "source").select("page_id", "target").distinct()
     listed = lambda rows, name: _listed(top_links(rows, k), F.col("target"), name, "\n")
-    both = at.select("page_id").join(listed(into, "inlinks"), "page_id", "left").join(listed(links.select("page_id", "target").distinct(), "outlinks"), "page_id", "left")
+    links = links if only is None else links.join(only, "page_id", "left_semi")
+    both = wanted.select("page_id").join(listed(into, "inlinks"), "page_id", "left").join(listed(links.select("page_id", "target").distinct(), "outlinks"), "page_id", "left")
     return both.select("page_id", F.coalesce("inlinks", F.lit("")).alias("inlinks"), F.coalesce("outlinks", F.lit("")).alias("outlinks"))

@@ -81,31 +81,41 @@ def respond(urls: DataFrame, get: Callable[[str], Response] = fetch, concurrency
 
 
 def crawl(
-    spark: SparkSession, seeds: Iterable[str], budget: int = -1, get: Callable[[str], Response] = fetch, concurrency: int = CONCURRENCY
-) -> tuple[DataFrame, DataFrame]:
+    spark: SparkSession, seeds: Iterable[str], budget: int = -1, get: Callable[[str], Response] = fetch, concurrency: int = CONCURRENCY,
+    progress: Callable[[int, int, int], None] | None = None, frontier: Frontier | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Breadth first from the seeds: (pages, failures). ``pages`` (page_id, url, html, headers) is input for the index.
 
     The budget counts distinct pages (negative: as many as there are seeds). Pages come in the order of the queue; two
-    addresses that lead to one page give that page once, by the earlier one.
+    addresses that lead to one page give that page once, by the earlier one. ``progress`` is told, after each round, how
+    many pages there are, the budget, and how many the round brought. A crawl that is cut short leaves the addresses under
+    way at the front of ``frontier``.
     """
     seeds = list(dict.fromkeys(seeds))
     budget = len(seeds) if budget < 0 else budget
-    frontier = Frontier(spark)
-    frontier.enqueue(seeds)
-    kept = failed = spark.createDataFrame([], RESPONSES)
+    frontier = frontier or Frontier(spark)
+    frontier.enqueue(seeds, ignore_queued=True)
+    responses, won = spark.createDataFrame([], RESPONSES), spark.createDataFrame([], "url string, place long")
     n = 0
     while n < budget:
         try:
             batch = frontier.dequeue(budget - n)
         except LookupError:
             break
-        got = respond(batch, get, concurrency)
+        try:
+            got = respond(batch, get, concurrency)
+        except BaseException:
+            frontier.put_back(batch)  # cancelled or failed as a whole: nothing of it is lost (B6)
+            raise
         good = got.filter("ok")
-        new = good.groupBy("url").agg(F.min("place").alias("place")).join(kept.select("url"), "url", "left_anti")
-        kept = saved(kept.unionByName(good.join(new, ["url", "place"], "left_semi").select(*kept.columns)), "kept")
-        failed = failed.unionByName(got.filter("NOT ok"))
-        n = kept.count()
+        # pages stay in the tables they were fetched into; only the small table of winners grows by appending
+        new = saved(good.groupBy("url").agg(F.min("place").alias("place")).join(won.select("url"), "url", "left_anti"), "won")
+        responses, won = responses.unionByName(got), won.unionByName(new)
+        n += (fresh := new.count())
+        if progress:
+            progress(n, budget, fresh)
         # place in the queue of links: the page's place, then the link's
         links = good.select(F.col("place").alias("page"), F.posexplode("links").alias("pos", "url"))
         frontier.enqueue(links.select("url", F.struct("page", "pos").alias("place")), ignore_queued=True)
-    return kept.select(F.col("place").alias("page_id"), "url", "html", "headers"), failed.select("asked", "error")
+    kept = responses.filter("ok").join(won, ["url", "place"], "left_semi")
+    return kept.select(F.col("place").alias("page_id"), "url", "html", "headers"), responses.filter("NOT ok").select("asked", "error")

@@ -56,6 +56,7 @@ def test_index_tables(built, spark, tmp_path):
     again = store.index_pages(pages, str(tmp_path / "j"), crawl_time=NOW)
     assert again.postings.count() == built.postings.count()
     words = {r.content: r.word_id for r in back.words.collect()}
+    assert {r.word for r in back.postings.collect()} == set(words)
     assert sorted(words.values()) == list(range(1, len(words) + 1))
 
 
@@ -100,6 +101,64 @@ def test_stream(spark, tmp_path):
     assert incremental.read_state(spark, state).count() == 3
 
 
+def test_long_words_and_addresses_go_to_quarantine(spark):
+    far = "http://h/" + "p" * 2100
+    html = f"<title>{'t' * 256}</title>short {'w' * 255} {'x' * 300} <a href='{far}'>l</a><a href='/ok'>k</a>"
+    pages = spark.createDataFrame([(1, "http://h/1", html, {"Content-Length": "²"}), (2, "http://h/2", "a", {"Content-Length": " 77 "}), (3, "http://h/3", "abc", None)], "page_id long, url string, html string, headers map<string,string>")
+    parsed = index.parse_pages(pages, NOW)
+    assert [r["size"] for r in parsed.orderBy("page_id").collect()] == [len("short ") + 255 + 1 + 300 + 1 + len("\nl\nk"), 77, 3]
+    one = index.build_index(parsed)
+    assert {(r["page_id"], r["field"], len(r["value"])) for r in one.rejected.collect()} == {(1, "title", 256), (1, "plaintext", 300), (1, "link", len(far))}
+    assert {len(r["word"]) for r in one.postings.filter("page_id = 1 AND field = 'plaintext'").collect()} >= {5, 255} and one.links.count() == 1
+
+
+def test_incremental_index(spark, tmp_path):
+    """Batches equal a build over the winners; ids are kept, and words that no page holds any more stay."""
+    day = lambda n: {"Last-Modified": f"Sun, {n:02d} Nov 2020 00:00:00 GMT"}
+    schema = "page_id long, url string, html string, headers map<string,string>"
+    batches = [
+        [(1, "http://h/1", "apple apple banana <a href='/2'>x</a>", day(5)), (2, "http://h/2", "<title>Banana</title>banana cherry", day(5))],
+        [(3, "http://h/1", "older", day(1)), (4, "http://h/2", "equal", day(5)), (5, "http://h/5", "cherry <a href='/1'>b</a><a href='/9'>c</a>", day(5))],
+        [(6, "http://h/1", "date cherry <a href='/5'>x</a>", day(9))],
+    ]
+    table = incremental.IncrementalIndex(spark, str(tmp_path / "i"))
+    parse = lambda rows: index.parse_pages(spark.createDataFrame(rows, schema), NOW)
+    counts, ids = [], []
+    for i, rows in enumerate(batches):
+        for _ in range(2):  # a batch that is added again replaces itself
+            n = table.add(parse(rows), i)
+        counts.append(n)
+        now = table.read()
+        ids.append({r["content"]: r["url_id"] for r in now.urls.collect()} | {"w:" + r["content"]: r["word_id"] for r in now.words.collect()})
+    assert counts == [2, 1, 1] and all(a.items() <= b.items() for a, b in zip(ids, ids[1:], strict=False))
+    assert sorted(v for k, v in ids[-1].items() if not k.startswith("w:")) == list(range(1, 5)) and "w:appl" in ids[-1]
+    once = index.build_index(parse([r for b in batches for r in b]))
+    rows_of = lambda df: sorted(map(str, df.collect()))
+    assert rows_of(now.postings) == rows_of(once.postings) and rows_of(store.named_links(now)) == rows_of(store.named_links(once))
+    assert [r[0] for r in rank.search(now, "cherry", analyze_word).collect()] == [r[0] for r in rank.search(once, "cherry", analyze_word).collect()] != []
+    src = str(tmp_path / "in")
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(src)
+    incremental.search_stream(spark, src, str(tmp_path / "s"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert incremental.IncrementalIndex(spark, str(tmp_path / "s")).read().pages.count() == 3
+
+
+def test_history_kept_beside_an_index(spark, tmp_path):
+    path = str(tmp_path)
+    assert query.history(spark, path).count() == 0
+    for q in ("apple pie", "", "apple tart", "cherry", "apple pie"):
+        query.remember(spark, path, q)
+    assert [r["query"] for r in query.history(spark, path).collect()] == ["apple pie", "apple tart", "cherry", "apple pie"]
+    query.compact_history(spark, path)
+    assert [r["query"] for r in query.completions(query.history(spark, path), "app").collect()] == ["apple pie", "apple tart"]
+
+
+def test_cards(built, spark):
+    pages = store.addressed_pages(built)
+    cards = {r["page_id"]: r for r in report.result_cards(pages, rank.search(built, "banana", analyze_word), built.postings, store.named_links(built)).collect()}
+    assert (cards[2]["rank"], cards[2]["inlinks"], cards[1]["outlinks"]) == (1, "http://h/1", "http://h/2")
+    assert cards[2]["time"] == "2020-01-01T00:00:00+00:00" and cards[2]["keywords"] == "banana 2; cherri 1"
+
+
 def test_history(spark):
     h = spark.createDataFrame([("u", 1, "a"), ("u", 2, "b"), ("u", 3, "a")], "user string, seq int, query string")
     assert query.merge_history(h).first()["query"] == "a b a"

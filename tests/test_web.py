@@ -110,12 +110,31 @@ def test_command_line(spark, site, tmp_path, capsys):
     assert store.read_index(spark, d).pages.count() == 4
     assert spark.read.text(str(tmp_path / "sum")).filter("value = 'D'").count() == 1
     cli.run(spark, cli.arguments(["--config", str(config), "summary"]))
-    assert "appl 2\n" in capsys.readouterr().out
+    told = capsys.readouterr()
+    assert "appl 2\n" in told.out and "fetched 4 of 4 pages" in told.err and "indexed 4 pages" in told.err
     hits = cli.run(spark, cli.arguments(["search", "-d", d, "apple date", "--explain"])).collect()
-    assert [h["title"] for h in hits] == ["D", "Seed"]
+    assert [h["title"] for h in hits] == ["D", "Seed"] and hits[0]["inlinks"] == site + "/b"
     assert spark.read.parquet(f"{d}/history").first()["query"] == "apple date"
 
 
+def test_options_are_written_and_read(tmp_path, capsys):
+    path = str(tmp_path / "o.json")
+    first = cli.arguments(["--write-config", path, "crawl", "http://h/", "-d", "x", "--index-concurrency", "3", "--no-progress"])
+    again = cli.arguments(["--config", path, "crawl", "http://h/"])
+    assert (again.database_path, again.index_concurrency, again.no_progress) == ("x", 3, True) == (first.database_path, first.index_concurrency, first.no_progress)
+    with pytest.raises(SystemExit):
+        cli.arguments(["-v"])
+    assert "pagelode 0." in capsys.readouterr().out
+
+
+def test_a_cancelled_crawl_loses_no_address(spark, site, monkeypatch):
+    f = Frontier(spark)
+    monkeypatch.setattr(web, "respond", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        web.crawl(spark, [site + "/", site + "/a"], budget=5, frontier=f)
+    assert order(f.dequeue(9)) == [site + "/", site + "/a"]
+
+
 def test_state_of_a_stream(spark, tmp_path):
     src, state = str(tmp_path / "in"), str(tmp_path / "state")
     schema = "page_id long, url string, html string, headers map<string,string>"
