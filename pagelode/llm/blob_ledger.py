@@ -23,7 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import committed, dealt_join, sha256_hex, work_path
+from ..operators.skew import dealt_join
+from .common import committed, sha256_hex, work_path
 
 _FINDING = "array<struct<start:int,kind_at:int,end:int,kind:string>>"
 _BLOB = "__blob"

@@ -23,9 +23,6 @@ WORD_TABLE = bytes(
     for c in range(256)
 )
 
-#: Most keys that count as hot, and fewest rows of one.
-HOT_KEYS, HOT_ROWS = 10_000, 256
-
 
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased words of a text (null: none)."""
@@ -89,16 +86,3 @@ def map_rows(df: DataFrame, fn: Callable[[dict], Iterator[tuple] | list[tuple]],
 
 def sha256_hex(col) -> F.Column:
     return F.sha2(F.encode(col, "UTF-8"), 256)
-
-
-def dealt_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
-    """``left`` joined to ``right``, which has one row for each key and how many rows of ``left`` hold it (``__n``).
-
-    Keys of more rows than ``HOT_ROWS`` and a ``HOT_KEYS``-th of all ``total`` rows are fewer than ``HOT_KEYS``: they are
-    broadcast, and their rows stay where they are. The others are shuffled.
-    """
-    limit = max(HOT_ROWS, total // HOT_KEYS)
-    hot = F.broadcast(right.filter(F.col("__n") > limit).drop("__n"))
-    cold = right.filter(F.col("__n") <= limit).drop("__n")
-    rest = left.join(hot.select(key), key, "left_anti").join(cold, key, how)
-    return left.join(hot, key).select(*rest.columns).unionByName(rest)

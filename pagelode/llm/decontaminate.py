@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import dealt_join, saved, sha256_hex
+from ..operators.skew import dealt_join
+from .common import saved, sha256_hex
 
 WINDOW = 10
 #: Rows of test terms, anchors and candidates up to which they are broadcast; beyond, both sides are shuffled.

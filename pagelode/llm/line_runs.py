@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import ASCII_SPACE, committed, dealt_join, map_rows, removed, saved, work_path
+from ..operators.skew import dealt_join
+from .common import ASCII_SPACE, committed, map_rows, removed, saved, work_path
 
 _KEY = "__line_key"
 _HITS = "__line_hits"

@@ -38,7 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import ship
-from .common import dealt_join, map_rows, saved, words_of
+from ..operators.skew import dealt_join
+from .common import map_rows, saved, words_of
 
 SHINGLE = 5
 #: The threshold as a fraction, so that it is tested in whole numbers.
