@@ -44,8 +44,10 @@ _JOINED = [
     (r"(?i)\b(wan)(na)\s", r" \1 \2 "), (r"(?i) ('t)(is)\b", r" \1 \2 "), (r"(?i) ('t)(was)\b", r" \1 \2 "),
 ]
 # End of fixed values.
-_BEFORE = [(re.compile(p), r) for p, r in _OPENING + _MARKS]
-_AFTER = [(re.compile(p), r) for p, r in _CLOSING + _JOINED]
+#: The rules before and after a blank is put around the text.
+BEFORE, AFTER = _OPENING + _MARKS, _CLOSING + _JOINED
+_BEFORE = [(re.compile(p), r) for p, r in BEFORE]
+_AFTER = [(re.compile(p), r) for p, r in AFTER]
 
 
 def tokens(text: str) -> Iterator[tuple[int, str]]:

@@ -1,62 +1,67 @@
 """Catalogue of queries over the search-engine operators, each with an independently written DuckDB form.
 
-Query names carry the operators they show. ``simple`` analysis (lower-cased runs of letters and numbers) is native on
-both sides; the full chain (Treebank tokens, compatibility forms, stemming) is compared where SQL can state it.
+The index of a folder's pages is built once for a session by the shipped chain (reading, Treebank tokens, compatibility
+forms, stop words, stemming, five tables in the store), as a search engine would; the queries run on the stored tables.
+The SQL states the same from the raw pages. Constant tables (Treebank rules, suffixes, stop words) are shared with the
+operators; what is done with them is written twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import UTC, datetime
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns
 from ..functions.stem import stem_sql
-from ..functions.text import DEFAULT_STOP_WORDS, analyze_word
-from ..operators import crawl, index, query, rank, report
-from ..sources.work import saved
-from ..streaming.incremental import merge
-
-TERMS = "from with das from"
-PHRASE = 'the "of the" and'
+from ..functions.text import AFTER, BEFORE, DEFAULT_STOP_WORDS, analyze_word
+from ..operators import crawl, index, numbering, query, rank, report
+from ..sources import store, web
+from ..sources.work import saved, shared_path
+from ..streaming import incremental
+
+TERMS = "der la und der"
+PHRASE = 'des "de la" une'
 NEVER = datetime(2000, 1, 1, tzinfo=UTC)
 #: Words that stand in titles as well.
-TITLED = "amp la der that"
-EXPLAINED = "from zzznone from Das"
-WORDS = ["from", "zzznone", "the"]
-_lower = str.lower
+TITLED = "amp la der tion"
+EXPLAINED = "la zzznone der La"
+WORDS = ["la", "zzznone", "der"]
+ASKED = "thing erenth reation"
+#: Hrefs of every kind, resolved against each page's address.
+HREFS = ("/x?q=1#f", "leaf", "//other.example/z", "mailto:x", "?p=2", "#frag", "https://abs.example/", "  /padded ")
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _idx(spark: SparkSession, sf_dir: str) -> index.Index:
-    return index.simple_index(spark, _t(spark, sf_dir, "pages"))
+_built: dict[tuple[str, str], index.Index] = {}
+
+
+def built(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The stored index of a folder's pages, built once for a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        _built[key] = store.index_pages(_t(spark, sf_dir, "pages"), shared_path(spark, "catalog-index"), crawl_time=NEVER)
+    return _built[key]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full chain: parse and index all pages, then rank them for a query."""
-    parsed = saved(index.parse_pages(_t(spark, sf_dir, "pages"), NEVER), "parsed")
-    flat = parsed.select("page_id", F.inline("postings"))
-    return rank.search(index.Index(parsed, parsed, parsed, parsed, flat), "thing erenth reation", analyze_word)
+    return rank.search(built(spark, sf_dir), ASKED, analyze_word)
 
 
 def _doc_postings(s: SparkSession, d: str) -> DataFrame:
-    return index.simple_postings(_t(s, d, "documents").select("doc_id", "text"), "doc_id", ("text",))
-
-
-def _words(s: SparkSession, d: str) -> DataFrame:
-    return _t(s, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word")).distinct()
-
+    return index.simple_postings(_t(s, d, "documents").select("doc_id", "text"), "doc_id").withColumn("field", F.lit("text"))
 
-def _stems(s: SparkSession, d: str) -> DataFrame:
-    from ..functions.stem import stem
 
-    plain = _t(s, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]+"), F.lit(0))).alias("word")).distinct()
-    one = F.pandas_udf(lambda words: words.map(stem), "string")
-    return plain.select("word", one("word").alias("stem"))
+def _words(s: SparkSession, d: str, pattern: str = r"[\p{L}\p{N}]+", fold: bool = True) -> DataFrame:
+    text = F.lower("text") if fold else F.col("text")
+    return _t(s, d, "documents").select(F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("word")).distinct()
 
 
 def _graph(s: SparkSession, d: str) -> DataFrame:
@@ -72,6 +77,31 @@ def _bfs(s: SparkSession, d: str) -> DataFrame:
     return crawl.bfs(saved(_graph(s, d), "graph"), seeds).select("node", F.col("depth").cast("long").alias("depth"), "visit")
 
 
+def _crawl(s: SparkSession, d: str) -> DataFrame:
+    """A crawl of a made-up site with as many pages as the table: page i links to 2i+1, 2i+2, itself and a missing page."""
+    n = _t(s, d, "pages").count()
+
+    def get(url: str) -> web.Response:
+        i = int(url.rpartition("/")[2])
+        if i >= n:
+            raise OSError("no such page")
+        links = "".join(f"<a href='/{k}'>l</a>" for k in (2 * i + 1, 2 * i + 2, i))
+        return web.Response(url, {"Content-Type": "text/html"}, f"<title>{i}</title>{links}".encode())
+
+    pages, _ = web.crawl(s, ["http://site.example/0"], n, get, concurrency=4)
+    return numbering.number(pages.select("page_id", "url"), ["page_id"], "visit").select("url", "visit")
+
+
+def _frontier(s: SparkSession, d: str) -> DataFrame:
+    """All addresses queued by page id, those of every tenth page queued before them, then the first half taken."""
+    pages = _t(s, d, "pages")
+    front = crawl.Frontier(s)
+    front.enqueue(pages.filter("page_id % 10 <> 0").select("url", F.col("page_id").alias("place")))
+    front.enqueue(pages.filter("page_id % 10 = 0").select("url", F.col("page_id").alias("place")), before=True)
+    front.enqueue(pages.select("url", F.col("page_id").alias("place")), ignore_queued=True)
+    return numbering.number(front.dequeue(pages.count() // 2), ["place"], "n").select("url", "n")
+
+
 def _versions(s: SparkSession, d: str) -> DataFrame:
     """Each document in three submissions of one url: older, equal, and newer for every third document."""
     docs = _t(s, d, "documents")
@@ -79,117 +109,200 @@ def _versions(s: SparkSession, d: str) -> DataFrame:
         (F.col("doc_id") * 10 + n).alias("page_id"), F.concat(F.lit("http://d/"), F.col("doc_id").cast("string")).alias("url"),
         F.timestamp_seconds(F.lit(1_000_000) + t).alias("mod_time"), F.lit(n).cast("long").alias("version"),
     )
-    return merge(row(1, 0, 0), row(1, 1, -5).unionByName(row(2, 2, 0)).unionByName(row(3, 3, 60))).select("page_id", "url", "version")
+    return incremental.merge(row(1, 0, 0), row(1, 1, -5).unionByName(row(2, 2, 0)).unionByName(row(3, 3, 60))).select("page_id", "url", "version")
 
 
-def _rounded(*names: str) -> dict:
-    return {n: F.round(n, 6) for n in names}
+def _dated(pages: DataFrame, day: int) -> DataFrame:
+    header = F.create_map(F.lit("Last-Modified"), F.lit(f"Sun, {day:02d} Nov 2020 00:00:00 GMT"))
+    return pages.select("page_id", "url", "html", header.alias("headers"))
+
+
+def _incremental(s: SparkSession, d: str) -> DataFrame:
+    """Three batches: all pages; a third again with other ids and an older time; a fifth again, newer and without text."""
+    pages = _t(s, d, "pages")
+    table = incremental.IncrementalIndex(s, shared_path(s, "catalog-incremental"))
+    table.add(index.parse_pages(_dated(pages, 5), NEVER), 0)
+    table.add(index.parse_pages(_dated(pages.filter("page_id % 3 = 0").withColumn("page_id", F.col("page_id") + 1_000_000), 4), NEVER), 1)
+    newer = pages.filter("page_id % 5 = 0").select((F.col("page_id") + 2_000_000).alias("page_id"), "url", F.lit("<title>gone</title>").alias("html"))
+    table.add(index.parse_pages(_dated(newer, 6), NEVER), 2)
+    now = table.read()
+    held = now.postings.groupBy("page_id").agg(F.count("*").alias("n_postings"), F.sum("frequency").alias("total"))
+    return store.addressed_pages(now).select("page_id", "url").join(held, "page_id", "left").na.fill(0)
+
+
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    """The pages as a stream of files into the page state."""
+    state = shared_path(s, "catalog-state")
+    fed = _t(s, d, "pages").repartition(3, "page_id")
+    fed.select("page_id", "url", "html").write.parquet(f"{state}/in")
+    incremental.index_stream(s, f"{state}/in", f"{state}/state", f"{state}/checkpoint", files=1).trigger(availableNow=True).start().awaitTermination()
+    incremental.compact(s, f"{state}/state")
+    return incremental.read_state(s, f"{state}/state").select("page_id", "url", "title", F.length("plaintext").cast("long").alias("size"))
+
+
+def _headers(s: SparkSession, d: str) -> DataFrame:
+    """Every event's time as a header: in Last-Modified, in Date, in both with the first unreadable, or in neither."""
+    text = F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    last, date = F.lit("Last-Modified"), F.lit("Date")
+    way = F.pmod("event_id", F.lit(4))
+    headers = F.when(way == 0, F.create_map(last, text)).when(way == 1, F.create_map(date, text)).when(way == 2, F.create_map(last, F.lit("31 Foo"), date, text)).otherwise(F.create_map(F.lit("Server"), text))
+    return _t(s, d, "events").select("event_id", F.unix_timestamp(columns.modified_at(headers, NEVER)).alias("epoch"))
+
+
+def _media(s: SparkSession, d: str) -> DataFrame:
+    header = F.concat(F.lit(" Text/"), F.upper("lang"), F.lit('; Charset="a;'), F.col("source"), F.lit('" ; q = 1;x'))
+    kind = columns.media_type(header)
+    rows = _t(s, d, "documents").select("doc_id", kind.alias("k"))
+    return rows.select("doc_id", "k.kind", F.col("k.params")["charset"].alias("charset"), F.col("k.params")["q"].alias("q"), F.size("k.params").cast("long").alias("n_params"))
 
 
-def _inline(s: SparkSession, values: str, names: str) -> DataFrame:
-    return s.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+def _bodies(s: SparkSession, d: str) -> DataFrame:
+    """Every text as bytes: UTF-16 by header, UTF-16 in vain by an unknown charset, Latin letters by a meta tag, UTF-8."""
+    way, text = F.pmod("doc_id", F.lit(3)), F.coalesce("text", F.lit(""))
+    body = F.when(way == 0, F.encode(text, "UTF-16BE")).when(way == 1, F.encode(text, "UTF-8")).otherwise(F.concat(F.encode(F.lit("<meta charset='utf-8'>"), "UTF-8"), F.encode(text, "UTF-8")))
+    header = F.when(way == 0, F.lit("text/html; charset=utf-16-be")).when(way == 1, F.lit("text/html; charset=nonesuch"))
+    return _t(s, d, "documents").select("doc_id", F.sha2(columns.decoded(body, header), 256).alias("sha"))
 
 
-QUERIES = """('a b'), ('"a b" c'), ('x"y"z'), ('""'), ('"a b'), ('  '), ('q "r s" "t'), ('one')"""
-HISTORY = "('u', 2, 'c d'), ('u', 1, 'a \"b'), ('v', 1, 'x'), ('v', 2, 'y\" z')"
-AGAIN = "('v', 3, 'x'), ('u', 4, 'x')"
-DATES = "('Sun, 06 Nov 1994 08:49:37 GMT'), ('Thu, 31 Sep 2020 00:00:00 GMT'), ('Mon, 01 Jan 2024 23:59:59 GMT'), ('nonsense'), ('Sat, 29 Feb 2020 12:00:00 GMT')"
-TYPES = "('text/html; charset=UTF-8'), ('TEXT/HTML'), ('application/xml;charset=x'), ('image/png')"
+def _responses(s: SparkSession, d: str) -> DataFrame:
+    way = F.pmod("page_id", F.lit(5))
+    kind = F.when(way == 0, F.lit("Text/HTML; charset=x")).when(way == 1, F.lit("image/png")).when(way == 2, F.lit("application/xml")).when(way == 3, F.lit(" application/xhtml+xml ;a"))
+    return store.accepted(_t(s, d, "pages").select("page_id", kind.alias("content_type"), (F.col("page_id") % 7 != 0).alias("ok"))).select("page_id")
+
+
+def _queries(s: SparkSession, d: str) -> DataFrame:
+    """Every conversation turn as a query, its even words in quotes."""
+    rows = _t(s, d, "conversations").select("conv_id", "turn", F.concat(F.substring("text", 1, 30), F.lit('"'), F.substring("text", 31, 30), F.lit('" '), F.substring("text", 61, 20), F.lit(' "open')).alias("query"))
+    return query.lex_column(rows).select("conv_id", "turn", F.array_join("terms", "|").alias("terms"), F.array_join("phrases", "|").alias("phrases"))
+
+
+def _history(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "conversations").select(F.col("conv_id").cast("string").alias("user"), F.col("turn").alias("seq"), F.coalesce(F.substring("text", 1, 12), F.lit("")).alias("query"))
+
+
+def _rounded(*names: str) -> dict:
+    return {n: F.round(n, 6) for n in names}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     pages = lambda s, d: _t(s, d, "pages")
-    plain = lambda s, d: index.simple_pages(pages(s, d))
-    stop = lambda s: s.createDataFrame([(w,) for w in sorted(DEFAULT_STOP_WORDS)], "word string")
-    cards = lambda s, d: (i := _idx(s, d)) and report.result_cards(i.pages, rank.search(i, TERMS, _lower), i.postings, i.links)
+    named = lambda s, d: store.named_links(built(s, d))
+    told = lambda s, d: store.addressed_pages(built(s, d))
+    ask = lambda text: lambda s, d: rank.search(built(s, d), text, analyze_word)
+    text = lambda c: F.array_join(F.transform(c, lambda p: p.cast("string")), ",")
     return {
-        "page_titles": lambda s, d: plain(s, d).select("page_id", "title"),
-        "page_plaintext_stats": lambda s, d: plain(s, d).select("page_id", F.length("plaintext").cast("long").alias("size"), F.length("title").cast("long").alias("title_size")),
-        "outlinks": lambda s, d: index.outlinks(pages(s, d)).select("page_id", "target"),
-        "outlinks_top10": lambda s, d: report.top_links(index.outlinks(pages(s, d)), 10),
-        "inlink_counts": lambda s, d: report.inlinks(index.outlinks(pages(s, d))),
-        "url_dictionary": lambda s, d: index.dense_ids(pages(s, d).select("url").union(index.outlinks(pages(s, d)).select("target")), "url", "url_id"),
-        "url_parts": lambda s, d: pages(s, d).select("page_id", F.lower(F.parse_url("url", F.lit("PROTOCOL"))).alias("scheme"), F.parse_url("url", F.lit("HOST")).alias("host")).filter(F.col("scheme").isin("http", "https")),
-        "postings_simple": lambda s, d: index.simple_index(s, pages(s, d)).postings.select("field", "page_id", "word", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"), "frequency", F.round("tf_normalized", 6).alias("tf_normalized")),
+        "page_titles": lambda s, d: built(s, d).pages.select("page_id", "title"),
+        "page_plaintext_stats": lambda s, d: told(s, d).select("page_id", "url", "size", F.sha2("plaintext", 256).alias("sha"), F.unix_timestamp("mod_time").alias("epoch")),
+        "first_pages": lambda s, d: store.first_pages(built(s, d), 20).select("page_id", "title"),
+        "outlinks": lambda s, d: named(s, d).select("page_id", "target"),
+        "outlinks_top10": lambda s, d: report.top_links(named(s, d), 10),
+        "inlink_counts": lambda s, d: report.inlinks(named(s, d)),
+        "url_dictionary": lambda s, d: built(s, d).urls.select("url_id", "content"),
+        "word_dictionary": lambda s, d: built(s, d).words,
+        "resolved_urls": lambda s, d: pages(s, d).select("page_id", "url", F.posexplode(F.array(*map(F.lit, HREFS))).alias("n", "href")).select("page_id", F.col("n").cast("long").alias("n"), columns.resolved(F.col("url"), F.col("href")).alias("target")),
+        "postings": lambda s, d: built(s, d).postings.select("field", "page_id", "word", text("positions").alias("positions"), "frequency", F.round("tf_normalized", 6).alias("tf_normalized")),
         "document_postings": lambda s, d: _doc_postings(s, d).select("doc_id", "word", F.size("positions").cast("long").alias("n_positions"), F.element_at("positions", 1).cast("long").alias("first_position"), F.round("tf_normalized", 6).alias("tf_normalized")),
         "vocabulary": _words,
-        "stop_filtered": lambda s, d: _words(s, d).join(F.broadcast(stop(s)), "word", "left_anti"),
-        "stems": _stems,
+        "normalized_tokens": lambda s, d: _words(s, d, r"\S+", False).select("word", columns.normalized(F.col("word")).alias("plain")),
+        "stems": lambda s, d: _words(s, d, "[a-z]+").select("word", columns.analyzed(F.col("word")).alias("stem")),
         "doc_frequency": lambda s, d: rank.document_frequency(_doc_postings(s, d)).select("word", "df"),
         "idf": lambda s, d: rank.inverse_frequency(rank.document_frequency(_doc_postings(s, d)), rank.count_pages(_t(s, d, "documents"))).select("word", F.round("idf", 6).alias("idf")),
-        "tf_idf": lambda s, d: rank.tf_idf(_idx(s, d).postings, pages(s, d)).select("field", "page_id", "word", F.round("tf_idf", 6).alias("tf_idf")),
-        "search_terms": lambda s, d: rank.search(_idx(s, d), TERMS, _lower),
-        "search_title_boost": lambda s, d: rank.search(_idx(s, d), TITLED, _lower),
-        "explain_terms": lambda s, d: rank.explain_terms(_idx(s, d), EXPLAINED, _lower).withColumns(_rounded("idf", "tf_normalized", "tf_idf")),
-        "idf_of_words": lambda s, d: rank.idf_of(_idx(s, d), WORDS).withColumns(_rounded("idf")),
-        "tf_matrix": lambda s, d: (i := _idx(s, d)) and rank.tf_matrix(i, i.pages, WORDS).withColumns(_rounded("tf_normalized", "tf_idf")),
-        "page_links": lambda s, d: report.page_links(pages(s, d), index.outlinks(pages(s, d)).select("page_id", "target")),
+        "tf_idf": lambda s, d: rank.tf_idf(built(s, d).postings, built(s, d).pages).select("field", "page_id", "word", F.round("tf_idf", 6).alias("tf_idf")),
+        "search_terms": ask(TERMS),
+        "search_title_boost": ask(TITLED),
+        "search_phrase": ask(PHRASE),
+        "search_no_match": ask('der la "zzz never there"'),
+        "search_unknown_term": ask("zzzunknown the"),
+        "full_search": flagship,
+        "explain_terms": lambda s, d: rank.explain_terms(built(s, d), EXPLAINED, analyze_word).withColumns(_rounded("idf", "tf_normalized", "tf_idf")),
+        "idf_of_words": lambda s, d: rank.idf_of(built(s, d), WORDS).withColumns(_rounded("idf")),
+        "tf_matrix": lambda s, d: (i := built(s, d)) and rank.tf_matrix(i, i.pages, WORDS).withColumns(_rounded("tf_normalized", "tf_idf")),
+        "page_links": lambda s, d: report.page_links(told(s, d), named(s, d)),
         "token_positions": lambda s, d: index.token_positions(_t(s, d, "documents"), "doc_id"),
-        "history_delete": lambda s, d: query.delete_from_history(_inline(s, HISTORY, "user, seq, query").unionByName(_inline(s, AGAIN, "user, seq, query")), "x"),
-        "search_phrase": lambda s, d: rank.search(_idx(s, d), PHRASE, _lower),
-        "search_no_match": lambda s, d: rank.search(_idx(s, d), 'from with "zzz never there"', _lower),
-        "search_unknown_term": lambda s, d: rank.search(_idx(s, d), "zzzunknown", _lower),
-        "search_diagnostics": lambda s, d: rank.diagnostics(_idx(s, d), ["from", "with", "das"]).select("field", "page_id", "word", "frequency", "df", F.round("idf", 6).alias("idf"), F.round("tf_idf", 6).alias("tf_idf")),
-        "vector_space": lambda s, d: rank.vector_space(_idx(s, d), TERMS, _lower).withColumnsRenamed({"from": "s_from", "with": "s_with", "das": "s_das"}),
-        "top_keywords": lambda s, d: report.top_keywords(_idx(s, d).postings, 10),
-        "page_summary": lambda s, d: (i := _idx(s, d)) and report.summary(i.pages, i.postings, i.links, times=False),
-        "result_cards": cards,
-        "result_page": lambda s, d: report.result_page(rank.search(_idx(s, d), TERMS, _lower), 2, 20).select("rank", "page_id", "n_pages"),
-        "query_lexer": lambda s, d: query.lex_column(_inline(s, QUERIES, "query")).select("query", F.array_join("terms", "|").alias("terms"), F.array_join("phrases", "|").alias("phrases")),
-        "history_merge": lambda s, d: query.merge_history(_inline(s, HISTORY, "user, seq, query")),
-        "http_dates": lambda s, d: _inline(s, DATES, "header").select("header", F.unix_timestamp(F.try_to_timestamp(F.substring("header", 6, 99), F.lit("dd MMM yyyy HH:mm:ss 'GMT'"))).alias("epoch")),
-        "content_types": lambda s, d: _inline(s, TYPES, "header").select("header", F.lower(F.trim(F.split("header", ";")[0])).alias("kind")).filter(F.col("kind").isin("text/html", "application/xhtml+xml", "application/xml")),
+        "search_diagnostics": lambda s, d: rank.diagnostics(built(s, d), ["der", "la", "und"]).select("field", "page_id", "word", "frequency", "df", F.round("idf", 6).alias("idf"), F.round("tf_idf", 6).alias("tf_idf")),
+        "vector_space": lambda s, d: rank.vector_space(built(s, d), TERMS, analyze_word).withColumnsRenamed({"der": "s_der", "la": "s_la", "und": "s_und"}),
+        "top_keywords": lambda s, d: report.top_keywords(built(s, d).postings, 10),
+        "page_summary": lambda s, d: report.summary(told(s, d), built(s, d).postings, named(s, d)),
+        "result_cards": lambda s, d: report.result_cards(told(s, d), rank.search(built(s, d), TERMS, analyze_word), built(s, d).postings, named(s, d)),
+        "result_page": lambda s, d: report.result_page(rank.search(built(s, d), TERMS, analyze_word), 2, 20).select("rank", "page_id", "n_pages"),
+        "query_lexer": _queries,
+        "history_merge": lambda s, d: query.merge_history(_history(s, d)),
+        "history_delete": lambda s, d: query.delete_from_history(_history(s, d).unionByName(_history(s, d).withColumn("seq", F.col("seq") + 1000).withColumn("query", F.lit("x"))), "x"),
+        "history_completions": lambda s, d: query.completions(_history(s, d).withColumn("seq", F.col("user").cast("long") * 100 + F.col("seq")), "T", 15),
+        "http_dates": _headers,
+        "content_types": _media,
+        "decoded_bodies": _bodies,
+        "accepted_responses": _responses,
+        "frontier_order": _frontier,
+        "crawl_order": _crawl,
         "bfs_order": _bfs,
         "upsert_latest": _versions,
-        # the full chain: tested by vectors, no SQL form
-        "full_index_postings": lambda s, d: index.build_index(saved(index.parse_pages(pages(s, d), NEVER), "parsed")).postings,
-        "full_search": flagship,
+        "incremental_index": _incremental,
+        "stream_state": _stream,
     }
 
 
-_SP = """pl AS (SELECT page_id, url, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
-  replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<title\\b.*?</title>|<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g'),
-  '<[^>]+>', chr(10), 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS plaintext FROM pages)"""
+_SP = """pt AS (SELECT page_id, url, replace(replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&quot;', '"'), '&copy;', '©'), '&middot;', '·') AS title,
+  list_filter(string_split(regexp_replace(html, '(?is)<title\\b.*?</title>|<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->|<[^>]+>', chr(1), 'g'), chr(1)), lambda x: x <> '') AS nodes FROM pages),
+pl AS (SELECT page_id, url, title, replace(replace(replace(replace(replace(replace(array_to_string(nodes, chr(10)), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS plaintext FROM pt)"""
 _LK = """h AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, unnest(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1)) AS href FROM pages),
 lk AS (SELECT DISTINCT page_id, url, target FROM (SELECT page_id, url, CASE WHEN starts_with(href, '/') THEN host || href WHEN regexp_matches(lower(href), '^https?://') THEN href END AS target FROM h)
        WHERE target IS NOT NULL AND target <> url)"""
-_PO = """f AS (SELECT page_id, 'plaintext' AS field, plaintext AS t FROM pl UNION ALL SELECT page_id, 'title', title FROM pl),
-o AS (SELECT page_id, field, w[i] AS word, i - 1 AS pos FROM (SELECT page_id, field, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT page_id, field, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') AS w FROM f))),
+_STOPS = ", ".join(f"'{w}'" for w in sorted(DEFAULT_STOP_WORDS))
+
+
+def _po() -> str:
+    """Postings of the whole chain: tokens, normal forms, stop words, stems."""
+    return f"""f AS (SELECT page_id, 'plaintext' AS field, plaintext AS text FROM pl UNION ALL SELECT page_id, 'title', title FROM pl),
+{_tokens_ctes("f", "page_id, field")},
+tn AS (SELECT page_id, field, pos, {_plain("token")} AS plain FROM tk),
+sw AS (SELECT word, stem FROM ({stem_sql("(SELECT plain FROM tn WHERE plain <> '')", "plain")})),
+o AS (SELECT page_id, field, stem AS word, pos FROM tn JOIN sw ON tn.plain = sw.word WHERE stem <> '' AND plain NOT IN ({_STOPS})),
 g AS (SELECT field, page_id, word, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions, count(*) AS frequency FROM o GROUP BY ALL),
 po AS (SELECT *, frequency / max(frequency) OVER (PARTITION BY field, page_id) AS tf_normalized FROM g)"""
+
+
 _TI = """df AS (SELECT field, word, count(*) AS df FROM po GROUP BY ALL), n AS (SELECT count(*) AS n FROM pages),
 ti AS (SELECT po.*, df.df, log2(n.n / df.df) AS idf, tf_normalized * log2(n.n / df.df) AS tf_idf FROM po JOIN df USING (field, word), n)"""
-_IDX = f"WITH {_SP}, {_PO}, {_TI}"
+
+
+@cache
+def _idx_sql() -> str:
+    return f"WITH {_SP}, {_po()}, {_TI}"
 
 
 def _search_sql(words: str, phrases: str = "TRUE") -> str:
-    return f"""{_IDX}, q AS (SELECT * FROM ti WHERE word IN ({words})), k AS (SELECT count(DISTINCT word) AS k FROM q),
+    return f"""{_idx_sql()}, q AS (SELECT * FROM ti WHERE word IN ({words})), k AS (SELECT count(DISTINCT word) AS k FROM q),
 s AS (SELECT page_id, coalesce(sum(tf_idf) FILTER (WHERE field = 'plaintext'), 0) AS dc, sqrt(coalesce(sum(tf_idf * tf_idf) FILTER (WHERE field = 'plaintext'), 0)) AS nc,
         coalesce(sum(tf_idf) FILTER (WHERE field = 'title'), 0) AS dt, sqrt(coalesce(sum(tf_idf * tf_idf) FILTER (WHERE field = 'title'), 0)) AS nt FROM q GROUP BY page_id),
 c AS (SELECT page_id, round(CASE WHEN nc > 0 THEN dc / (sqrt(k) * nc) ELSE 0 END, 6) AS cos_content, round(CASE WHEN nt > 0 THEN dt / (sqrt(k) * nt) ELSE 0 END, 6) AS cos_title, round(nc, 6) AS magnitude FROM s, k),
 r AS (SELECT page_id, cos_content, cos_title, round(cos_content + 3.9 * cos_title, 7) AS weight, magnitude FROM c JOIN pl USING (page_id) WHERE {phrases})"""
 
 
-def _tokens_sql() -> str:
-    """Treebank spacing as a chain of replacements; a token starts at the non-space character its forerunners leave off at."""
-    before = [
-        ('^"', "``"), ("(``)", r" \1 "), (r"""([ (\[{<])("|'{2})""", r"\1 `` "), (r"([:,])([^\d])", r" \1 \2"), ("([:,])$", r" \1 "), (r"\.\.\.", " ... "),
-        ("[;@#$%&]", r" \0 "), (r"""([^.])(\.)([\])}>"']*)\s*$""", r"\1 \2\3 "), ("[?!]", r" \0 "), ("([^'])' ", r"\1 ' "), (r"[\]\[(){}<>]", r" \0 "), ("--", " -- "),
-    ]
-    after = [
-        ("''", " '' "), ('"', " '' "), ("([^' ])('[sS]|'[mM]|'[dD]|') ", r"\1 \2 "), ("([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"\1 \2 "),
-        *((rf"(?i)\b({a})({b})\b", r" \1 \2 ") for a, b in (p.split() for p in ("can not", "d 'ye", "gim me", "gon na", "got ta", "lem me", "more 'n"))),
-        (r"(?i)\b(wan)(na)\s", r" \1 \2 "), (r"(?i) ('t)(is)\b", r" \1 \2 "), (r"(?i) ('t)(was)\b", r" \1 \2 "),
-    ]
-    text = lambda v: "'" + v.replace("'", "''") + "'"
-    spaced = "coalesce(text, '')"
-    for i, (pattern, put) in enumerate(before + after):
-        spaced = f"regexp_replace({spaced if i != len(before) else f"' ' || {spaced} || ' '"}, {text(pattern)}, {text(put)}, 'g')"
-    return f"""WITH s AS (SELECT doc_id, regexp_extract_all({spaced}, '\\S+') AS w FROM documents),
-t AS (SELECT doc_id, i AS n, CASE WHEN w[i] IN ('``', '''''') THEN '"' ELSE w[i] END AS token FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM s)),
-k AS (SELECT *, (sum(length(token)) OVER (PARTITION BY doc_id ORDER BY n) - length(token))::BIGINT AS skip FROM t),
-c AS (SELECT doc_id, list_filter(range(len(c)), lambda j: NOT regexp_matches(c[j + 1], '^\\s$')) AS places FROM (SELECT doc_id, string_split(text, '') AS c FROM documents))
-SELECT doc_id, n, places[skip + 1] AS pos, token FROM k JOIN c USING (doc_id)"""
+def _spaced_sql(text: str) -> str:
+    """Treebank spacing as a chain of replacements over the published rules."""
+    quote = lambda v: "'" + v.replace("'", "''").replace(r"\g<0>", r"\0") + "'"
+    out = text
+    for pattern, put in BEFORE:
+        out = f"regexp_replace({out}, {quote(pattern)}, {quote(put)}, 'g')"
+    out = f"' ' || {out} || ' '"
+    for pattern, put in AFTER:
+        out = f"regexp_replace({out}, {quote(pattern)}, {quote(put)}, 'g')"
+    return out
+
+
+def _tokens_ctes(source: str, keys: str) -> str:
+    """CTEs up to ``tk`` (keys, n, pos, token): a token starts at the non-space character its forerunners leave off at."""
+    return f"""ts AS (SELECT {keys}, regexp_extract_all({_spaced_sql("coalesce(text, '')")}, '\\S+') AS w FROM {source}),
+tt AS (SELECT {keys}, i AS n, CASE WHEN w[i] IN ('``', '''''') THEN '"' ELSE w[i] END AS token FROM (SELECT {keys}, w, unnest(range(1, len(w) + 1)) AS i FROM ts)),
+tl AS (SELECT *, (sum(length(token)) OVER (PARTITION BY {keys} ORDER BY n) - length(token))::BIGINT AS skip FROM tt),
+tc AS (SELECT {keys}, list_filter(range(len(c)), lambda j: NOT regexp_matches(c[j + 1], '^\\s$')) AS places FROM (SELECT {keys}, string_split(text, '') AS c FROM {source})),
+tk AS (SELECT {keys}, n, places[skip + 1] AS pos, token FROM tl JOIN tc USING ({keys}))"""
+
+
+def _plain(word: str) -> str:
+    """Normalization (T2) by SQL's own functions; equal for texts without compatibility forms."""
+    return f"lower(regexp_replace(strip_accents({word}), '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -199,63 +312,77 @@ g AS (SELECT doc_id, word, count(*) AS n_positions, min(pos) AS first_position F
     kw = "kt AS (SELECT page_id, word, sum(frequency)::BIGINT AS total FROM po GROUP BY ALL), kr AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY total DESC, word) AS rn FROM kt)"
     kl = "kl AS (SELECT page_id, string_agg(word || ' ' || total, '; ' ORDER BY rn) AS keywords FROM kr WHERE rn <= 10 GROUP BY page_id)"
     lr = "lr AS (SELECT page_id, target, row_number() OVER (PARTITION BY page_id ORDER BY target) AS rn FROM lk)"
+    io = """lo AS (SELECT page_id, target, row_number() OVER (PARTITION BY page_id ORDER BY target) AS rn FROM lk),
+li AS (SELECT p.page_id, s.url AS target, row_number() OVER (PARTITION BY p.page_id ORDER BY s.url) AS rn FROM lk JOIN pages p ON p.url = lk.target JOIN pages s ON s.page_id = lk.page_id),
+ol AS (SELECT page_id, string_agg(target, chr(10) ORDER BY rn) AS outlinks FROM lo WHERE rn <= 10 GROUP BY page_id),
+il AS (SELECT page_id, string_agg(target, chr(10) ORDER BY rn) AS inlinks FROM li WHERE rn <= 10 GROUP BY page_id)"""
     asked = ", ".join(f"({i}, '{w}')" for i, w in enumerate(WORDS))
-    three = "'from', 'with', 'das'"
+    three = "'der', 'la', 'und'"
     ranked = "rr AS (SELECT *, row_number() OVER (ORDER BY weight DESC, magnitude DESC, page_id) AS rank FROM r)"
-    stops = ", ".join(f"'{w}'" for w in sorted(DEFAULT_STOP_WORDS))
+    idx, po = _idx_sql(), f"WITH {_SP}, {_po()}"
+    conv = "SELECT conv_id::VARCHAR AS \"user\", turn AS seq, coalesce(substr(text, 1, 12), '') AS query FROM conversations"
+    stems_of = f"SELECT stem FROM ({stem_sql('(SELECT unnest([' + ', '.join(repr(w) for w in ASKED.split()) + ']) AS w)', 'w')})"
     return {
         "page_titles": f"WITH {_SP} SELECT page_id, title FROM pl",
-        "page_plaintext_stats": f"WITH {_SP} SELECT page_id, length(plaintext) AS size, length(title) AS title_size FROM pl",
+        "page_plaintext_stats": f"WITH {_SP} SELECT page_id, url, length(plaintext) AS size, sha256(plaintext) AS sha, 946684800::BIGINT AS epoch FROM pl",
+        "first_pages": f"WITH {_SP} SELECT page_id, title FROM pl ORDER BY page_id LIMIT 20",
         "outlinks": f"WITH {_LK} SELECT page_id, target FROM lk",
         "outlinks_top10": f"WITH {_LK}, {lr} SELECT * FROM lr WHERE rn <= 10",
         "inlink_counts": f"WITH {_LK} SELECT target, count(DISTINCT page_id) AS n_inlinks FROM lk GROUP BY target",
         "url_dictionary": f"WITH {_LK} SELECT row_number() OVER (ORDER BY content) AS url_id, content FROM (SELECT url AS content FROM pages UNION SELECT target FROM lk)",
-        "url_parts": "SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+):', 1)) AS scheme, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages WHERE regexp_matches(lower(url), '^https?:')",
-        "postings_simple": f"WITH {_SP}, {_PO} SELECT field, page_id, word, positions, frequency, round(tf_normalized, 6) AS tf_normalized FROM po",
+        "word_dictionary": f"{po} SELECT row_number() OVER (ORDER BY word) AS word_id, word AS content FROM (SELECT DISTINCT word FROM po)",
+        "resolved_urls": """WITH u AS (SELECT page_id, regexp_extract(url, '^(https?:)', 1) AS scheme, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, regexp_extract(url, '^([^?#]*)', 1) AS bare, regexp_extract(url, '^([^#]*)', 1) AS nofrag FROM pages),
+x AS (SELECT page_id, unnest([(0, host || '/x?q=1#f'), (1, CASE WHEN bare = host THEN host || '/leaf' ELSE regexp_replace(bare, '[^/]*$', 'leaf') END), (2, scheme || '//other.example/z'), (3, NULL), (4, bare || '?p=2'), (5, nofrag || '#frag'), (6, 'https://abs.example/'), (7, host || '/padded')]) AS v FROM u)
+SELECT page_id, v[1]::BIGINT AS n, v[2] AS target FROM x""",
+        "postings": f"{po} SELECT field, page_id, word, positions, frequency, round(tf_normalized, 6) AS tf_normalized FROM po",
         "document_postings": f"{dp} SELECT doc_id, word, n_positions, first_position, round(n_positions / max(n_positions) OVER (PARTITION BY doc_id), 6) AS tf_normalized FROM g",
         "vocabulary": f"WITH {dw} SELECT DISTINCT unnest(w) AS word FROM w",
-        "stop_filtered": f"WITH {dw}, v AS (SELECT DISTINCT unnest(w) AS word FROM w) SELECT word FROM v WHERE word NOT IN ({stops})",
-        "stems": stem_sql("(SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)", "word"),
+        "normalized_tokens": f"SELECT word, {_plain('word')} AS plain FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '\\S+')) AS word FROM documents)",
+        "stems": f"SELECT word, CASE WHEN word IN ({_STOPS}) THEN '' ELSE stem END AS stem FROM ({stem_sql('(SELECT unnest(regexp_extract_all(lower(text), ' + repr('[a-z]+') + ')) AS word FROM documents)', 'word')})",
         "doc_frequency": f"{dp} SELECT word, count(*) AS df FROM g GROUP BY word",
         "idf": f"{dp} SELECT word, round(log2((SELECT count(*) FROM documents) / count(*)), 6) AS idf FROM g GROUP BY word",
-        "tf_idf": f"{_IDX} SELECT field, page_id, word, round(tf_idf, 6) AS tf_idf FROM ti",
+        "tf_idf": f"{idx} SELECT field, page_id, word, round(tf_idf, 6) AS tf_idf FROM ti",
         "search_terms": f"{_search_sql(three)} SELECT * FROM r",
-        "search_title_boost": _search_sql(", ".join(f"'{w}'" for w in TITLED.split())) + " SELECT * FROM r",
-        "explain_terms": f"""{_IDX}, asked AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{w}')" for i, w in enumerate(EXPLAINED.split()))}) v(place, term))
-SELECT place::BIGINT AS place, term, lower(term) AS stem, coalesce(df, 0) AS df, coalesce(round(idf, 6), 0) AS idf, page_id, frequency, round(tf_normalized, 6) AS tf_normalized, round(tf_idf, 6) AS tf_idf
-FROM asked LEFT JOIN (SELECT * FROM ti WHERE field = 'plaintext') x ON word = lower(term)""",
-        "idf_of_words": f"""{_IDX}, asked AS (SELECT * FROM (VALUES {asked}) v(place, word)), c AS (SELECT word, any_value(df) AS df, any_value(idf) AS idf FROM ti WHERE field = 'plaintext' GROUP BY word)
+        "search_title_boost": _search_sql("'amp', 'la', 'der', 'tion'") + " SELECT * FROM r",
+        "search_phrase": _search_sql("'de', 'la', 'un'", "contains(replace(lower(title), 'ß', 'ss'), 'de la') OR contains(replace(lower(plaintext), 'ß', 'ss'), 'de la')") + " SELECT * FROM r",
+        "search_no_match": _search_sql("'der', 'la', 'zzz', 'never', 'there'", "contains(lower(plaintext), 'zzz never there')") + " SELECT * FROM r",
+        "search_unknown_term": f"{_search_sql(repr('zzzunknown'))} SELECT * FROM r",
+        "full_search": f"{_search_sql(stems_of)} SELECT * FROM r",
+        "explain_terms": f"""{idx}, asked AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{w}')" for i, w in enumerate(EXPLAINED.split()))}) v(place, term)),
+st AS (SELECT place, term, CASE term WHEN 'zzznone' THEN 'zzznon' ELSE lower(term) END AS stem FROM asked)
+SELECT place::BIGINT AS place, term, stem, coalesce(df, 0) AS df, coalesce(round(idf, 6), 0) AS idf, page_id, frequency, round(tf_normalized, 6) AS tf_normalized, round(tf_idf, 6) AS tf_idf
+FROM st LEFT JOIN (SELECT * FROM ti WHERE field = 'plaintext') x ON word = stem""",
+        "idf_of_words": f"""{idx}, asked AS (SELECT * FROM (VALUES {asked}) v(place, word)), c AS (SELECT word, any_value(df) AS df, any_value(idf) AS idf FROM ti WHERE field = 'plaintext' GROUP BY word)
 SELECT place::BIGINT AS place, word, coalesce(df, 0) AS df, coalesce(round(idf, 6), 0) AS idf FROM asked LEFT JOIN c USING (word)""",
-        "tf_matrix": f"""{_IDX}, asked AS (SELECT * FROM (VALUES {asked}) v(place, word))
+        "tf_matrix": f"""{idx}, asked AS (SELECT * FROM (VALUES {asked}) v(place, word))
 SELECT p.page_id, place::BIGINT AS place, a.word, coalesce(frequency, 0) AS frequency, coalesce(round(tf_normalized, 6), 0) AS tf_normalized, coalesce(round(tf_idf, 6), 0) AS tf_idf
 FROM pages p CROSS JOIN asked a LEFT JOIN (SELECT * FROM ti WHERE field = 'plaintext') x ON x.page_id = p.page_id AND x.word = a.word""",
-        "page_links": f"""WITH {_LK}, o AS (SELECT page_id, target, row_number() OVER (PARTITION BY page_id ORDER BY target) AS rn FROM lk),
-i AS (SELECT p.page_id, s.url AS target, row_number() OVER (PARTITION BY p.page_id ORDER BY s.url) AS rn FROM lk JOIN pages p ON p.url = lk.target JOIN pages s ON s.page_id = lk.page_id),
-ol AS (SELECT page_id, string_agg(target, chr(10) ORDER BY rn) AS outlinks FROM o WHERE rn <= 10 GROUP BY page_id),
-il AS (SELECT page_id, string_agg(target, chr(10) ORDER BY rn) AS inlinks FROM i WHERE rn <= 10 GROUP BY page_id)
-SELECT page_id, coalesce(inlinks, '') AS inlinks, coalesce(outlinks, '') AS outlinks FROM pages LEFT JOIN il USING (page_id) LEFT JOIN ol USING (page_id)""",
-        "token_positions": _tokens_sql(),
-        "history_delete": f"""WITH h AS (SELECT * FROM (VALUES {HISTORY}, {AGAIN}) t("user", seq, query))
-SELECT * FROM h EXCEPT SELECT "user", min(seq), query FROM h WHERE query = 'x' GROUP BY ALL""",
-        "search_phrase": _search_sql("'the', 'of', 'and'", "contains(replace(lower(title), 'ß', 'ss'), 'of the') OR contains(replace(lower(plaintext), 'ß', 'ss'), 'of the')") + " SELECT * FROM r",
-        "search_no_match": _search_sql("'from', 'with', 'zzz', 'never', 'there'", "contains(lower(plaintext), 'zzz never there')") + " SELECT * FROM r",
-        "search_unknown_term": f"{_search_sql(repr('zzzunknown'))} SELECT * FROM r",
-        "search_diagnostics": f"{_IDX} SELECT field, page_id, word, frequency, df, round(idf, 6) AS idf, round(tf_idf, 6) AS tf_idf FROM ti WHERE word IN ({three})",
-        "vector_space": f"{_IDX} SELECT page_id, " + ", ".join(f"coalesce(round(sum(tf_idf) FILTER (WHERE word = '{w}'), 6), 0) AS s_{w}" for w in ("from", "with", "das")) + f" FROM ti WHERE field = 'plaintext' AND word IN ({three}) GROUP BY page_id",
-        "top_keywords": f"WITH {_SP}, {_PO}, {kw} SELECT page_id, word, total, rn FROM kr WHERE rn <= 10",
-        "page_summary": f"""WITH {_SP}, {_PO}, {_LK}, {kw}, {kl}, {lr}, ll AS (SELECT page_id, string_agg(target, chr(10) ORDER BY rn) AS links FROM lr WHERE rn <= 10 GROUP BY page_id)
-SELECT page_id, concat_ws(chr(10), CASE WHEN title = '' THEN '(no title)' ELSE title END, url, length(plaintext)::VARCHAR, coalesce(keywords, ''), links) AS block FROM pl LEFT JOIN kl USING (page_id) LEFT JOIN ll USING (page_id)""",
-        "result_cards": f"""{_search_sql(three)}, {_LK}, {kw}, {kl}, {ranked}, ol AS (SELECT page_id, count(DISTINCT target) AS n_outlinks FROM lk GROUP BY page_id)
-SELECT rank, page_id, CASE WHEN title = '' THEN '(no title)' ELSE title END AS title, url, weight, length(plaintext) AS size, keywords, coalesce(n_outlinks, 0) AS n_outlinks, substr(plaintext, 1, 339) AS snippet
-FROM rr JOIN pl USING (page_id) LEFT JOIN kl USING (page_id) LEFT JOIN ol USING (page_id)""",
+        "page_links": f"WITH {_LK}, {io} SELECT page_id, coalesce(inlinks, '') AS inlinks, coalesce(outlinks, '') AS outlinks FROM pages LEFT JOIN il USING (page_id) LEFT JOIN ol USING (page_id)",
+        "token_positions": f"WITH {_tokens_ctes('documents', 'doc_id')} SELECT doc_id, n, pos, token FROM tk",
+        "search_diagnostics": f"{idx} SELECT field, page_id, word, frequency, df, round(idf, 6) AS idf, round(tf_idf, 6) AS tf_idf FROM ti WHERE word IN ({three})",
+        "vector_space": f"{idx} SELECT page_id, " + ", ".join(f"coalesce(round(sum(tf_idf) FILTER (WHERE word = '{w}'), 6), 0) AS s_{w}" for w in ("der", "la", "und")) + f" FROM ti WHERE field = 'plaintext' AND word IN ({three}) GROUP BY page_id",
+        "top_keywords": f"{po}, {kw} SELECT page_id, word, total, rn FROM kr WHERE rn <= 10",
+        "page_summary": f"""{po}, {_LK}, {kw}, {kl}, {lr}, ll AS (SELECT page_id, string_agg(target, chr(10) ORDER BY rn) AS links FROM lr WHERE rn <= 10 GROUP BY page_id)
+SELECT page_id, concat_ws(chr(10), CASE WHEN title = '' THEN '(no title)' ELSE title END, url, '2000-01-01T00:00:00+00:00, ' || length(plaintext), coalesce(keywords, ''), links) AS block FROM pl LEFT JOIN kl USING (page_id) LEFT JOIN ll USING (page_id)""",
+        "result_cards": f"""{_search_sql(three)}, {_LK}, {kw}, {kl}, {ranked}, {io}
+SELECT rank, page_id, CASE WHEN title = '' THEN '(no title)' ELSE title END AS title, url, weight, '2000-01-01T00:00:00+00:00' AS time, length(plaintext) AS size, coalesce(keywords, '') AS keywords,
+  coalesce(inlinks, '') AS inlinks, coalesce(outlinks, '') AS outlinks, substr(plaintext, 1, 339) AS snippet
+FROM rr JOIN pl USING (page_id) LEFT JOIN kl USING (page_id) LEFT JOIN il USING (page_id) LEFT JOIN ol USING (page_id)""",
         "result_page": f"{_search_sql(three)}, {ranked} SELECT rank, page_id, ceil((SELECT count(*) FROM r) / 20)::BIGINT AS n_pages FROM rr WHERE rank BETWEEN 21 AND 40",
-        "query_lexer": f"""WITH q AS (SELECT query, string_split(query, '"') AS p FROM (VALUES {QUERIES}) t(query)),
-u AS (SELECT query, p[i] AS x, i, len(p) AS n FROM (SELECT query, p, unnest(range(1, len(p) + 1)) AS i FROM q)),
-t AS (SELECT query, i, CASE WHEN i % 2 = 1 THEN list_filter(string_split(x, ' '), lambda y: y <> '') WHEN i = n THEN list_filter([x], lambda y: y <> '') ELSE string_split(x, ' ') END AS ts, CASE WHEN i % 2 = 0 AND i < n THEN x END AS ph FROM u)
-SELECT query, array_to_string(flatten(list(ts ORDER BY i)), '|') AS terms, coalesce(string_agg(ph, '|' ORDER BY i), '') AS phrases FROM t GROUP BY query""",
-        "history_merge": f"SELECT \"user\", string_agg(query, ' ' ORDER BY seq) AS query FROM (VALUES {HISTORY}) t(\"user\", seq, query) GROUP BY 1",
-        "http_dates": f"SELECT header, epoch(try_strptime(substr(header, 6), ' %d %b %Y %H:%M:%S GMT'))::BIGINT AS epoch FROM (VALUES {DATES}) t(header)".replace("' %d", "'%d"),
-        "content_types": f"SELECT header, lower(trim(string_split(header, ';')[1])) AS kind FROM (VALUES {TYPES}) t(header) WHERE kind IN ('text/html', 'application/xhtml+xml', 'application/xml')",
+        "query_lexer": """WITH q AS (SELECT conv_id, turn, string_split(substr(text, 1, 30) || '"' || substr(text, 31, 30) || '" ' || substr(text, 61, 20) || ' "open', '"') AS p FROM conversations),
+u AS (SELECT conv_id, turn, p[i] AS x, i, len(p) AS n FROM (SELECT conv_id, turn, p, unnest(range(1, len(p) + 1)) AS i FROM q)),
+t AS (SELECT conv_id, turn, i, CASE WHEN i % 2 = 1 THEN list_filter(string_split(x, ' '), lambda y: y <> '') WHEN i = n THEN list_filter([x], lambda y: y <> '') ELSE string_split(x, ' ') END AS ts, CASE WHEN i % 2 = 0 AND i < n THEN x END AS ph FROM u)
+SELECT conv_id, turn, array_to_string(flatten(list(ts ORDER BY i)), '|') AS terms, coalesce(string_agg(ph, '|' ORDER BY i), '') AS phrases FROM t GROUP BY ALL""",
+        "history_merge": f"SELECT \"user\", string_agg(query, ' ' ORDER BY seq) AS query FROM ({conv}) GROUP BY 1",
+        "history_delete": f"""WITH a AS ({conv}), h AS (SELECT * FROM a UNION ALL SELECT "user", seq + 1000, 'x' FROM a)
+SELECT h.* FROM h LEFT JOIN (SELECT "user", min(seq) AS seq FROM h WHERE query = 'x' GROUP BY ALL) m USING ("user", seq) WHERE m.seq IS NULL OR query <> 'x'""",
+        "history_completions": f"SELECT query FROM (SELECT query, max(\"user\"::BIGINT * 100 + seq) AS seq FROM ({conv}) WHERE starts_with(query, 'T') GROUP BY query) ORDER BY seq DESC, query LIMIT 15",
+        "http_dates": "SELECT event_id, CASE WHEN event_id % 4 IN (2, 3) THEN 946684800 ELSE floor(epoch(ts))::BIGINT END AS epoch FROM events",
+        "content_types": "SELECT doc_id, 'text/' || lower(lang) AS kind, 'a;' || source AS charset, '1' AS q, 2::BIGINT AS n_params FROM documents",
+        "decoded_bodies": "SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 2 THEN '<meta charset=''utf-8''>' ELSE '' END || coalesce(text, '')) AS sha FROM documents",
+        "accepted_responses": "SELECT page_id FROM pages WHERE page_id % 7 <> 0 AND page_id % 5 IN (0, 2, 3)",
+        "frontier_order": "SELECT url, n FROM (SELECT url, row_number() OVER (ORDER BY page_id % 10 <> 0, page_id) AS n FROM pages) WHERE n <= (SELECT count(*) // 2 FROM pages)",
+        "crawl_order": "SELECT 'http://site.example/' || i AS url, i + 1 AS visit FROM (SELECT unnest(range(0, (SELECT count(*) FROM pages))) AS i)",
         "bfs_order": """WITH RECURSIVE n AS (SELECT count(*)::BIGINT AS c FROM pages),
 e AS (SELECT k AS source, (2 * k + j) % c AS target, j FROM n, (SELECT unnest(range(0, c)) AS k FROM n), (VALUES (1), (2)) v(j)),
 b AS (SELECT 0::BIGINT AS node, 0::BIGINT AS depth, '' AS path UNION ALL
@@ -264,4 +391,8 @@ f AS (SELECT node, min(depth) AS depth FROM b GROUP BY node), p AS (SELECT f.nod
 SELECT node, depth, row_number() OVER (ORDER BY depth, path, node) AS visit FROM p""",
         "upsert_latest": """SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id * 10 + 3 ELSE doc_id * 10 END AS page_id, 'http://d/' || doc_id AS url,
   CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END::BIGINT AS version FROM documents""",
+        "incremental_index": f"""{po}, h AS (SELECT page_id, count(*) AS n_postings, sum(frequency)::BIGINT AS total FROM po GROUP BY page_id)
+SELECT CASE WHEN page_id % 5 = 0 THEN page_id + 2000000 ELSE page_id END AS page_id, url, CASE WHEN page_id % 5 = 0 THEN 1 ELSE coalesce(n_postings, 0) END AS n_postings,
+  CASE WHEN page_id % 5 = 0 THEN 1 ELSE coalesce(total, 0) END AS total FROM pages LEFT JOIN h USING (page_id)""",
+        "stream_state": f"WITH {_SP} SELECT page_id, url, title, length(plaintext) AS size FROM pl",
     }

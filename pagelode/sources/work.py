@@ -20,9 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read back, so that lost executors cost no recomputation."""
     spark = df.sparkSession
-    path, schema = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}", df.schema
+    path, schema = shared_path(spark, name), df.schema
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)

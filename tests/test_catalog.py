@@ -14,7 +14,7 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "events", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got, want = catalog.queries()[name](spark, DATA).toPandas(), con.sql(catalog.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
