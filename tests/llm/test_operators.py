@@ -511,14 +511,37 @@ def test_bpe_roundtrip(docs, none):
 
 @pytest.mark.parametrize("name", [token_shards.BYTE_BPE, bpe_chunks.WORD_BPE])
 def test_fast_way_and_chunks_equal_the_library(name):
+    """Whatever the text, and whether chunks are encoded where they stand or taken from a table made of other texts."""
     lib = Bpe(name)
-    small = bpe_chunks.ChunkEncoder(lib, bits=4, kept=2000)
-    alphabet = ["a", "the", "'s", " ", "  ", "\n", "\n\n", "\t", "É", "ß", "12", "!", "…", "\r\n", "'ll", "x" * 70, "½", "Ñandú", "ª", "Σ", "İ", "́", "<|endoftext|>", "中", " ", "ſ"]
-    for _ in range(1500):
-        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 50)))
-        assert lib.encode(t) == lib.whole(t) == small.encode(t)
+    small = bpe_chunks.ChunkEncoder(lib, bits=4)
+    alphabet = ["a", "the", "'s", " ", "  ", "\n", "\n\n", "\t", "É", "ß", "12", "!", "…", "\r\n", "'ll", "x" * 70, "½", "Ñandú", "ª", "Σ", "İ", "́", "<|endoftext|>", "中", "\u00a0", "ſ", "\u3000", "日本" * 40]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 50))) for _ in range(1500)]
+    table_ = {bpe_chunks.chunk_name(c): small.middle(c) for t in texts if t for c in bpe_chunks.chunks(t, 4)}
+    for t in texts:
+        assert "".join(bpe_chunks.chunks(t, 4)) == t
+        assert lib.encode(t) == lib.whole(t) == small.encode(t) == small.encode(t, table_)
         assert lib.decode(lib.whole(t)) == lib.lib.decode(lib.whole(t), skip_special_tokens=False)
-    assert small.hits and small.repairs
+    assert small.reused > 1000 and small.repairs
+
+
+@pytest.mark.parametrize("rows", [0, 200_000])
+def test_shared_chunks_are_encoded_once(spark, monkeypatch, rows):
+    own = random.Random(3)
+    passage = " ".join(f"shared{own.randrange(99)}" for _ in range(900))
+    texts = [" ".join(f"w{own.randrange(9999)}" for _ in range(own.randrange(300))) + " " * (i % 2) + passage + f" end{i}" for i in range(40)] + ["short one", "", None, passage, passage]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, known string").repartition(5)
+    monkeypatch.setattr(bpe_chunks, "BROADCAST_ROWS", rows)
+    lib = Bpe(bpe_chunks.WORD_BPE)
+    got = bpe_chunks.encode_documents(df)
+    assert got.columns == ["doc_id", "text", "ids", "n_tokens", "decoded"] and got.count() == len(texts)
+    for r in got.collect():
+        assert bytes(r["ids"]) == Bpe.pack(lib.whole(r["text"] or ""))
+    keyed = df.select(F.xxhash64("doc_id", "text").alias("k"), "text")
+    uses = bpe_chunks.chunk_uses(keyed).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").count()
+    known = bpe_chunks.shared_chunks(keyed).select("k", F.explode("known").alias("x"))
+    # one encoding for each chunk that occurs twice; all texts with the passage get it
+    assert known.select("x.h1", "x.h2").distinct().count() == known.select("x").distinct().count() == uses > 8
+    assert known.select("k").distinct().count() == 42
 
 
 def test_ngram_jaccard(docs, none):
