@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.work import saved
+from ..sources.work import saved, tidied
 from .numbering import number
 
 #: Rows up to which a level is numbered by one task; larger ones are numbered by ranges.
@@ -90,6 +90,7 @@ class Frontier:
         self._seen = [(left.count(), left)]
 
 
+@tidied
 def bfs(edges: DataFrame, seeds: DataFrame, budget: int | None = None, max_depth: int | None = None) -> DataFrame:
     """(node, depth, visit): ``edges`` has source, target, ordinal; ``seeds`` has node, ordinal.
 
