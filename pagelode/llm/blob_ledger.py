@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import dealt_join
-from .common import committed, sha256_hex, work_path
+from ..sources.work import shared_path
+from .common import committed, sha256_hex
 
 _FINDING = "array<struct<start:int,kind_at:int,end:int,kind:string>>"
 _BLOB = "__blob"
@@ -107,7 +108,7 @@ class BlobLedger:
     schema = f"blob binary, rules array<string>, found {_FINDING}"
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or work_path(spark, "blob-ledger")
+        self.spark, self.path = spark, path or shared_path(spark, "blob-ledger")
 
     @property
     def parts(self) -> list[str]:

@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import dealt_join
-from .common import map_rows, saved
+from ..sources.work import saved, tidied
+from .common import map_rows
 from .tokenizing import Bpe, bpe
 
 WORD_BPE = "word_bpe_49k.json"
@@ -171,6 +172,7 @@ def chunk_uses(texts: DataFrame) -> DataFrame:
     return rows.select("k", F.struct("h1", "h2").alias("h"), "n")
 
 
+@tidied
 def shared_chunks(texts: DataFrame, tokenizer: str = WORD_BPE) -> DataFrame:
     """(k, known): for each text that holds chunks which occur twice or more, their names and ids, each encoded once."""
     uses = saved(chunk_uses(texts), "bpe-uses")

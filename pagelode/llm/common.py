@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from ..sources.work import shared_folder
 
 #: White space of the line and word contracts: space and the five ASCII controls from tab to return.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -29,23 +27,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_TABLE).split() if text else []
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def saved(df: DataFrame, name: str, path: str | None = None, by: str | None = None) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back, in folders ``by`` a column if one is given.
-
-    It survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = path or work_path(spark, name)
-    schema = df.schema
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def committed(spark: SparkSession, path: str) -> list[str]:
     """Names of the tables under a folder that Spark has committed, in order; none if there is no such folder."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -54,13 +35,6 @@ def committed(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a work table that nothing reads any more."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def map_rows(df: DataFrame, fn: Callable[[dict], Iterator[tuple] | list[tuple]], schema: str, step: int = 512) -> DataFrame:
     """Arrow-batched map: ``fn`` gets a dict of Python columns for at most ``step`` rows and returns output columns."""
     from pyspark.sql.types import StructType, _parse_datatype_string

@@ -29,7 +29,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.skew import dealt_join
-from .common import saved, sha256_hex
+from ..sources.work import saved, tidied
+from .common import sha256_hex
 
 WINDOW = 10
 #: Rows of test terms, anchors and candidates up to which they are broadcast; beyond, both sides are shuffled.
@@ -119,6 +120,7 @@ def anchors(index: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFra
     return chosen.select("item", "n", F.col("x.term").alias("term"), F.col("x.at").alias("at"), F.col("y.term").alias("term2"), F.col("y.at").alias("at2"), F.col("x.cf").alias("__n")).distinct()
 
 
+@tidied
 def phrase_matches(index: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item, doc, start, end): stretches of document words that windows of an item cover."""
     spread = saved(terms, "test-terms")
@@ -171,6 +173,7 @@ def matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Dat
     return hits.join(listed, "doc")
 
 
+@tidied
 def op3_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated; all read from the index."""
     index = build_index(docs)
@@ -182,6 +185,7 @@ def op3_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+@tidied
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no window of any item, with the columns they came with."""
     index = build_index(docs)

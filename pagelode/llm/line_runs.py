@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.skew import dealt_join
-from .common import ASCII_SPACE, committed, map_rows, removed, saved, work_path
+from ..sources.work import removed, saved, shared_path, tidied
+from .common import ASCII_SPACE, committed, map_rows
 
 _KEY = "__line_key"
 _HITS = "__line_hits"
@@ -75,7 +76,7 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = 10, fanout: int = 3, buckets: int | None = None):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.path = path or work_path(spark, "line-runs")
+        self.path = path or shared_path(spark, "line-runs")
         found = [m for name in committed(spark, self.path) if (m := re.fullmatch(r"run-(\d+)-(\d+)-b(\d+)", name))]
         spans = [(int(m[1]), int(m[2])) for m in found]
         self.runs = sorted(s for s in spans if not any(a <= s[0] and s[1] <= b and (a, b) != s for a, b in spans))
@@ -163,6 +164,7 @@ def _cut(text: str | None, hits) -> tuple[str, int, int]:
     return "\n".join(kept), len(lines), len(lines) - len(kept)
 
 
+@tidied
 def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
     """``docs`` with ``text`` cleared of frequent lines, and ``n_lines``, ``n_dropped`` added.
 
@@ -179,6 +181,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: i
         runs.add(held.filter(F.col("batch") == i).select(*_HASH))
     frequent = saved(runs.frequent(), "line-frequent")
     runs.close()
+    removed(spark, runs.path)
     total = held.count()
     # a count may be low where a batch found the line settled: a hot key is one that is frequent in any single batch
     keys = frequent.select(F.struct(*_HASH).alias("h"), (F.col("n") * batches).alias("__n"))

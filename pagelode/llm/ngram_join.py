@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 
 from .. import ship
 from ..operators.skew import dealt_join
-from .common import map_rows, saved, words_of
+from ..sources.work import saved, tidied
+from .common import map_rows, words_of
 
 SHINGLE = 5
 #: The threshold as a fraction, so that it is tested in whole numbers.
@@ -197,6 +198,7 @@ def _unpruned(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_rows(both, prune, "a binary, b binary", step=4096)
 
 
+@tidied
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) of all nodes in ``edges`` (a, b), root being the smallest node: alternating large and small stars."""
     now = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), name)
@@ -444,6 +446,7 @@ def _verified(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame
     return saved(_by_unit(full, verify, "node binary, root binary, links long"), "jaccard-links")
 
 
+@tidied
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, k1, k2, node) of the documents, and (node, class, class_id, n_links, __n) of the nodes, __n being their copies."""
     rows = saved(_signed(docs), "jaccard-signed")
@@ -466,6 +469,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.drop("sig", "size"), full
 
 
+@tidied
 def op7_ngram_jaccard(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, class_id (smallest doc_id of its class), n_links (documents with similarity of 0.8 or more)."""
     rows, told = classes(docs.select("doc_id", "text"))
@@ -473,6 +477,7 @@ def op7_ngram_jaccard(docs: DataFrame) -> DataFrame:
     return named.unionByName(rows.filter("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
+@tidied
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest id, with the columns it came with."""
     names = docs.columns

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from .common import map_rows, work_path
+from ..sources.work import shared_path
+from .common import map_rows
 from .tokenizing import bpe
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -97,7 +98,7 @@ def write_shards(docs: DataFrame, path: str | None = None, tokenizer: str = BYTE
 
     spark = docs.sparkSession
     ship(spark)
-    path = path or work_path(spark, "token-shards")
+    path = path or shared_path(spark, "token-shards")
     kind = _parse_datatype_string(_SCHEMA)
     arrow = to_arrow_schema(kind)
     end = np.asarray([end_id], "<u4").tobytes()
