@@ -15,8 +15,9 @@ their text sent there. A unit then verifies the pairs that survived by their ful
 it (its verified links and its root in the unit). So every link inside a group is counted, no pair is emitted, and
 neither output nor memory of a unit grows with the group.
 
-Keys that hold many rows (the copies of one text, the centre of a star, one group) never meet in one task: there are at
-most ``HOT_KEYS`` of them, whatever the table's size, and they are joined by broadcast (``dealt_join``).
+Keys that hold many rows never meet in one task. Buckets and shingles are dealt by ranges, so that a large one spreads
+over several tasks and is put together by its ends. The copies of one text, the centre of a star and one group are
+joined by broadcast, as at most ``HOT_KEYS`` keys can be hot, whatever the table's size (``dealt_join``).
 
 Defined cases: words are runs of ASCII letters and digits, lower-cased, and of characters beyond ASCII; a text of one
 to four words is one shingle; a text without words (or null) is alone in its class and has no links; repeated rows
@@ -34,7 +35,9 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import ship
@@ -144,34 +147,46 @@ def _proposed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         return [key.ravel().view(np.int64), after.ravel().view(np.int64), [n for n in names for _ in range(bands)]]
 
     rows = map_rows(nodes.select("node", "sig"), spread, "key long, after long, node binary")
-    rows = rows.repartition("key").sortWithinPartitions("key", "after", "node")
-    kind = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("key", pa.int64())])
+    # ranges of (key, signature order, node): a bucket of many nodes spreads over several tasks
+    rows = rows.repartitionByRange("key", "after", "node").sortWithinPartitions("key", "after", "node")
+    kind = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("key", pa.int64()), ("part", pa.int32())])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first, before, held = None, b"", b"", []
+        part = TaskContext.get().partitionId()
+        key = first = None
+        held, count, before = [], 0, b""
         for batch in batches:
-            a, b, keys = [], [], []
-            for key, node in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if key != last:
-                    last, first, held = key, node, [node]
+            out: list[tuple] = []
+            for now, node in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if now != key:
+                    if first is None:
+                        first = now
+                    elif key == first:
+                        out += [(n, None, key, part) for n in held]
+                    key, held, count = now, [node], 1
                 else:
-                    for other in {first, before}:
-                        a.append(min(other, node))
-                        b.append(max(other, node))
-                        keys.append(None)
-                    if len(held) < WHOLE:
+                    out += [(min(other, node), max(other, node), None, None) for other in {held[0], before}]
+                    count += 1
+                    if count <= WHOLE:
                         held.append(node)
                     else:
-                        more = [node] if len(held) > WHOLE else [*held, node]
-                        held = [b""] * (WHOLE + 1)
-                        a += more
-                        b += [None] * len(more)
-                        keys += [key] * len(more)
+                        out += [(n, None, key, None) for n in ([*held, node] if count == WHOLE + 1 else [node])]
                 before = node
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(keys, pa.int64())], schema=kind)
+            yield _batch(out, kind)
+        yield _batch([(n, None, key, part) for n in held], kind)
+
+    told = saved(rows.mapInArrow(pair, "a binary, b binary, key long, part int"), "jaccard-proposed")
+    # the first and the last bucket of a task may go on in another: at most twice ``WHOLE`` rows a task tell which do
+    ends = told.filter("part IS NOT NULL")
+    split = ends.groupBy("key").agg(F.min("a").alias("lo"), F.count_distinct("part").alias("n")).filter("n > 1").drop("n")
+    split = saved(ends.join(F.broadcast(split), "key").select("key", "lo", F.col("a").alias("node")), "jaccard-split")
+    pairs = told.filter("key IS NULL").select("a", "b").unionByName(split.filter("lo <> node").select(F.col("lo").alias("a"), F.col("node").alias("b")))
+    crowd = told.filter("key IS NOT NULL AND part IS NULL").select("key", F.col("a").alias("node")).unionByName(split.select("key", "node"))
+    return saved(pairs.distinct(), "jaccard-pairs"), crowd
 
-    told = saved(rows.mapInArrow(pair, "a binary, b binary, key long"), "jaccard-proposed")
-    return saved(told.filter("key IS NULL").select("a", "b").distinct(), "jaccard-pairs"), told.filter("key IS NOT NULL").select("key", F.col("a").alias("node"))
+
+def _batch(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(kind)], schema=kind)
 
 
 def surviving(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -346,25 +361,34 @@ def _apart(docs: DataFrame, crowd: DataFrame, groups: DataFrame, nodes: DataFram
                 o += v
         return [*out]
 
-    rows = map_rows(texts, start, "key long, size long, node binary, root binary").repartition("key").sortWithinPartitions("key", "size", "node")
-    kind = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("sure", pa.bool_())])
+    rows = map_rows(texts, start, "key long, size long, node binary, root binary")
+    # ranges again: a shingle that many texts start with spreads over several tasks
+    rows = rows.repartitionByRange("key", "size", "node").sortWithinPartitions("key", "size", "node")
+    kind = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("sure", pa.bool_()), ("key", pa.int64()), ("part", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64())])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, wide, head, before = None, [], False, None, 0
+        part = TaskContext.get().partitionId()
+        key = first = top = end = head = None
+        held, wide, before, out = [], False, 0, []
+
+        def star(size, node, root):
+            nonlocal head, before
+            if head is None or DEN * before < NUM * size:
+                head = (node, root)
+            elif head[1] != root:
+                out.append((head[0], node, True, None, None, None, None))
+            before = size
+
         for batch in batches:
-            a, b, sure = [], [], []
-
-            def star(size, node, root):
-                nonlocal head, before
-                if head is None or DEN * before < NUM * size:
-                    head = (node, root)
-                elif head[1] != root:
-                    a.append(head[0]), b.append(node), sure.append(True)
-                before = size
-
-            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != last:
-                    last, held, wide, head = key, [], False, None
+            out.clear()
+            for now, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != key:
+                    if key is not None and key == first:
+                        out.append((top[1], end[1], None, key, part, top[0], end[0]))
+                    # the first shingle of a task may have begun in another: its texts make one group from the start
+                    wide, first = (first is None, now) if first is None else (False, first)
+                    key, held, head, top = now, [], None, row
+                end = row
                 if wide:
                     star(*row)
                     continue
@@ -374,15 +398,24 @@ def _apart(docs: DataFrame, crowd: DataFrame, groups: DataFrame, nodes: DataFram
                         star(*r)
                     held = []
                     continue
-                for size, node, root in held[:-1]:
-                    if root != row[2] and DEN * size >= NUM * row[0]:
-                        a.append(node), b.append(row[1]), sure.append(False)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sure, pa.bool_())], schema=kind)
+                out += [(node, row[1], False, None, None, None, None) for size, node, root in held[:-1] if root != row[2] and DEN * size >= NUM * row[0]]
+            yield _batch(out, kind)
+        out.clear()
+        for r in held:  # the last shingle may go on in another task
+            star(*r)
+        if key is not None:
+            out.append((top[1], end[1], None, key, part, top[0], end[0]))
+        yield _batch(out, kind)
 
     ship(spark)
-    found = rows.mapInArrow(pair, "a binary, b binary, sure boolean").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure")
-    found = saved(found.distinct(), "jaccard-apart")
-    return _unpruned(saved(found.filter("NOT sure").select("a", "b"), "jaccard-unsure"), nodes).unionByName(found.filter("sure").select("a", "b"))
+    found = saved(rows.mapInArrow(pair, "a binary, b binary, sure boolean, key long, part int, lo long, hi long"), "jaccard-apart")
+    # a shingle that goes on in the next task: the last text here and the first one there, unless sizes exclude a link
+    along = W.partitionBy("key").orderBy("part")
+    ends = found.filter("part IS NOT NULL").select("key", "part", "b", "hi", F.lead("a").over(along).alias("a"), F.lead("lo").over(along).alias("lo"))
+    ends = ends.filter(DEN * F.col("hi") >= NUM * F.col("lo")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b")
+    ordered = found.filter("part IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure")
+    unsure = saved(ordered.filter("NOT sure").select("a", "b").distinct(), "jaccard-unsure")
+    return _unpruned(unsure, nodes).unionByName(ordered.filter("sure").select("a", "b")).unionByName(ends)
 
 
 def _by_unit(units: DataFrame, work, schema: str) -> DataFrame:

@@ -626,6 +626,31 @@ def test_ngram_jaccard_finds_short_copies_of_a_passage_that_longer_texts_quote(s
         assert got == {(0, 0, 1), (1, 0, 1)}
 
 
+def test_ngram_jaccard_over_many_tasks(spark):
+    """More tasks than buckets' nodes: large buckets and shingles begin in one task and end in another; no link is lost."""
+    own = random.Random(21)
+    passage = [f"p{i}" for i in range(120)]
+    texts = [" ".join(passage[: 100 + k % 20] + [f"t{own.randrange(10**6)}" for _ in range(own.choice([1, 5, 90]))]) for k in range(260)]
+    texts += [" ".join(f"r{own.randrange(60)}" for _ in range(8)) for _ in range(40)]
+    sets = [frozenset(ngram_join.shingles(words_of(t)).tolist()) for t in texts]
+    near = [[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets]
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if near[i][j] and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.op7_ngram_jaccard(df).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {i: (min(j for j, g in enumerate(group) if g == group[i]), sum(near[i]) - 1) for i in range(len(texts))}
+
+
 def test_pruning_keeps_similar_pairs():
     least = ngram_join.least_matches()
     assert list(least) == sorted(least) and least[-1] < 0.8 * ngram_join.HASHES
@@ -708,12 +733,84 @@ def test_quality_rules(docs, none):
         assert r["n_kept_without"] == ledger.filter(rule_ledger.passes(without)).count() == kept + r["n_failed_alone"]
 
 
-def test_pipeline(spark):
+def pipeline_by_hand(docs, items):
+    """The five stages by plain loops over (doc_id, text) rows: (doc_id, text) that reach the last stage."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    kept = {r[0] for r in con.sql(f"SELECT doc_id, kept FROM ({rule_ledger.OP10_SQL})").fetchall() if r[1]}
+    docs = [d for d in docs if d[0] in kept]
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    key = lambda line: lower(line.strip(" \t\n\x0b\x0c\r"))
+    held: dict[str, int] = {}
+    for _, text in docs:
+        for k in {key(line) for line in text.split("\n")}:
+            held[k] = held.get(k, 0) + 1
+    docs = [(i, "\n".join(line for line in t.split("\n") if not key(line) or held[key(line)] < 10)) for i, t in docs]
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)) for _, t in docs]
+    grams = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for w in words]
+    group = list(range(len(docs)))
+    for i, a in enumerate(grams):
+        for j in range(i):
+            if a and 5 * len(a & grams[j]) >= 4 * len(a | grams[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    best: dict[int, int] = {}
+    for i, g in enumerate(group):
+        rank_ = lambda i: (docs[i][0] is None, docs[i][0])
+        if g not in best or rank_(i) < rank_(best[g]):
+            best[g] = i
+    out = []
+    windows = set()
+    for item in items:
+        v = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(item or ""))
+        windows |= {tuple(v[s : s + min(10, len(v))]) for s in range(max(len(v) - 10, 0) + 1)} if v else set()
+    for i in sorted(best.values()):
+        w = words[i]
+        if not any(tuple(w[s : s + len(g)]) == g for g in windows for s in range(len(w) - len(g) + 1)):
+            out.append(docs[i])
+    return out
+
+
+def pipeline_rows():
+    own = random.Random(12)
+    prose = lambda n: " ".join(f"{own.choice('abcdefgh')}{own.randrange(900)}" for _ in range(n))
+    rows: list[tuple] = [(0, None), (1, ""), (2, "too short"), (None, prose(80)), (3, "x " * 200), (4, "# $ % & " * 60)]
+    for i in range(30):
+        rows.append((10 + i, f"{'A Common Line ' if i % 2 else ' a common line'}\n{prose(60)}\n\n{prose(30)}"))
+    for i in range(8):  # near copies of one text, exact copies, and a repeated row
+        w = rows[10][1].split(" ")
+        w[-1 - i] = "new"
+        rows.append((60 + i, " ".join(w)))
+    rows += [(70, rows[12][1]), (71, rows[12][1].upper()), (71, rows[12][1].upper()), (5, rows[14][1]), (None, rows[15][1])]
+    rows += [(80, f"{prose(60)} {ITEM.upper()} {prose(9)}"), (81, f"{prose(60)} alpha beta gamma {prose(9)}"), (82, f"{prose(60)} short item"), (83, f"日本語 Ünï {prose(70)} 😀"), (84, prose(20_000))]
+    return rows
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rows = pipeline_rows()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node string, n_hit long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 7) for i, t in rows], schema).repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, ITEM), (2, "short item"), (3, None), (1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    lib = Bpe(bpe_chunks.WORD_BPE)
+    want = []
+    for i, text in pipeline_by_hand(rows, [ITEM, "short item", None]):
+        ids = lib.whole(text)
+        want.append((i, len(ids), hashlib.sha256(Bpe.pack(ids)).hexdigest(), hashlib.sha256(lib.lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    got = [tuple(r) for r in p.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and 30 < len(got) < len(rows) - 10
+
+
+def test_pipeline_stages_take_any_rows(spark, docs, none, items, tmp_path):
+    """Each stage alone on nulls, empty and long texts, repeats and clashing columns, and on an empty table."""
     import corpus_pipeline as p
 
-    sf = "/root/testdata/sf0.001"
-    out = p.run(spark, sf)
-    assert 0 < out.count() < spark.read.parquet(f"{sf}/documents.parquet").count()
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for _, stage in p.STAGES[:-1]:
-        assert stage(spark, docs, sf).columns == docs.columns
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    for i, (_, stage) in enumerate(p.STAGES):
+        out, empty = stage(spark, docs, str(tmp_path)), stage(spark, none, str(tmp_path))
+        assert empty.count() == 0 and empty.columns == out.columns and 0 < out.count() <= len(ROWS)
+        assert i == len(p.STAGES) - 1 or out.columns == docs.columns
+        if i < len(p.STAGES) - 1:
+            assert {r["n_hit"] for r in out.select("n_hit").distinct().collect()} == {3}
