@@ -1,4 +1,12 @@
-"""The corpus pipeline: quality rules, line deduplication, near-duplicate removal, decontamination, BPE."""
+"""The corpus pipeline: quality rules, line deduplication, near-duplicate removal, decontamination, BPE.
+
+Defined cases, of every stage: a null or empty text has no words, so the quality rules reject it; each stage alone takes
+it as the operator's own docstring says (no line is dropped, it is alone in its class, no window occurs in it, it has no
+ids). Repeated rows are judged alike and count one by one as documents of a line; of rows that repeat id and text one
+stays after near-duplicate removal. Of a class the smallest id stays, a null id only if there is no other. Columns beyond
+those of ``documents`` pass through all stages but the last; those named like a stage's own are kept as they came. Very
+long texts are processed whole. An empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
