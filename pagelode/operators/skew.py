@@ -15,6 +15,8 @@ def dealt_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str
     Keys of more rows than ``HOT_ROWS`` and a ``HOT_KEYS``-th of all ``total`` rows are fewer than ``HOT_KEYS``: they are
     broadcast, and their rows stay where they are. The others are shuffled.
     """
+    if total <= HOT_ROWS:  # no key can hold more rows than there are
+        return left.join(right.drop("__n"), key, how)
     limit = max(HOT_ROWS, total // HOT_KEYS)
     hot = F.broadcast(right.filter(F.col("__n") > limit).drop("__n"))
     cold = right.filter(F.col("__n") <= limit).drop("__n")
