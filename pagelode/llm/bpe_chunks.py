@@ -172,6 +172,13 @@ def chunk_uses(texts: DataFrame) -> DataFrame:
     return rows.select("k", F.struct("h1", "h2").alias("h"), "n")
 
 
+def _listed(texts: DataFrame, lists: DataFrame, key: str, n: int) -> DataFrame:
+    """``texts`` joined to the ``n`` keys that have a list; only their texts are shuffled while the keys may be broadcast."""
+    if n <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(lists.select(key)), key, "left_semi")
+    return texts.join(lists.hint("merge"), key)
+
+
 @tidied
 def shared_chunks(texts: DataFrame, tokenizer: str = WORD_BPE) -> DataFrame:
     """(k, known): for each text that holds chunks which occur twice or more, their names and ids, each encoded once."""
@@ -196,7 +203,8 @@ def shared_chunks(texts: DataFrame, tokenizer: str = WORD_BPE) -> DataFrame:
                     ids.append(enc.model.pack(enc.middle(chunk)))
         return [*_halves(names), pa.array(ids, pa.binary())]
 
-    owners = texts.join(owned, "k").select("text", "wanted")
+    owned = saved(owned, "bpe-owned")
+    owners = _listed(texts, owned, "k", owned.count()).select("text", "wanted")
     done = map_rows(owners, encode, "h1 long, h2 long, ids binary").select(F.struct("h1", "h2").alias("h"), "ids")
     # texts that repeat with their ids own the same chunks
     done = saved(done.groupBy("h").agg(F.first("ids").alias("ids")), "bpe-encoded")
@@ -224,7 +232,7 @@ def _encoded(docs: DataFrame, tokenizer: str, finish, schema) -> DataFrame:
     # only texts that share chunks are shuffled to their lists
     some = F.broadcast(lists.select("__k"))
     apart = keyed.join(some, "__k", "left_anti")
-    joint = keyed.join(some, "__k", "left_semi").join(lists.hint("merge"), "__k")
+    joint = _listed(keyed, lists, "__k", n)
     return map_rows(apart, run, schema, step=256).unionByName(map_rows(joint, run, schema, step=256))
 
 
