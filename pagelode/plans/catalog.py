@@ -349,7 +349,7 @@ SELECT page_id, v[1]::BIGINT AS n, v[2] AS target FROM x""",
         "search_unknown_term": f"{_search_sql(repr('zzzunknown'))} SELECT * FROM r",
         "full_search": f"{_search_sql(stems_of)} SELECT * FROM r",
         "explain_terms": f"""{idx}, asked AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{w}')" for i, w in enumerate(EXPLAINED.split()))}) v(place, term)),
-st AS (SELECT place, term, CASE term WHEN 'zzznone' THEN 'zzznon' ELSE lower(term) END AS stem FROM asked)
+st AS (SELECT place, term, lower(term) AS stem FROM asked)
 SELECT place::BIGINT AS place, term, stem, coalesce(df, 0) AS df, coalesce(round(idf, 6), 0) AS idf, page_id, frequency, round(tf_normalized, 6) AS tf_normalized, round(tf_idf, 6) AS tf_idf
 FROM st LEFT JOIN (SELECT * FROM ti WHERE field = 'plaintext') x ON word = stem""",
         "idf_of_words": f"""{idx}, asked AS (SELECT * FROM (VALUES {asked}) v(place, word)), c AS (SELECT word, any_value(df) AS df, any_value(idf) AS idf FROM ti WHERE field = 'plaintext' GROUP BY word)
