@@ -35,13 +35,14 @@ class Frontier:
     """The queue of addresses to visit and the set of those ever queued.
 
     Both are parts that operations append to; parts are merged when newer ones add up to as many rows, so that a crawl
-    writes each address a logarithmic number of times.
+    writes each address a logarithmic number of times. An entry is told from others by its ``key``, which is its address
+    unless the table that is queued has a column of that name.
     """
 
     def __init__(self, spark: SparkSession):
-        self.queue = spark.createDataFrame([], "url string, place long")
+        self.queue = spark.createDataFrame([], "url string, place long, key string")
         self.first, self.next = 0, 0
-        self._seen: list[tuple[int, DataFrame]] = [(0, spark.createDataFrame([], "url string"))]
+        self._seen: list[tuple[int, DataFrame]] = [(0, spark.createDataFrame([], "key string"))]
 
     @property
     def seen(self) -> DataFrame:
@@ -49,35 +50,37 @@ class Frontier:
 
     def put_back(self, taken: DataFrame) -> None:
         """Rows that ``dequeue`` gave return to their places."""
-        self.queue = saved(self.queue.unionByName(taken.select("url", "place")), "queue")
+        self.queue = saved(self.queue.unionByName(taken.select("url", "place", "key")), "queue")
 
     def enqueue(self, urls: DataFrame | Iterable[str], *, before: bool = False, ignore_queued: bool = False) -> int:
         """Append addresses, or put them in front, in their order; each counts once. Returns how many were new.
 
-        A table has columns url and place (its order). A scheme other than http(s) is an error, and so is an address
-        queued earlier, unless ``ignore_queued``; nothing is queued then.
+        A table has columns url and place (its order), and key where one address may stand for several entries. A scheme
+        other than http(s) is an error, and so is an entry queued earlier, unless ``ignore_queued``; nothing is queued then.
         """
         spark = self.queue.sparkSession
         if not isinstance(urls, DataFrame):
             urls = spark.createDataFrame([(u, i) for i, u in enumerate(urls)], "url string, place long")
-        asked = saved(urls.groupBy("url").agg(F.min("place").alias("at")), "asked")
+        asked = urls.groupBy(F.col("key") if "key" in urls.columns else F.col("url").alias("key")).agg(F.min("place").alias("at"), F.min_by("url", "place").alias("url"))
+        asked = saved(asked, "asked")
         scheme = F.lower(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
         if bad := asked.filter(F.col("url").isNull() | ~scheme.isin(*SCHEMES)).first():
             raise ValueError(f"unsupported scheme: {bad['url']}")
-        new = saved(asked.join(self.seen, "url", "left_anti"), "new")
+        new = saved(asked.join(self.seen, "key", "left_anti"), "new")
         n = new.count()
         if not ignore_queued and n < asked.count():
-            raise ValueError(f"already queued: {asked.join(self.seen, 'url', 'left_semi').first()['url']}")
+            raise ValueError(f"already queued: {asked.join(self.seen, 'key', 'left_semi').first()['url']}")
         start = self.first - n if before else self.next
-        placed = _placed(new, n, ["at", "url"], "place", start).select("url", "place")
+        placed = _placed(new, n, ["at", "key"], "place", start).select("url", "place", "key")
         self.queue = saved(self.queue.unionByName(placed), "queue")
-        merge_parts(self._seen, n, new.select("url"), "seen")
+        merge_parts(self._seen, n, new.select("key"), "seen")
         self.first, self.next = (start, self.next) if before else (self.first, start + n)
         return n
 
     def dequeue(self, n: int = 1) -> DataFrame:
-        """The first ``n`` rows (url, place) of the queue, which leave it; LookupError if it is empty."""
-        taken = saved(self.queue.orderBy("place").limit(n), "taken")
+        """The first ``n`` rows (url, place, key) of the queue, which leave it; LookupError if it is empty."""
+        first = self.queue.orderBy("place").limit(n) if n <= ONE_TASK_ROWS else number(self.queue, ["place"], "__n").filter(F.col("__n") <= n).drop("__n")
+        taken = saved(first, "taken")
         top = taken.agg(F.max("place").alias("top")).first()["top"]
         if top is None:
             raise LookupError("the queue is empty")
@@ -85,8 +88,8 @@ class Frontier:
         return taken
 
     def reset(self, urls: DataFrame) -> None:
-        """Forget that addresses (column url) were queued, so that they can be queued again."""
-        left = saved(self.seen.join(urls.select("url"), "url", "left_anti"), "seen")
+        """Forget that addresses (column url; or keys, column key) were queued, so that they can be queued again."""
+        left = saved(self.seen.join(urls.select("key" if "key" in urls.columns else F.col("url").alias("key")), "key", "left_anti"), "seen")
         self._seen = [(left.count(), left)]
 
 
