@@ -103,12 +103,14 @@ def result_page(ranked: DataFrame, page: int, per_page: int = PER_PAGE) -> DataF
 def page_links(pages: DataFrame, links: DataFrame, k: int = 10, only: DataFrame | None = None) -> DataFrame:
     """(page_id, inlinks, outlinks): the first k addresses, in order, of pages that link here and of this page's links.
 
+    Two pages of one address that link here are told twice.
+
     ``pages`` has page_id and url, ``links`` has page_id and target; ``only`` (page_id) limits the pages told of.
     """
     at = pages.select("page_id", "url")
     wanted = at if only is None else at.join(only, "page_id", "left_semi")
     into = links.select(F.col("page_id").alias("source"), F.col("target").alias("url")).join(wanted, "url").select("page_id", "source")
-    into = into.join(at.toDF("source", "target"), "source").select("page_id", "target").distinct()
+    into = into.distinct().join(at.toDF("source", "target"), "source").select("page_id", "target")
     listed = lambda rows, name: _listed(top_links(rows, k), F.col("target"), name, "\n")
     links = links if only is None else links.join(only, "page_id", "left_semi")
     both = wanted.select("page_id").join(listed(into, "inlinks"), "page_id", "left").join(listed(links.select("page_id", "target").distinct(), "outlinks"), "page_id", "left")

@@ -31,12 +31,15 @@ def read_index(spark: SparkSession, path: str) -> Index:
     return Index(**{n: spark.read.parquet(f"{path}/{n}") for n in ("urls", "pages", "links", "words", "postings", "rejected")})
 
 
-def index_pages(pages: DataFrame, path: str, tasks: int | None = None, writers: int = 1, **options) -> Index:
-    """Parse pages once into ``path``/parsed, in ``tasks`` tasks if given, build the tables from there, store them and read them back."""
+def index_pages(pages: DataFrame, path: str, tasks: int | None = None, writers: int = 1, versions: bool = True, **options) -> Index:
+    """Parse pages once into ``path``/parsed, in ``tasks`` tasks if given, build the tables from there, store them and read them back.
+
+    Without ``versions``, pages that share an address are pages of their own.
+    """
     parsed = parse_pages(pages if tasks is None else pages.repartition(tasks), **options)
     parsed.write.mode("overwrite").parquet(f"{path}/parsed")
     spark = pages.sparkSession
-    write_index(build_index(spark.read.schema(parsed.schema).parquet(f"{path}/parsed")), path, writers)
+    write_index(build_index(spark.read.schema(parsed.schema).parquet(f"{path}/parsed"), versions), path, writers)
     return read_index(spark, path)
 
 
@@ -58,4 +61,4 @@ def named_links(index: Index) -> DataFrame:
 
 def addressed_pages(index: Index) -> DataFrame:
     """The pages with their address as ``url``."""
-    return index.pages.join(index.urls.select("url_id", F.col("content").alias("url")), "url_id")
+    return index.pages.join(index.urls.select("url_id", F.col("content").alias("url")), "url_id", "left")

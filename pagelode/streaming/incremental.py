@@ -2,7 +2,7 @@
 
 The page state of a stream is a set of parts: a base, and one part for each batch since. A batch only appends its own
 parsed pages, whatever the state's size, and writing it again after a failure replaces the same part. Reading picks the
-winner of each url; ``compact`` folds the parts into a new base.
+winner of each key (``operators/index.py``; mostly the url); ``compact`` folds the parts into a new base.
 
 ``IncrementalIndex`` does the same for the tables of the index: a batch adds only what it brings.
 """
@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import PARSED, Index, latest_versions, parse_pages
+from ..operators.index import PARSED, Index, latest_versions, parse_pages, version_key
 from ..operators.numbering import number
 from ..sources.work import saved
 
@@ -24,11 +24,12 @@ _LOG = "upto long, path string"
 
 
 def merge(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Stored and fresh parsed pages, one per url: a fresh one wins only if it is newer."""
-    new = latest_versions(fresh)
-    old = stored.select("url", stored["mod_time"].alias("stored_time"))
-    newer = new.join(old, "url", "left").filter("stored_time IS NULL OR mod_time > stored_time").drop("stored_time")
-    return stored.join(newer.select("url"), "url", "left_anti").unionByName(newer.select(*stored.columns))
+    """Stored and fresh parsed pages, one per key: a fresh one wins only if it is newer."""
+    new = latest_versions(fresh).withColumn("__key", version_key(fresh))
+    kept = stored.withColumn("__key", version_key(stored))
+    old = kept.select("__key", F.col("mod_time").alias("stored_time"))
+    newer = new.join(old, "__key", "left").filter("stored_time IS NULL OR mod_time > stored_time").drop("stored_time")
+    return kept.join(newer.select("__key"), "__key", "left_anti").drop("__key").unionByName(newer.select(*stored.columns))
 
 
 def index_stream(spark: SparkSession, source: str, state: str, checkpoint: str, schema: str = "page_id long, url string, html string", files: int = 16):
@@ -61,7 +62,7 @@ def _versions(spark: SparkSession, state: str) -> DataFrame | None:
 
 
 def read_state(spark: SparkSession, state: str) -> DataFrame | None:
-    """The page state: one row per url. None before the first batch."""
+    """The page state: one row per key. None before the first batch."""
     rows = _versions(spark, state)
     return None if rows is None else latest_versions(rows).drop("batch")
 
@@ -81,12 +82,12 @@ class IncrementalIndex:
 
     A batch appends its accepted pages with their links and postings, and the addresses and words that no earlier batch
     knew, numbered on from the greatest id (A4). Ids never change, and words that no page holds any more stay (I16).
-    Adding a batch again after a failure replaces its parts. Reading keeps the rows of each url's winning batch.
+    Adding a batch again after a failure replaces its parts. Reading keeps the rows of each key's winning batch.
     """
 
     TABLES = {
         "urls": "url_id long, content string, redirect_id long",
-        "pages": "page_id long, url string, url_id long, mod_time timestamp, size long, plaintext string, title string",
+        "pages": "page_id long, url string, url_id long, mod_time timestamp, size long, plaintext string, title string, key string",
         "links": "page_id long, url_id long",
         "words": "word_id long, content string",
         "postings": "field string, page_id long, word string, positions array<int>, frequency long, tf_normalized double",
@@ -115,13 +116,13 @@ class IncrementalIndex:
         self._write(number(new, ["content"], id_name, top).select(id_name, "content", *([F.lit(None).cast("long").alias("redirect_id")] if table == "urls" else [])), table, batch)
 
     def _winners(self, pages: DataFrame) -> DataFrame:
-        """(url, page_id, batch, mod_time): for each url the first submission of the greatest time."""
-        return pages.groupBy("url").agg(F.min_by(F.struct("page_id", "batch", "mod_time"), F.struct(-F.unix_micros("mod_time"), "batch", "page_id")).alias("w")).select("url", "w.*")
+        """(key, page_id, batch, mod_time): for each key the first submission of the greatest time."""
+        return pages.groupBy(version_key(pages).alias("key")).agg(F.min_by(F.struct("page_id", "batch", "mod_time"), F.struct(-F.unix_micros("mod_time"), "batch", "page_id")).alias("w")).select("key", "w.*")
 
     def add(self, parsed: DataFrame, batch: int) -> int:
         """Index a batch of parsed pages; returns how many were accepted."""
-        stored = self._winners(self._rows("pages", batch)).select("url", F.col("mod_time").alias("stored"))
-        fresh = latest_versions(parsed).join(stored, "url", "left").filter("stored IS NULL OR mod_time > stored").drop("stored")
+        stored = self._winners(self._rows("pages", batch)).select("key", F.col("mod_time").alias("stored"))
+        fresh = latest_versions(parsed).withColumn("key", version_key(parsed)).join(stored, "key", "left").filter("stored IS NULL OR mod_time > stored").drop("stored")
         fresh = saved(fresh, "fresh")
         links = fresh.select("page_id", F.explode("links").alias("content"))
         self._extend(fresh.select(F.col("url").alias("content")).union(links.select("content")), "urls", "url_id", batch)
@@ -129,7 +130,7 @@ class IncrementalIndex:
         self._extend(postings.select(F.col("word").alias("content")), "words", "word_id", batch)
         ids = self._rows("urls").filter(F.col("batch") <= batch).select("url_id", "content")
         pages = fresh.join(ids.withColumnRenamed("content", "url"), "url")
-        self._write(pages.select("page_id", "url", "url_id", "mod_time", "size", "plaintext", "title"), "pages", batch)
+        self._write(pages.select("page_id", "url", "url_id", "mod_time", "size", "plaintext", "title", "key"), "pages", batch)
         self._write(links.join(ids, "content").select("page_id", "url_id"), "links", batch)
         self._write(postings.select("field", "page_id", "word", "positions", "frequency", "tf_normalized").sortWithinPartitions("field", "word"), "postings", batch)
         self._write(fresh.select("page_id", F.inline("rejected")), "rejected", batch)
@@ -141,7 +142,7 @@ class IncrementalIndex:
         columns = lambda table: [part.split()[0] for part in self.TABLES[table].split(", ")]
         now = lambda table: self._rows(table).join(won, ["page_id", "batch"], "left_semi").select(*columns(table))
         every = lambda table: self._rows(table).drop("batch")
-        return Index(every("urls"), now("pages").drop("url"), now("links"), every("words"), now("postings"), now("rejected"))
+        return Index(every("urls"), now("pages").drop("url", "key"), now("links"), every("words"), now("postings"), now("rejected"))
 
 
 def search_stream(spark: SparkSession, source: str, path: str, checkpoint: str, schema: str = "page_id long, url string, html string", files: int = 16):

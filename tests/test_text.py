@@ -110,3 +110,11 @@ def test_normalize_keeps_letters_and_numbers_of_every_latin_character():
         assert normalize(c) == unicodedata.normalize("NFKC", plain).lower() and normalize(f"a{c}b") == f"a{normalize(c)}b"
     for form in ("NFC", "NFD", "NFKC", "NFKD"):
         assert normalize(unicodedata.normalize(form, "Zoë Ångström ﬁn ½")) == "zoeangstromfin12"
+
+
+def test_references_without_semicolon_are_text():
+    html = "<title>A &amp; B &copy; &am &amp</title><p>&amp;&amp</p>&lt;b&#62; &nosuch; &bare.ampersand;<a href='/x?a=1&copy=2&amp;b'>L</a> & &#x26"
+    title, text, hrefs = read_page(html)
+    assert title == "A &amp; B © &am &amp"
+    assert text == "&&amp\n<b> &nosuch; &bare.ampersand;\nL\n & &#x26" and hrefs == ["/x?a=1&copy=2&b"]
+    assert read_page("<title>a &#60;b&#62; &quot;</title>")[0] == 'a &lt;b&gt; "'
