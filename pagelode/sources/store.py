@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.page import ACCEPTED
-from ..operators.index import Index, build_index, parse_pages
+from ..operators.index import Index, build_index, counted_urls, parse_pages
 
 
 def write_index(index: Index, path: str, concurrency: int = 1) -> None:
@@ -43,6 +43,13 @@ def index_pages(pages: DataFrame, path: str, tasks: int | None = None, writers:
     return read_index(spark, path)
 
 
+def index_addresses(pages: DataFrame, path: str, **options) -> DataFrame:
+    """(url_id, content): the addresses of the index of these pages, each a page of its own, without its other tables."""
+    parsed = parse_pages(pages, **options).select("url", "links")
+    parsed.write.mode("overwrite").parquet(f"{path}/links")
+    return counted_urls(pages.sparkSession.read.schema(parsed.schema).parquet(f"{path}/links")).select("url_id", "content")
+
+
 def accepted(responses: DataFrame) -> DataFrame:
     """Responses that are indexed: ok, and of an accepted content type."""
     kind = F.lower(F.trim(F.split(F.col("content_type"), ";")[0]))
