@@ -59,6 +59,8 @@ WHOLE = 3
 WIDE = 64
 #: Cells in which shingles are counted for their order; any number gives right results.
 CELLS = 1 << 22
+#: Edges up to which one task finds all components (a few hundred bytes each); beyond, they are found in rounds of joins.
+UNION_EDGES = 200_000
 #: Nodes up to which the candidate list is broadcast (16 bytes and a few numbers each); beyond, texts are shuffled to it.
 BROADCAST_ROWS = 200_000
 
@@ -213,9 +215,40 @@ def _unpruned(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_rows(both, prune, "a binary, b binary", step=4096)
 
 
+def _united(edges: DataFrame) -> DataFrame:
+    """(node, root) of all nodes in ``edges`` (a, b), which are few, by one task: union and find, the smaller root on top."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType
+
+    kind = StructType([StructField(n, edges.schema["a"].dataType) for n in ("node", "root")])
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def root(x):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+        nodes = list(parent)
+        for at in range(0, len(nodes), 1 << 16):
+            part = nodes[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, arrow.field(0).type), pa.array([root(x) for x in part], arrow.field(1).type)], schema=arrow)
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, kind)
+
+
 @tidied
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(node, root) of all nodes in ``edges`` (a, b), root being the smallest node: alternating large and small stars."""
+    """(node, root) of all nodes in ``edges`` (a, b), root being the smallest node: alternating large and small stars.
+
+    Up to ``UNION_EDGES`` edges are united by one task, as each round costs the driver the plans of some 16 jobs.
+    """
     now = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), name)
 
     def mark(df: DataFrame) -> tuple:
@@ -223,6 +256,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         return tuple(row)
 
     before = mark(now)
+    if 0 < before[0] <= UNION_EDGES:
+        return saved(_united(now), name)
     while before[0]:
         # large star: larger neighbours of u point to the least of u and its neighbours
         two = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -626,6 +626,24 @@ def test_ngram_jaccard_finds_short_copies_of_a_passage_that_longer_texts_quote(s
         assert got == {(0, 0, 1), (1, 0, 1)}
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components(spark, monkeypatch, few):
+    """A chain, a star and a loop, united by one task or in rounds; few edges cost the driver few jobs."""
+    monkeypatch.setattr(ngram_join, "UNION_EDGES", few, raising=False)
+    chain, star = [(i, i + 1) for i in range(40)], [(100, 101 + i) for i in range(400)]
+    edges = chain + [(b, a) for a, b in star] + [(600, 601), (601, 602), (602, 600), (700, 700)]
+    random.Random(5).shuffle(edges)
+    name = lambda x: x.to_bytes(2, "big")
+    table = spark.createDataFrame([(name(a), name(b)) for a, b in edges], "a binary, b binary")
+    sc = spark.sparkContext
+    sc.setJobGroup(f"components-{few}", "")
+    got = {(bytes(r.node), bytes(r.root)) for r in ngram_join.components(table, "test-components").collect()}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    want = {(x, 0) for x in range(41)} | {(x, 100) for x in range(100, 501)} | {(x, 600) for x in (600, 601, 602)}
+    assert got == {(name(a), name(b)) for a, b in want}
+    assert not few or len(sc.statusTracker().getJobIdsForGroup(f"components-{few}")) < 10
+
+
 def test_ngram_jaccard_over_many_tasks(spark):
     """More tasks than buckets' nodes: large buckets and shingles begin in one task and end in another; no link is lost."""
     own = random.Random(21)
