@@ -72,19 +72,26 @@ def document_keys(docs: DataFrame) -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(7), "text", "doc_id").alias("k2")]
 
 
+def index_rows(docs: DataFrame) -> DataFrame:
+    """The rows of the index of ``docs`` in order of their terms.
+
+    The columns of a document are one struct while rows are sorted, as a posting, which has none of them, then takes a
+    word of memory for all and not one for each.
+    """
+    keyed = _worded(docs.select("doc_id", "text")).select(F.monotonically_increasing_id().alias("doc"), F.struct("doc_id", *document_keys(docs), F.size("words").cast("long").alias("n_words")).alias("own"), "words")
+    spread = keyed.select("doc", "own", F.posexplode(F.array_prepend("words", F.lit(None).cast("string"))).alias("p", "word"))
+    own = F.col("p") == 0
+    rows = spread.select(F.when(~own, F.xxhash64("word")).alias("term"), "doc", (F.col("p") - 1).alias("pos"), F.when(own, F.col("own")).alias("own"))
+    return rows.sortWithinPartitions("term").select("term", "doc", "pos", "own.*")
+
+
 def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The positional index of ``docs`` (doc_id, text), written under the shared folder or to ``path``, as a table.
 
     Columns: term, doc, pos of postings; where term is null doc_id, k1, k2 and n_words of a document. The numbers of
     documents come from the task that writes both kinds of rows, so a repeated task stays consistent.
     """
-    keyed = _worded(docs.select("doc_id", "text")).select(F.monotonically_increasing_id().alias("doc"), "doc_id", *document_keys(docs), F.size("words").cast("long").alias("n_words"), "words")
-    spread = keyed.select("doc", "doc_id", "k1", "k2", "n_words", F.posexplode(F.array_prepend("words", F.lit(None).cast("string"))).alias("p", "word"))
-    own = F.col("p") == 0
-    rows = spread.select(
-        F.when(~own, F.xxhash64("word")).alias("term"), "doc", (F.col("p") - 1).alias("pos"), *(F.when(own, F.col(c)).alias(c) for c in ("doc_id", "k1", "k2", "n_words"))
-    )
-    return saved(rows.sortWithinPartitions("term"), "train-index", path)
+    return saved(index_rows(docs), "train-index", path)
 
 
 def documents(index: DataFrame) -> DataFrame:

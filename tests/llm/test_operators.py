@@ -197,6 +197,22 @@ def test_decontamination_without_broadcasts(spark, monkeypatch, rows):
         assert got[i]["items_sha256"] == hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
+def test_postings_are_sorted_without_columns_of_documents(docs, monkeypatch):
+    """What a task holds while it sorts its postings: term, document, position and one word for all other columns."""
+    with monkeypatch.context() as unsaved:
+        unsaved.setattr(decontaminate, "saved", lambda df, *_: df)
+        rows = decontaminate.build_index(docs)
+    node, widths = rows._jdf.queryExecution().optimizedPlan(), []
+    while node.children().size():
+        if node.getClass().getSimpleName() == "Sort":
+            widths.append(node.output().size())
+        node = node.children().head()
+    assert widths == [4]
+    assert rows.columns == ["term", "doc", "pos", "doc_id", "k1", "k2", "n_words"]
+    assert rows.filter("term IS NOT NULL AND coalesce(doc_id, k1, k2, n_words) IS NOT NULL").count() == 0
+    assert rows.filter("term IS NULL").count() == len(ROWS)
+
+
 def test_index_serves_several_test_sets_and_proximity(spark, docs, items):
     index = decontaminate.build_index(docs)
     assert decontaminate.documents(index).count() == len(ROWS)
